@@ -7,20 +7,44 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import simhash
+from plumbline.llm import mixing, simhash, tokenfile
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def tokenizer_text(name: str = "word_bpe_49k.json") -> str:
+    """The text of an installed vocabulary file."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), encoding="utf-8") as file:
+        return file.read()
+
+
+def op4_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = tokenfile.write_token_files(_read(spark, sf_dir, "documents"), tokenizer_text())
+    return tokenfile.read_token_files(files)
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_duplicates(_read(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op10_mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", mixing.word_count("text").alias("size"), F.array("source").alias("members"))
+    mixed = mixing.mix(docs, "doc_id", "size", "members")
+    return mixed.select(
+        "doc_id", "size", F.col("source_size")[0].alias("source_size"), F.col("target")[0].alias("target"),
+        (F.col("copies") * F.col("size")).alias("taken"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_token_file": op4_token_file,
+        "op10_mixed_sources": op10_mixed_sources,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
     }
 
