@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import mixing, simhash, tokenfile
+from plumbline.llm import decontam, mixing, simhash, tokenfile
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,6 +22,10 @@ def tokenizer_text(name: str = "word_bpe_49k.json") -> str:
         return file.read()
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op4_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = tokenfile.write_token_files(_read(spark, sf_dir, "documents"), tokenizer_text())
     return tokenfile.read_token_files(files)
@@ -43,6 +47,7 @@ def op10_mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_benchmark_decontamination": op2_benchmark_decontamination,
         "op4_token_file": op4_token_file,
         "op10_mixed_sources": op10_mixed_sources,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
