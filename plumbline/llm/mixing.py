@@ -133,6 +133,27 @@ def mix(docs: DataFrame, id_col: str, size_col: str, members_col: str, weights:
     )
 
 
+def mix_documents(docs: DataFrame, id_col: str, size: Column, members: Column, weights: Sequence[float] = (5, 2, 1), seed: int = 42, repeats: int = MAX_REPEATS) -> DataFrame:
+    """The rows of docs as often as the mix takes them, all columns kept.
+
+    Along a pattern's seeded order the copies fall by one at most once, so one boundary row a pattern (at most
+    `max_patterns` rows, broadcast) decides all; the documents themselves are not shuffled. Rows that agree in id and
+    size are told apart by nothing and are taken alike.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), size.alias("size"), members.alias("members"))
+    mixed = materialize(mix(rows, "doc_id", "size", "members", weights, seed, repeats).drop("source_size", "target", "routed"))
+    spot = F.struct(F.xxhash64(F.lit(seed), "doc_id", "size").alias("place"), F.col("doc_id").isNotNull().alias("some"), "doc_id", "size")
+    most = mixed.where("size > 0").groupBy("members").agg(F.max("copies").alias("most"), F.min("copies").alias("least"))
+    both = mixed.join(F.broadcast(most.withColumnRenamed("members", "of")), F.col("members") == F.col("of"))
+    ends = both.where("size > 0 and copies = most").groupBy("members").agg(F.max(spot).alias("end"), F.first("most").alias("most"), F.first("least").alias("least"))
+    own = F.struct(F.xxhash64(F.lit(seed), F.col(id_col).cast("long"), size).alias("place"), F.col(id_col).isNotNull().alias("some"), F.col(id_col).cast("long").alias("doc_id"), size.alias("size"))
+    ends = F.broadcast(ends.select(F.col("members").alias("__members"), "end", F.col("most").alias("__most"), F.col("least").alias("__least")))
+    joined = docs.alias("d").join(ends, F.array_sort(F.array_distinct(members)) == F.col("__members"))
+    copies = F.when(own <= F.col("end"), F.col("__most")).otherwise(F.col("__least"))
+    copies = F.when(size > 0, copies).otherwise(F.lit(0)).cast("int")
+    return joined.select("d.*", F.explode(F.array_repeat(F.lit(0), copies)).alias("__copy")).drop("__copy")
+
+
 def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words of the pattern's earlier rows in this part."""
     last, run = None, 0

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontam, mixing, simhash, tokenfile
+from plumbline.llm import decontam, langid, mixing, simhash, tokenfile
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -36,6 +36,12 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    trees = langid.learn(docs.where(~langid.held_out("doc_id")), "text", "lang")
+    return langid.identify(docs, trees)
+
+
 def op10_mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", mixing.word_count("text").alias("size"), F.array("source").alias("members"))
     mixed = mixing.mix(docs, "doc_id", "size", "members")
@@ -51,6 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_token_file": op4_token_file,
         "op10_mixed_sources": op10_mixed_sources,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
+        "op8_language_id": op8_language_id,
     }
 
 

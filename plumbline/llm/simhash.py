@@ -21,7 +21,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm._common import SLICE_BYTES, materialize, slices
@@ -59,18 +59,25 @@ def fingerprint(text: str | bytes | None, shingle_words: int = SHINGLE_WORDS) ->
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
+def row_key(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """128 bits that identify a row's id and text."""
+    doc_id, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    return F.xxhash64(doc_id, doc_id.isNull(), text), F.xxhash64(F.lit("k2"), text, text.isNull(), doc_id)
+
+
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, fp): one row per row of docs; fp is the fingerprint as a signed long."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    """(doc_id, k1, k2, fp): one row per row of docs; (k1, k2) identify id and text, fp is a signed long."""
+    schema = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("fp", pa.int64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 4 * SLICE_BYTES):
-                fps = np.fromiter((fingerprint(t, shingle_words) for t in part.column(1).to_pylist()), np.uint64, part.num_rows)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64))], schema=schema)
+                fps = np.fromiter((fingerprint(t, shingle_words) for t in part.column(3).to_pylist()), np.uint64, part.num_rows)
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(fps.view(np.int64))], schema=schema)
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(work, "doc_id long, fp long")
+    k1, k2 = row_key(id_col, text_col)
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), k1.alias("k1"), k2.alias("k2"), F.col(text_col).cast("string").alias("text"))
+    return source.mapInArrow(work, "doc_id long, k1 long, k2 long, fp long")
 
 
 @lru_cache(maxsize=1)
@@ -198,6 +205,22 @@ def near_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return sorted_keys.mapInArrow(lambda it: link_groups(it, radius), "u long, v long").distinct()
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str, radius: int) -> DataFrame:
+    """(doc_id, k1, k2, fp, group_fp, component_id) for each row; group_fp is the group's least fingerprint."""
+    fps = materialize(fingerprints(docs, id_col, text_col))
+    least = fps.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
+    comps = materialize(components(near_links(fps, radius)))
+    rooted = least.join(comps, least.fp == comps.node).select("fp", "root", "least_id")
+    grouped = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    linked = rooted.join(grouped, "root").select(F.col("fp").alias("linked_fp"), "root", "component_id")
+    classes = least.join(linked, F.col("fp") == F.col("linked_fp"), "left").select(
+        F.col("fp").alias("class_fp"),
+        F.coalesce("root", "fp").alias("group_fp"),
+        F.when(F.col("root").isNull(), F.col("least_id")).otherwise(F.col("component_id")).alias("component_id"),
+    )
+    return fps.join(classes, F.col("fp") == F.col("class_fp")).drop("class_fp")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, component_id) for each row of docs.
 
@@ -206,13 +229,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     in linking, and their component_id is null only if no linked row has an id. Repeated rows each keep a row. Other
     columns are ignored. An empty table gives an empty table.
     """
-    fps = materialize(fingerprints(docs, id_col, text_col))
-    least = fps.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    comps = materialize(components(near_links(fps, radius)))
-    rooted = least.join(comps, least.fp == comps.node).select("fp", "root", "least_id")
-    grouped = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    linked = rooted.join(grouped, "root").select(F.col("fp").alias("linked_fp"), "component_id")
-    classes = least.join(linked, F.col("fp") == F.col("linked_fp"), "left").select(
-        F.col("fp").alias("class_fp"), F.coalesce("component_id", "least_id").alias("component_id")
-    )
-    return fps.join(classes, F.col("fp") == F.col("class_fp")).select("doc_id", "fp", "component_id")
+    return _grouped(docs, id_col, text_col, radius).select("doc_id", "fp", "component_id")
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """One row of each group, with all columns of docs: the one with the least id (null last), then the least key.
+
+    The choice is made on ids and hashes; the documents themselves are shuffled once.
+    """
+    choice = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
+    keep = _grouped(docs, id_col, text_col, radius).groupBy("group_fp").agg(F.min(choice).alias("kept")).select("kept.k1", "kept.k2")
+    k1, k2 = row_key(id_col, text_col)
+    name1, name2 = (f"__{n}_{len(docs.columns)}" for n in ("k1", "k2"))
+    once = docs.withColumns({name1: k1, name2: k2}).dropDuplicates([name1, name2])
+    return once.join(keep, (once[name1] == keep.k1) & (once[name2] == keep.k2), "left_semi").select(*docs.columns)
