@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontam, langid, mixing, simhash, tokenfile
+from plumbline.llm import decontam, langid, mixing, simhash, tokenfile, vafile
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,6 +22,11 @@ def tokenizer_text(name: str = "word_bpe_49k.json") -> str:
         return file.read()
 
 
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings")
+    return vafile.search(vafile.build_index(vectors), vectors.where("vec_id % 50 = 0"), k=5)
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -53,6 +58,7 @@ def op10_mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_exact_top_k": op1_exact_top_k,
         "op2_benchmark_decontamination": op2_benchmark_decontamination,
         "op4_token_file": op4_token_file,
         "op10_mixed_sources": op10_mixed_sources,
@@ -62,4 +68,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_exact_top_k": """
+            WITH v AS (
+                SELECT vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+                WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+                  AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+            ), s AS (
+                SELECT q.vec_id AS query_id, v.vec_id, CAST(list_inner_product(q.e, v.e) AS BIGINT) AS score
+                FROM v AS q JOIN v ON q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id
+            ), r AS (
+                SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+                       vec_id, score FROM s
+            )
+            SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+        """,
+    }
