@@ -19,6 +19,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -61,14 +62,14 @@ def _unpack(words: np.ndarray, width: int) -> np.ndarray:
 def encode_file(docs: list[tuple[int | None, np.ndarray]], percentile: float = 0.9) -> bytes:
     """The bytes of one file with the ids (unsigned 32-bit) of the documents, in the given order."""
     lengths = np.array([len(x) for _, x in docs], np.int64)
-    ids = np.concatenate([x for _, x in docs]).astype(np.uint64) if len(docs) else np.empty(0, np.uint64)
+    ids = np.concatenate([x for _, x in docs]).astype(np.uint32) if len(docs) else np.empty(0, np.uint32)
     table = np.zeros(len(docs), _DOC)
     table["doc_id"] = [0 if d is None else d for d, _ in docs]
     table["has_id"] = [d is not None for d, _ in docs]
     table["n"] = lengths
     table["start"] = np.cumsum(lengths) - lengths
     n_blocks = -(-len(ids) // BLOCK)
-    padded = np.full(n_blocks * BLOCK, ids[-1] if len(ids) else 0, np.uint64)
+    padded = np.full(n_blocks * BLOCK, ids[-1] if len(ids) else 0, np.uint32)
     padded[: len(ids)] = ids
     blocks = padded.reshape(n_blocks, BLOCK)
     heads = np.zeros(n_blocks, _BLOCK)
@@ -76,16 +77,16 @@ def encode_file(docs: list[tuple[int | None, np.ndarray]], percentile: float = 0
     heads["n"] = BLOCK
     if n_blocks and len(ids) % BLOCK:
         heads["n"][-1] = len(ids) % BLOCK
-    rest = blocks - heads["base"].astype(np.uint64)[:, None]
-    need = np.ceil(np.log2(rest + np.uint64(1))).astype(np.uint8)
+    rest = blocks - heads["base"][:, None]
     at = min(BLOCK - 1, max(0, int(np.ceil(percentile * BLOCK)) - 1))
-    heads["width"] = np.partition(need, at, axis=1)[:, at] if n_blocks else 0
-    odd = need > heads["width"][:, None]
+    typical = np.partition(rest, at, axis=1)[:, at] if n_blocks else np.empty(0, np.uint32)
+    heads["width"] = np.frexp(typical.astype(np.float64))[1]  # bits of a whole number
+    odd = rest.astype(np.uint64) >> heads["width"].astype(np.uint64)[:, None] > 0
     heads["exceptions"] = odd.sum(axis=1)
     packed: list[bytes] = [b""] * n_blocks
     for width in set(heads["width"].tolist()) - {0}:
         rows = np.flatnonzero(heads["width"] == width)
-        words = _pack(np.where(odd[rows], np.uint64(0), rest[rows]).T, width)
+        words = _pack(np.ascontiguousarray(np.where(odd[rows], 0, rest[rows]).T.astype(np.uint64)), width)
         raw = words.astype("<u8").tobytes()
         step = 16 * width
         for k, row in enumerate(rows.tolist()):
@@ -93,10 +94,11 @@ def encode_file(docs: list[tuple[int | None, np.ndarray]], percentile: float = 0
     row, position = np.nonzero(odd)
     cuts = np.searchsorted(row, np.arange(n_blocks + 1))
     positions, values = position.astype(np.uint8), rest[odd].astype("<u4")
-    parts = []
-    for k in range(n_blocks):
+    raw = heads.tobytes()
+    parts = [raw[k * _BLOCK.itemsize : (k + 1) * _BLOCK.itemsize] + packed[k] for k in range(n_blocks)]
+    for k in np.flatnonzero(heads["exceptions"]).tolist():
         a, b = cuts[k], cuts[k + 1]
-        parts.append(heads[k].tobytes() + packed[k] + positions[a:b].tobytes() + values[a:b].tobytes())
+        parts[k] += positions[a:b].tobytes() + values[a:b].tobytes()
     sizes = np.fromiter(map(len, parts), np.int64, n_blocks)
     index = (np.cumsum(sizes) - sizes).astype("<u8")
     return b"".join([_HEADER.pack(b"PFR1", BLOCK, len(ids), n_blocks, len(docs)), table.tobytes(), index.tobytes(), *parts])
@@ -147,14 +149,26 @@ def read_block(data: bytes, k: int) -> np.ndarray:
     return (out + np.uint64(head["base"]))[: int(head["n"])].astype(np.uint32)
 
 
+class _Words(dict):
+    """word -> number; a word that is not there yet gets the next number and waits to be encoded."""
+
+    def __init__(self):
+        self.waiting: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        self.waiting.append(word)
+        return number
+
+
 class WordEncoder:
     """Exact ids of whole texts through a tokenizers file, with a bounded cache of words.
 
-    Words between ASCII white space are encoded one by one where that provably gives the ids of the whole text: the
-    file's normaliser works on each character or on runs without white space, its pre-tokeniser never matches across
-    white space, and its model is called for each piece. Words of printable ASCII and the letters U+00C0 to U+017F
-    take the pieces straight to the library's model; every other word goes through the library whole. A file built
-    otherwise is used on whole texts only.
+    Words between ASCII white space are encoded apart where that provably gives the ids of the whole text: the file's
+    normaliser works on each character or on runs without white space, its pre-tokeniser never matches across white
+    space, and its model is called for each piece. Of the words not met before, those of printable ASCII and the
+    letters U+00C0 to U+017F are cut into pieces here and go to the library's model in one call; every other word goes
+    through the library whole. A file built otherwise is used on whole texts only.
     """
 
     #: The only structure that the word path is proved for: fixed value.
@@ -162,11 +176,11 @@ class WordEncoder:
 
     def __init__(self, spec: str, cache_words: int = 400_000):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.library = Tokenizer.from_str(spec)
         self.cache_words = cache_words
-        self.words: dict[bytes, bytes] = {b"": b""}
-        self.pieces: dict[str, bytes] = {}
+        self._clear()
         tree = json.loads(spec)
         kinds = [x.get("type") for x in (tree.get("normalizer") or {}).get("normalizers", [])]
         split, *byte_level = (tree.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
@@ -178,47 +192,69 @@ class WordEncoder:
             and [(x.get("type"), x.get("add_prefix_space"), x.get("use_regex")) for x in byte_level] == [("ByteLevel", False, False)]
             and not any(re.search(r"\s", x["content"]) or x["lstrip"] or x["rstrip"] for x in tree["added_tokens"])
             and tree["post_processor"] is None
+            and tree["model"].get("end_of_word_suffix") == "</w>"
         )
         self.special = [x["content"] for x in tree["added_tokens"]]
         letters = "a-zß-öø-ıĳ-ňŊ-ſ"
         self._plain = re.compile(r"[!-~À-ÖØ-öø-įıĳ-ňŊ-ſ]+")
-        self._pieces = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[0-9]|[^0-9{letters}]+")
-        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-        hidden = [b for b in range(256) if b not in set(shown)]
-        self._chars = [""] * 256
-        for b in shown:
-            self._chars[b] = chr(b)
-        for i, b in enumerate(hidden):
-            self._chars[b] = chr(256 + i)
-
-    def _piece(self, piece: str) -> bytes:
-        got = self.pieces.get(piece)
-        if got is None:
-            if len(self.pieces) >= self.cache_words:
-                self.pieces.clear()
-            mapped = piece if piece.isascii() else "".join(map(self._chars.__getitem__, piece.encode()))
-            got = self.pieces[piece] = np.array([t.id for t in self.library.model.tokenize(mapped)], "<u4").tobytes()
-        return got
-
-    def _word(self, raw: bytes) -> bytes:
-        word = raw.decode("utf-8", "surrogatepass")
-        if not self._plain.fullmatch(word) or any(s in word for s in self.special):
-            return np.array(self.library.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self._piece, self._pieces.findall(word.lower())))
-
-    def encode(self, text: bytes) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
+        self._pieces = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[0-9]|[^ 0-9{letters}]+| ")
+        # the byte-level alphabet: bytes that show stand for themselves, the others for 256, 257, ...
+        shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+        hidden = iter(range(256, 512))
+        chars = [chr(b if b in shown else next(hidden)) for b in range(256)]
+        self._mapped = {c: "".join(chars[b] for b in chr(c).encode()) for c in range(0x80, 0x180)}
+        self.model = Tokenizer(self.library.model)
+        self.model.pre_tokenizer = CharDelimiterSplit(" ")
+        self._closes = np.zeros(self.library.get_vocab_size() + 1, bool)
+        self._closes[[i for token, i in self.library.get_vocab().items() if token.endswith("</w>")]] = True
+
+    def _clear(self) -> None:
+        self.words = _Words()
+        self.first, self.count = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.ids = np.empty(0, np.uint32)
+
+    def _whole(self, text: bytes) -> np.ndarray:
+        return np.array(self.library.encode(text.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids, np.uint32)
+
+    def _learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids of each word) for words not met before."""
+        texts = [w.decode("utf-8", "surrogatepass") for w in words]
+        plain = [bool(self._plain.fullmatch(t)) and not any(s in t for s in self.special) for t in texts]
+        pieces = self._pieces.findall(" ".join(t for t, ok in zip(texts, plain) if ok).lower())
+        marks = np.fromiter((p == " " for p in pieces), bool, len(pieces))
+        sent = " ".join(p for p in pieces if p != " ").translate(self._mapped)
+        got = np.array(self.model.encode_batch_fast([sent], add_special_tokens=False)[0].ids if sent else [], np.uint32)
+        ends = np.flatnonzero(self._closes[got]) + 1
+        per_word = np.bincount(np.cumsum(marks)[~marks], minlength=sum(plain)) if len(pieces) else np.zeros(0, np.int64)
+        if len(ends) != per_word.sum() or len(per_word) != sum(plain):
+            plain = [False] * len(texts)
+            ends, per_word, got = np.empty(0, np.int64), np.empty(0, np.int64), got[:0]
+        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(per_word)])]
+        if all(plain):
+            return got, np.diff(bounds)
+        known = iter(np.split(got, bounds[1:-1]) if len(bounds) > 1 else ())
+        each = [next(known) if ok else self._whole(w) for w, ok in zip(words, plain)]
+        return np.concatenate(each), np.array([len(x) for x in each], np.int64)
+
+    def encode_all(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of each text, unsigned 32-bit."""
         if not self.by_word:
-            return np.array(self.library.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        words, known = text.split(), self.words
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            if len(known) > self.cache_words:
-                known.clear()
-            for word in set(words).difference(known):
-                known[word] = self._word(word)
-            return b"".join(map(known.__getitem__, words))
+            return [self._whole(t) for t in texts]
+        if len(self.words) > self.cache_words:
+            self._clear()
+        split = [t.split() for t in texts]
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        numbers = np.fromiter(map(self.words.__getitem__, chain.from_iterable(split)), np.int64, sizes.sum())
+        if self.words.waiting:
+            ids, count = self._learn(self.words.waiting)
+            self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(count) - count])
+            self.count = np.concatenate([self.count, count])
+            self.ids = np.concatenate([self.ids, ids])
+            self.words.waiting = []
+        count = self.count[numbers]
+        run = np.cumsum(count)
+        ids = self.ids[np.repeat(self.first[numbers] - run + count, count) + np.arange(run[-1] if len(run) else 0)]
+        return np.split(ids, np.concatenate([[0], run])[np.cumsum(sizes)][:-1]) if texts else []
 
 
 _ENCODERS: dict[int, WordEncoder] = {}
@@ -246,7 +282,7 @@ def write_token_files(
     schema = pa.schema([("part", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("file", pa.binary())])
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(spec)  # a vocabulary file: fixed size, a few MB
-    tail = b"" if end_id is None else struct.pack("<I", end_id)
+    tail = np.array([] if end_id is None else [end_id], np.uint32)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, first, held, count = encoder(shared.value), 0, [], 0
@@ -261,9 +297,9 @@ def write_token_files(
         for batch in batches:
             part = batch.column(2)[0].as_py() if batch.num_rows else part
             for piece in slices(batch, "text", 4 * SLICE_BYTES):
-                texts = piece.column(1).cast(pa.binary()).to_pylist()
-                for doc, text in zip(piece.column(0).to_pylist(), texts):
-                    ids = np.frombuffer(enc.encode(text or b"") + tail, "<u4")
+                texts = [t or b"" for t in piece.column(1).cast(pa.binary()).to_pylist()]
+                for doc, ids in zip(piece.column(0).to_pylist(), enc.encode_all(texts)):
+                    ids = np.concatenate([ids, tail])
                     held.append((doc, ids))
                     count += len(ids)
                     if count >= file_ids:
