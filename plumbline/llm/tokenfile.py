@@ -196,13 +196,13 @@ class WordEncoder:
         )
         self.special = [x["content"] for x in tree["added_tokens"]]
         letters = "a-zß-öø-ıĳ-ňŊ-ſ"
-        self._plain = re.compile(r"[!-~À-ÖØ-öø-įıĳ-ňŊ-ſ]+")
+        self._plain_words = re.compile(r"[ -~À-ÖØ-öø-įıĳ-ňŊ-ſ]+")
         self._pieces = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[0-9]|[^ 0-9{letters}]+| ")
         # the byte-level alphabet: bytes that show stand for themselves, the others for 256, 257, ...
         shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
         hidden = iter(range(256, 512))
-        chars = [chr(b if b in shown else next(hidden)) for b in range(256)]
-        self._mapped = {c: "".join(chars[b] for b in chr(c).encode()) for c in range(0x80, 0x180)}
+        self._mapped = np.array([b if b in shown else next(hidden) for b in range(256)], "<u4")
+        self._mapped[0x20] = 0x20  # separates the pieces
         self.model = Tokenizer(self.library.model)
         self.model.pre_tokenizer = CharDelimiterSplit(" ")
         self._closes = np.zeros(self.library.get_vocab_size() + 1, bool)
@@ -218,16 +218,27 @@ class WordEncoder:
 
     def _learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ids of each word) for words not met before."""
-        texts = [w.decode("utf-8", "surrogatepass") for w in words]
-        plain = [bool(self._plain.fullmatch(t)) and not any(s in t for s in self.special) for t in texts]
-        pieces = self._pieces.findall(" ".join(t for t, ok in zip(texts, plain) if ok).lower())
+        plain: list[bool] = []
+        known: list[str] = []
+        for a in range(0, len(words), 500):
+            text = b" ".join(words[a : a + 500]).decode("utf-8", "surrogatepass")
+            if self._plain_words.fullmatch(text) and not any(s in text for s in self.special):
+                plain += [True] * min(500, len(words) - a)
+                known.append(text)
+                continue
+            for t in text.split(" "):
+                plain.append(bool(self._plain_words.fullmatch(t)) and not any(s in t for s in self.special))
+                if plain[-1]:
+                    known.append(t)
+        pieces = self._pieces.findall(" ".join(known).lower())
         marks = np.fromiter((p == " " for p in pieces), bool, len(pieces))
-        sent = " ".join(p for p in pieces if p != " ").translate(self._mapped)
+        raw = " ".join(p for p in pieces if p != " ").encode()
+        sent = self._mapped[np.frombuffer(raw, np.uint8)].tobytes().decode("utf-32-le")
         got = np.array(self.model.encode_batch_fast([sent], add_special_tokens=False)[0].ids if sent else [], np.uint32)
         ends = np.flatnonzero(self._closes[got]) + 1
         per_word = np.bincount(np.cumsum(marks)[~marks], minlength=sum(plain)) if len(pieces) else np.zeros(0, np.int64)
         if len(ends) != per_word.sum() or len(per_word) != sum(plain):
-            plain = [False] * len(texts)
+            plain = [False] * len(words)
             ends, per_word, got = np.empty(0, np.int64), np.empty(0, np.int64), got[:0]
         bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(per_word)])]
         if all(plain):
