@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontam, langid, mixing, simhash, tokenfile, vafile
+from plumbline.llm import ctxmix, decontam, langid, mixing, simhash, tokenfile, vafile
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -47,6 +47,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, trees)
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctxmix.score(_read(spark, sf_dir, "documents"))
+
+
 def op10_mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", mixing.word_count("text").alias("size"), F.array("source").alias("members"))
     mixed = mixing.mix(docs, "doc_id", "size", "members")
@@ -64,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_mixed_sources": op10_mixed_sources,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
         "op8_language_id": op8_language_id,
+        "op9_lm_score": op9_lm_score,
     }
 
 
