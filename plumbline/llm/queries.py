@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import ctxmix, decontam, langid, mixing, simhash, tokenfile, vafile
+from plumbline.llm import ctxmix, decontam, htmltext, langid, mixing, simhash, tokenfile, vafile
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op4_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_token_files(files)
 
 
+def op5_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(_read(spark, sf_dir, "pages"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_duplicates(_read(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -65,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_exact_top_k": op1_exact_top_k,
         "op2_benchmark_decontamination": op2_benchmark_decontamination,
         "op4_token_file": op4_token_file,
+        "op5_html_main_text": op5_html_main_text,
         "op10_mixed_sources": op10_mixed_sources,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
         "op8_language_id": op8_language_id,
