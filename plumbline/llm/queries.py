@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import ctxmix, decontam, htmltext, langid, mixing, simhash, tokenfile, vafile
+from plumbline.llm import chat, ctxmix, decontam, htmltext, langid, mixing, simhash, tokencount, tokenfile, vafile
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -31,6 +31,11 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = tokencount.byte_level_pieces(tokenizer_text())
+    return tokencount.count_tokens(_read(spark, sf_dir, "documents"), pieces)
+
+
 def op4_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = tokenfile.write_token_files(_read(spark, sf_dir, "documents"), tokenizer_text())
     return tokenfile.read_token_files(files)
@@ -40,6 +45,16 @@ def op5_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(_read(spark, sf_dir, "pages"))
 
 
+#: Written like a template's control strings, to be told apart from them.
+CONTROL_TURNS = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame(CONTROL_TURNS, "conv_id long, turn long, role string, text string")
+    return chat.read_packs(chat.pack(turns.union(more)))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_duplicates(_read(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -69,6 +84,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_exact_top_k": op1_exact_top_k,
         "op2_benchmark_decontamination": op2_benchmark_decontamination,
         "op4_token_file": op4_token_file,
+        "op3_token_counts": op3_token_counts,
+        "op6_chat_format": op6_chat_format,
         "op5_html_main_text": op5_html_main_text,
         "op10_mixed_sources": op10_mixed_sources,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
