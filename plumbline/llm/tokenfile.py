@@ -174,7 +174,7 @@ class WordEncoder:
     #: The only structure that the word path is proved for: fixed value.
     _PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
-    def __init__(self, spec: str, cache_words: int = 400_000):
+    def __init__(self, spec: str, cache_words: int = 250_000):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import CharDelimiterSplit
 
