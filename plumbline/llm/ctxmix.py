@@ -78,7 +78,6 @@ class Code:
         self.length = np.zeros(SYMBOLS, np.int64)
         self.node = np.zeros((SYMBOLS, max(1, deepest)), np.uint8)
         self.turn = np.zeros((SYMBOLS, max(1, deepest)), np.uint8)
-        self.depth4 = np.tile(np.minimum(np.arange(max(1, deepest)), 5) * 4, (SYMBOLS, 1)).astype(np.uint8)
         self.through = np.zeros((SYMBOLS, SYMBOLS))  # symbol x node: passes the node
         self.right = np.zeros((SYMBOLS, SYMBOLS))  # symbol x node: turns to the second child
         for s, path in enumerate(paths):
@@ -87,6 +86,9 @@ class Code:
                 self.node[s, d], self.turn[s, d] = node, turn
                 self.through[s, node] = 1
                 self.right[s, node] = turn
+        # node, turn and four times the depth of each step in one number: 6 bits, 1 bit, the rest
+        depth = np.minimum(np.arange(max(1, deepest)), 5) * 4
+        self.packed = self.node.astype(np.int32) | self.turn.astype(np.int32) << 6 | depth.astype(np.int32) << 7
 
     def logits(self, counts: np.ndarray) -> np.ndarray:
         """Quantised logits of the tree's nodes for rows of symbol counts."""
@@ -125,25 +127,35 @@ def _offsets() -> np.ndarray:
     return np.concatenate([[0], np.cumsum([(1 << b) * SYMBOLS for b in SLOT_BITS])])
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, key, n): counts of word hashes (kind 0) and of bytes (kind 1) for each slice of texts."""
+def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, place = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+    return keys, np.bincount(place, np.concatenate([n for _, n in held]), minlength=len(keys)).astype(np.int64)
+
+
+def _count_words(batches: Iterator[pa.RecordBatch], most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """(kind, key, n): counts of word hashes (kind 0) and of bytes (kind 1), put together for up to `most` words."""
+    found = np.zeros(256, np.int64)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def out(kind: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys), pa.array(n)], names=["kind", "key", "n"])
+
     for batch in batches:
-        for part in slices(batch, "text", 4 * SLICE_BYTES):
+        for part in slices(batch, "text"):
             texts = _texts(part.column(0))
             raw = np.frombuffer(b"".join(texts), np.uint8)
             bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))])
             starts, stops, _ = word_spans(raw, bounds)
-            keys, n = np.unique(span_hashes(raw, starts, stops).view(np.int64), return_counts=True)
-            found = np.bincount(raw, minlength=256)
-            used = np.flatnonzero(found)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.repeat([0, 1], [len(keys), len(used)]).astype(np.int32)),
-                    pa.array(np.concatenate([keys, used])),
-                    pa.array(np.concatenate([n, found[used]]).astype(np.int64)),
-                ],
-                names=["kind", "key", "n"],
-            )
+            held.append(np.unique(span_hashes(raw, starts, stops).view(np.int64), return_counts=True))
+            found += np.bincount(raw, minlength=256)
+            if sum(len(k) for k, _ in held) > most:
+                held = [_merged(held)]
+                if len(held[0][0]) > most // 2:
+                    yield out(0, *held.pop())
+    if held:
+        yield out(0, *_merged(held))
+    used = np.flatnonzero(found)
+    yield out(1, used, found[used])
 
 
 def _count_contexts(batches: Iterator[pa.RecordBatch], code: Code) -> Iterator[pa.RecordBatch]:
@@ -151,15 +163,11 @@ def _count_contexts(batches: Iterator[pa.RecordBatch], code: Code) -> Iterator[p
     offsets = _offsets()
     total = [np.zeros((1 << b) * SYMBOLS, np.uint32) for b in SLOT_BITS]
     for batch in batches:
-        for part in slices(batch, "text", 2 * SLICE_BYTES):
+        for part in slices(batch, "text", SLICE_BYTES // 2):
             raw, at, _ = _layout(_texts(part.column(0)))
             symbol = code.symbol[raw[at]]
             for table, slot in zip(total, _slots(raw, at)):
-                cell = slot * SYMBOLS + symbol
-                if len(cell) < len(table) // 8:
-                    np.add.at(table, cell, 1)
-                else:
-                    table += np.bincount(cell, minlength=len(table)).astype(np.uint32)
+                np.add.at(table, slot * SYMBOLS + symbol, np.uint32(1))
     chunks, cells = [], []
     for table, offset in zip(total, offsets):
         for a in range(0, len(table), CHUNK):
@@ -209,13 +217,20 @@ class Mixer:
         run = np.cumsum(steps)
         total = int(run[-1]) if len(run) else 0
         width = np.int32(self.code.node.shape[1])
-        path = np.arange(total, dtype=np.int32) + np.repeat(symbol * width - (run - steps).astype(np.int32), steps)
-        node = self.code.node.ravel()[path].astype(np.int32)
-        logits = [table[np.repeat(slot * np.int32(SYMBOLS), steps) + node] for table, slot in zip(self.tables, _slots(raw, at))]
-        gate = self.code.depth4.ravel()[path]
+        path = np.repeat(symbol * width - (run - steps).astype(np.int32), steps)
+        path += np.arange(total, dtype=np.int32)
+        packed = self.code.packed.ravel()[path]
+        node = packed & 63
+        logits = []
+        for table, slot in zip(self.tables, _slots(raw, at)):
+            cell = np.repeat(slot * np.int32(SYMBOLS), steps)
+            cell += node
+            logits.append(table[cell])
+        gate = (packed >> 7).astype(np.uint8)
         gate += (logits[1] == 0).view(np.uint8) << 1
         gate += (logits[2] == 0).view(np.uint8)
-        return {"logits": logits, "turn": self.code.turn.ravel()[path], "gate": gate, "steps": steps, "size": size, "escapes": symbol == self.code.escape}
+        turn = (packed >> 6 & 1).astype(np.int8)
+        return {"logits": logits, "turn": turn, "gate": gate, "steps": steps, "size": size, "escapes": symbol == self.code.escape}
 
     def fit(self, texts: list[bytes], rounds: int = 5) -> None:
         """Gate weights by regularised logistic regression (Newton's method), a few parameters for each gate."""
@@ -263,17 +278,18 @@ class Mixer:
         step = np.arange(len(lane)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
         inside = np.minimum(count[lane] - step * STEP, STEP)  # decisions of a chunk
         shift = (row[step] + rank[lane]) * STEP - (begin[lane] + step * STEP)
-        place = np.arange(begin[-1]) + np.repeat(shift, inside)
+        place = np.repeat(shift, inside)
+        place += np.arange(begin[-1])
         n = len(lane)
 
         def spread(values: np.ndarray) -> np.ndarray:
-            out = np.zeros(n * STEP, np.float32)
+            out = np.zeros(n * STEP, values.dtype)
             out[place] = values
-            return out.reshape(n, STEP)
+            return out.reshape(n, STEP).astype(np.float32)
 
-        sign = spread(got["turn"] * np.float32(2) - 1)  # 0 where padded
+        sign = spread(got["turn"] * np.int8(2) - np.int8(1))  # 0 where padded
         mixed = spread(fixed)
-        inputs = [spread(q * np.float32(1 / 16)) for q in got["logits"]]
+        inputs = [spread(q) * np.float32(1 / 16) for q in got["logits"]]
         offset = np.zeros((len(inputs), len(order), 1), np.float32)
         with np.errstate(over="ignore"):
             for s, live in enumerate(active):
@@ -285,7 +301,8 @@ class Mixer:
                 wrong = sign[rows] / (1 + np.exp(sign[rows] * logit))  # 0 where padded
                 for z, w in zip(x, own):
                     w[:, 0] += np.float32(RATE) * np.einsum("ij,ij->i", wrong, z)
-            cost = np.log1p(np.exp(-sign * mixed)) * np.abs(sign)
+            mixed *= sign
+            cost = np.log(1 + np.exp(-mixed)) - np.float32(math.log(2)) * (sign == 0)
         text = np.repeat(np.arange(len(texts)), per_text)
         total = np.bincount(text[lane], cost.sum(axis=1, dtype=np.float64)[row[step] + rank[lane]], minlength=len(texts)) / math.log(2)
         byte_text = np.repeat(np.arange(len(texts)), got["size"])
@@ -329,9 +346,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    train = docs.where(~held_out(id_col)).select(text.alias("text"))
+    # the gates are fitted on the first rows in the order of a hash; these are left out of the contexts' counts
+    train = docs.where(~held_out(id_col)).select(F.xxhash64(F.col(id_col).cast("long")).alias("place"), text.alias("text"))
 
-    counts = materialize(train.mapInArrow(_count_words, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    counts = materialize(train.select("text").mapInArrow(_count_words, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
     histogram = np.zeros(256, np.int64)
     for r in counts.where("kind = 1").collect():  # 256 rows at most
         histogram[r.key] = r.n
@@ -342,13 +360,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     head_rows = words.orderBy(F.desc("n"), "key").limit(HEAD).toPandas()
     head = Words(head_rows["key"].to_numpy(np.int64), head_rows["n"].to_numpy(np.int64))
 
-    place = F.xxhash64("text")
-    fit = train.select(place.alias("place"), F.substring("text", 1, FIT_CHARS).alias("text")).distinct().orderBy("place", "text").limit(FIT_TEXTS).collect()
+    fit = train.select("place", F.substring("text", 1, FIT_CHARS).alias("text")).orderBy("place", "text").limit(FIT_TEXTS).collect()
     fit = fit if texts > 4 * FIT_TEXTS else []
     code = Code(histogram)
     shared_code = spark.sparkContext.broadcast(code)
-    counted = train.where(~place.isin([r.place for r in fit])) if fit else train
-    sparse = counted.mapInArrow(lambda it: _count_contexts(it, shared_code.value), "chunk long, cells binary")
+    counted = train.where(F.col("place") > fit[-1].place) if fit else train
+    sparse = counted.select("text").mapInArrow(lambda it: _count_contexts(it, shared_code.value), "chunk long, cells binary")
     summed = sparse.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(lambda it: _add_up(it, shared_code.value), "chunk long, logits binary")
     flat = np.zeros(int(_offsets()[-1]), np.int8)
     for r in summed.toLocalIterator():  # the tables have a fixed size of 20 MB
