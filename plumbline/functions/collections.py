@@ -25,7 +25,7 @@ def compact(c) -> Column:
 
 
 def size(c) -> Column:
-    return _size(c)
+    return _size(c).cast("bigint")
 
 
 count = size
@@ -147,7 +147,7 @@ def fold(c, f: Callable[[Column, Column], Column], start) -> Column:
 
 
 def index_of(c, value) -> Column:
-    return F.coalesce(F.array_position(col(c), col(value)), F.lit(0)) - 1
+    return (F.coalesce(F.array_position(col(c), col(value)), F.lit(0)) - 1).cast("bigint")
 
 
 def reverse(c) -> Column:

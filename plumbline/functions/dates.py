@@ -27,11 +27,11 @@ def _micros(d) -> Column:
 
 
 def year(d) -> Column:
-    return F.year(col(d))
+    return F.year(col(d)).cast("bigint")
 
 
 def month_number(d) -> Column:
-    return F.month(col(d))
+    return F.month(col(d)).cast("bigint")
 
 
 def month(d) -> Column:
@@ -39,22 +39,22 @@ def month(d) -> Column:
 
 
 def quarter_number(d) -> Column:
-    return F.quarter(col(d))
+    return F.quarter(col(d)).cast("bigint")
 
 
 quarter = quarter_number
 
 
 def week_of_year(d) -> Column:
-    return F.weekofyear(col(d))
+    return F.weekofyear(col(d)).cast("bigint")
 
 
 def day_of_month(d) -> Column:
-    return F.dayofmonth(col(d))
+    return F.dayofmonth(col(d)).cast("bigint")
 
 
 def day_of_year(d) -> Column:
-    return F.dayofyear(col(d))
+    return F.dayofyear(col(d)).cast("bigint")
 
 
 def day_of_week(d) -> Column:
@@ -63,19 +63,19 @@ def day_of_week(d) -> Column:
 
 def day_of_week_number(d, first: str = "Monday") -> Column:
     """1 to 7, counted from the given first day."""
-    return (F.weekday(col(d)) + 7 - WEEKDAYS.index(first)) % 7 + 1
+    return ((F.weekday(col(d)) + 7 - WEEKDAYS.index(first)) % 7 + 1).cast("bigint")
 
 
 def hour(d) -> Column:
-    return F.hour(col(d))
+    return F.hour(col(d)).cast("bigint")
 
 
 def minute(d) -> Column:
-    return F.minute(col(d))
+    return F.minute(col(d)).cast("bigint")
 
 
 def second(d) -> Column:
-    return F.second(col(d))
+    return F.second(col(d)).cast("bigint")
 
 
 def date(y, m=None, d=None, h=None, mi=None, s=None) -> Column | str:

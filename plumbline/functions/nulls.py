@@ -121,9 +121,9 @@ KINDS = ("number", "date", "boolean", "string")
 def compare(a, b, kind_a: str | None = None, kind_b: str | None = None) -> Column:
     """-1, 0 or 1; across kinds the order of the kinds decides."""
     if kind_a and kind_b and kind_a != kind_b:
-        return F.lit(1 if KINDS.index(kind_a) > KINDS.index(kind_b) else -1)
+        return F.lit(1 if KINDS.index(kind_a) > KINDS.index(kind_b) else -1).cast("bigint")
     a, b = col(a), col(b)
-    return F.when(a < b, -1).when(a > b, 1).when(a.isNull() | b.isNull(), None).otherwise(0)
+    return F.when(a < b, -1).when(a > b, 1).when(a.isNull() | b.isNull(), None).otherwise(0).cast("bigint")
 
 
 def to_one(value, is_list: bool = False) -> Column:

@@ -14,7 +14,7 @@ DATETIME = "yyyy-MM-dd'T'HH:mm:ss.SSS'+0000'"
 
 
 def ascii_(s) -> Column:
-    return F.ascii(col(s))
+    return F.ascii(col(s)).cast("bigint")
 
 
 def char(code) -> Column:
@@ -50,7 +50,7 @@ def generate_guid() -> Column:
 
 
 def index_of(s, part, start=None) -> Column:
-    return F.instr(col(s), col(part)) if start is None else F.locate(part, col(s), start)
+    return (F.instr(col(s), col(part)) if start is None else F.locate(part, col(s), start)).cast("bigint")
 
 
 def join_strings(strings, *args: str) -> Column:
@@ -74,11 +74,11 @@ def right(s, n) -> Column:
 
 
 def length(s) -> Column:
-    return F.length(col(s).cast("string"))
+    return F.length(col(s).cast("string")).cast("bigint")
 
 
 def levenshtein_distance(a, b) -> Column:
-    return F.levenshtein(col(a), col(b))
+    return F.levenshtein(col(a), col(b)).cast("bigint")
 
 
 def _pad(s, n, pad: str, padded) -> Column:
@@ -141,7 +141,7 @@ def _flags(regex: str, flags: str) -> str:
 
 
 def regexp_count(s, regex: str, flags: str = "") -> Column:
-    return F.regexp_count(col(s), F.lit(_flags(regex, flags)))
+    return F.regexp_count(col(s), F.lit(_flags(regex, flags))).cast("bigint")
 
 
 def regexp_extract(s, regex: str, extract_all: bool = False, group: int = 0, flags: str = "") -> Column:
@@ -154,11 +154,11 @@ def regexp_index_of(s, regex: str, group: int = 0, flags: str = "") -> Column:
     """0-based place of the match or of a group of it, -1 on a miss."""
     s = col(s)
     if not group:
-        return F.regexp_instr(s, F.lit(_flags(regex, flags))) - 1
+        return (F.regexp_instr(s, F.lit(_flags(regex, flags))) - 1).cast("bigint")
     whole = _flags(regex, flags + "s")
     match = F.regexp_substr(s, F.lit(whole))
     inside = F.instr(match, F.regexp_extract(s, whole, group))
-    return F.when(match.isNull(), F.lit(-1)).otherwise(F.regexp_instr(s, F.lit(whole)) - 2 + inside)
+    return F.when(match.isNull(), F.lit(-1)).otherwise(F.regexp_instr(s, F.lit(whole)) - 2 + inside).cast("bigint")
 
 
 def regexp_like(s, regex: str, flags: str = "") -> Column:

@@ -97,15 +97,15 @@ def over(partition: Sequence[str] | str = (), sort: Sequence[tuple[str, bool] |
 
 
 def row_number(w: Over) -> Column:
-    return F.row_number().over(w.plain())
+    return F.row_number().over(w.plain()).cast("bigint")
 
 
 def rank(w: Over) -> Column:
-    return F.rank().over(w.plain())
+    return F.rank().over(w.plain()).cast("bigint")
 
 
 def dense_rank(w: Over) -> Column:
-    return F.dense_rank().over(w.plain())
+    return F.dense_rank().over(w.plain()).cast("bigint")
 
 
 def percent_rank(w: Over) -> Column:
@@ -117,7 +117,7 @@ def cumulative_distribution(w: Over) -> Column:
 
 
 def ntile(w: Over, n: int) -> Column:
-    return F.ntile(n).over(w.plain())
+    return F.ntile(n).over(w.plain()).cast("bigint")
 
 
 def lag(w: Over, c: str, n: int = 1) -> Column:

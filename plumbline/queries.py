@@ -113,7 +113,7 @@ def not_equal_null_safe(spark, db):
 
 
 @query("""SELECT p_partkey, p_size BETWEEN 10 AND 20 AS mid, p_brand IN ('Brand#11', 'Brand#12', 'Brand#23') AS chosen,
-    CAST(CASE WHEN p_size < 25 THEN -1 WHEN p_size > 25 THEN 1 ELSE 0 END AS INTEGER) AS side FROM part""")
+    CAST(CASE WHEN p_size < 25 THEN -1 WHEN p_size > 25 THEN 1 ELSE 0 END AS BIGINT) AS side FROM part""")
 def in_between(spark, db):
     return db.table("part").project(
         p_partkey=lambda r: r.p_partkey,
@@ -151,7 +151,7 @@ def group_by_having(spark, db):
     return db.table("orders").group_by(["o_custkey"], n=aggs.count()).filter(lambda r: r.n >= 10)
 
 
-@query("SELECT CAST(year(o_orderdate) AS INTEGER) AS y, o_orderpriority AS p, max(o_totalprice) AS top, min(o_totalprice) AS low FROM orders GROUP BY ALL")
+@query("SELECT year(o_orderdate) AS y, o_orderpriority AS p, max(o_totalprice) AS top, min(o_totalprice) AS low FROM orders GROUP BY ALL")
 def group_by_functions(spark, db):
     return db.table("orders").group_by_functions({"y": lambda r: dates.year(r.o_orderdate), "p": lambda r: r.o_orderpriority}, top=aggs.max_(F.col("o_totalprice")), low=aggs.min_(F.col("o_totalprice")))
 
@@ -358,7 +358,7 @@ def tds_contains(spark, db):
 
 
 @query("""SELECT o_orderkey, row_number() OVER x AS rn, rank() OVER y AS rk, dense_rank() OVER y AS dr, round(percent_rank() OVER y, 8) AS pr,
-    round(cume_dist() OVER y, 8) AS cd, CAST(ntile(4) OVER x AS INTEGER) AS tile FROM orders
+    round(cume_dist() OVER y, 8) AS cd, ntile(4) OVER x AS tile FROM orders
     WINDOW x AS (PARTITION BY o_custkey ORDER BY o_orderdate NULLS LAST, o_orderkey NULLS LAST), y AS (PARTITION BY o_custkey ORDER BY o_orderpriority DESC NULLS FIRST)""")
 def win_rank(spark, db):
     x, y = w.over("o_custkey", ["o_orderdate", "o_orderkey"]), w.over("o_custkey", [descending("o_orderpriority")])
@@ -472,7 +472,7 @@ def list_higher_order(spark, db):
     return rows.project(
         n_nationkey=lambda r: r.n_nationkey,
         squares=lambda r: lists.sum_(lists.map_(r.c, lambda x: x * x)),
-        evens=lambda r: lists.size(lists.filter_(r.c, lambda x: x % 2 == 0)).cast("bigint"),
+        evens=lambda r: lists.size(lists.filter_(r.c, lambda x: x % 2 == 0)),
         head3=lambda r: lists.take(r.c, 3),
         last=lambda r: lists.last(r.c),
         has3=lambda r: lists.contains(r.c, F.lit(3).cast("bigint")),
@@ -482,7 +482,7 @@ def list_higher_order(spark, db):
     )
 
 
-@query("SELECT n_nationkey, CAST(n_nationkey * 2 AS INTEGER) AS twice, 2 AS n_keys, n_name AS name FROM nation")
+@query("SELECT n_nationkey, CAST(n_nationkey * 2 AS INTEGER) AS twice, CAST(2 AS BIGINT) AS n_keys, n_name AS name FROM nation")
 def map_ops(spark, db):
     m = lambda r: lists.put(F.create_map(F.lit("a"), r.n_nationkey), "b", r.n_nationkey * 2)
     return db.table("nation").project(
@@ -498,7 +498,7 @@ def map_ops(spark, db):
 
 @query("""SELECT p_partkey, upper(p_name) AS up, length(p_name) AS n, substr(p_name, 3, 4) AS part, instr(p_name, 'a') AS a_at, replace(p_brand, '#', '-') AS brand,
     lpad(CAST(p_size AS VARCHAR), 4, '0') AS padded, split_part(p_type, ' ', 2) AS second, starts_with(p_type, 'PROMO') AS promo, contains(p_name, 'ee') AS has_ee,
-    reverse(p_brand) AS back, levenshtein(p_brand, 'Brand#11') AS far, ascii(p_name) AS code, repeat(left(p_brand, 2), 3) AS rep,
+    reverse(p_brand) AS back, levenshtein(p_brand, 'Brand#11') AS far, CAST(ascii(p_name) AS BIGINT) AS code, repeat(left(p_brand, 2), 3) AS rep,
     regexp_matches(p_brand, '^(?:Brand#[1-3].)$') AS m, lower(left(p_brand, 1)) || substr(p_brand, 2) AS low, md5(p_name) AS hashed, base64(encode(p_brand)) AS b64 FROM part""")
 def string_family(spark, db):
     return db.table("part").project(
@@ -533,7 +533,7 @@ def string_jaro_winkler(spark, db):
 def regexp_family(spark, db):
     return db.table("part").project(
         p_partkey=lambda r: r.p_partkey,
-        vowels=lambda r: strings.regexp_count(r.p_name, "[aeiou]").cast("bigint"),
+        vowels=lambda r: strings.regexp_count(r.p_name, "[aeiou]"),
         masked=lambda r: strings.regexp_replace(r.p_name, "[aeiou]", "_"),
         first_masked=lambda r: strings.regexp_replace(r.p_name, "[aeiou]", "_", replace_all=False),
         digits=lambda r: strings.regexp_extract(r.p_brand, "[0-9]", True),
@@ -567,8 +567,8 @@ def math_family(spark, db):
     )
 
 
-@query("""SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(month(o_orderdate) AS INTEGER) AS m, monthname(o_orderdate) AS mname, dayname(o_orderdate) AS dname,
-    CAST(quarter(o_orderdate) AS INTEGER) AS q, CAST(isodow(o_orderdate) AS INTEGER) AS dow, CAST(dayofyear(o_orderdate) AS INTEGER) AS doy, CAST(week(o_orderdate) AS INTEGER) AS wk,
+@query("""SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, monthname(o_orderdate) AS mname, dayname(o_orderdate) AS dname,
+    quarter(o_orderdate) AS q, isodow(o_orderdate) AS dow, dayofyear(o_orderdate) AS doy, week(o_orderdate) AS wk,
     CAST(date_trunc('month', o_orderdate) AS DATE) AS month_start, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS quarter_start, CAST(date_trunc('week', o_orderdate) AS DATE) AS week_start,
     CAST(o_orderdate + INTERVAL 3 MONTH AS TIMESTAMP) AS later, strftime(o_orderdate, '%Y/%m/%d') AS shown FROM orders""")
 def date_family(spark, db):
