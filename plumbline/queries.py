@@ -16,7 +16,7 @@ from plumbline.plans.model import Mapping, Model, Temporal
 from plumbline.sources import readers
 from plumbline.streaming import windows as streams
 
-TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings"]
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
@@ -26,7 +26,8 @@ def query(sql: str | None):
 
     def register(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            got = f(spark, readers.Database.of_folder(spark, sf_dir, TABLES))
+            db = readers.Database.of_folder(spark, sf_dir, TABLES)
+            got = f(spark, db)
             return got.df if isinstance(got, Rel) else got
 
         _QUERIES[f.__name__] = run
@@ -626,6 +627,70 @@ def case_if(spark, db):
     return db.table("orders").project(o_orderkey=lambda r: r.o_orderkey, state=lambda r: nulls.match(r.o_orderstatus, (r.o_orderstatus == "F", "done"), (r.o_orderstatus == "O", "open"), default="other"))
 
 
+@query("""SELECT n_nationkey, CAST(list_reduce(list_prepend(0, [n_nationkey, n_regionkey]), lambda a, x: a * 10 + x) AS INTEGER) AS folded, list_reverse([n_nationkey, n_regionkey]) AS back,
+    list_sort([n_nationkey, n_regionkey]) AS up, list_concat([n_nationkey], [n_regionkey]) AS both, list_distinct([n_regionkey, n_regionkey]) AS once,
+    n_nationkey > n_regionkey AS every, list_sort([n_nationkey, n_regionkey])[-1] AS top FROM nation""")
+def list_family(spark, db):
+    c = lambda r: lists.list_(r.n_nationkey, r.n_regionkey)
+    return db.table("nation").project(
+        n_nationkey=lambda r: r.n_nationkey,
+        folded=lambda r: lists.fold(c(r), lambda x, acc: acc * 10 + x, F.lit(0)),
+        back=lambda r: lists.reverse(c(r)),
+        up=lambda r: lists.sort(c(r)),
+        both=lambda r: lists.concatenate(F.array(r.n_nationkey), F.array(r.n_regionkey)),
+        once=lambda r: lists.distinct(F.array(r.n_regionkey, r.n_regionkey)),
+        every=lambda r: lists.for_all(F.array(r.n_nationkey), lambda x: x > r.n_regionkey),
+        top=lambda r: lists.greatest(c(r)),
+    )
+
+
+@query("""SELECT vec_id, CAST(list_sum(embedding) AS DOUBLE) IS NOT NULL AS some, len(embedding) AS n, round(list_max(embedding)::DOUBLE, 6) AS top, CAST(list_position(embedding, list_max(embedding)) - 1 AS BIGINT) AS at
+    FROM embeddings""")
+def list_statistics(spark, db):
+    return db.table("embeddings").project(
+        vec_id=lambda r: r.vec_id,
+        some=lambda r: lists.sum_(r.embedding).isNotNull(),
+        n=lambda r: lists.size(r.embedding),
+        top=lambda r: _r(lists.greatest(r.embedding).cast("double"), 6),
+        at=lambda r: lists.index_of(r.embedding, lists.greatest(r.embedding)),
+    )
+
+
+@query("""SELECT c_custkey, 'Customer ' || c_custkey || ': ' || printf('%.2f', c_acctbal) AS shown, sha256(c_name) AS hashed, upper(left(c_name, 1)) || substr(c_name, 2) AS first_up,
+    CAST(replace(substr(c_name, -4), '#', '0') AS BIGINT) AS parsed FROM customer""")
+def format_and_parse(spark, db):
+    return db.table("customer").project(
+        c_custkey=lambda r: r.c_custkey,
+        shown=lambda r: strings.format_("Customer %s: %.2f", r.c_custkey, r.c_acctbal),
+        hashed=lambda r: hashing.hash_(r.c_name, "SHA256"),
+        first_up=lambda r: strings.to_upper_first_character(r.c_name),
+        parsed=lambda r: strings.parse_integer(strings.replace(strings.right(r.c_name, 4), "#", "0")),
+    )
+
+
+@query("""SELECT o_orderkey, CAST(o_orderdate AS DATE) = DATE '1996-01-02' AS on_day, o_orderdate >= TIMESTAMP '1997-01-01' AS after, CAST(epoch(o_orderdate) AS BIGINT) AS epoch,
+    date_trunc('day', o_orderdate) AS midnight, CAST(date_trunc('year', o_orderdate) AS DATE) AS year_start, CAST(o_orderdate AS DATE) - CAST(isodow(o_orderdate) - 1 AS INTEGER) AS monday,
+    strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.000+0000') AS iso FROM orders""")
+def date_boundaries(spark, db):
+    d = lambda f, *a: lambda r: f(*a, r.o_orderdate)
+    return db.table("orders").project(
+        o_orderkey=lambda r: r.o_orderkey,
+        on_day=lambda r: dates.is_on_day(r.o_orderdate, F.lit("1996-01-02")),
+        after=lambda r: dates.is_on_or_after_day(r.o_orderdate, F.lit("1997-01-01")),
+        epoch=d(dates.to_epoch_value),
+        midnight=d(dates.first_hour_of_day),
+        year_start=d(dates.first_day_of_year),
+        monday=d(dates.most_recent_day_of_week, "Monday"),
+        iso=lambda r: strings.to_string(dates.first_millisecond_of_second(r.o_orderdate), "datetime"),
+    )
+
+
+@query("""SELECT event_id, CAST(CAST(json_extract(props, '$.k') AS BIGINT) * 2 AS BIGINT) AS twice FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) > 50""")
+def variant_filter(spark, db):
+    rows = db.table("events").project(event_id=lambda r: r.event_id, k=lambda r: variant.to(variant.get(variant.from_json(r.props), "k"), "bigint"))
+    return rows.filter(lambda r: nulls.greater_than(r.k, 50)).project(event_id=lambda r: r.event_id, twice=lambda r: r.k * 2)
+
+
 # classes
 
 
@@ -785,6 +850,105 @@ def calendar_ytd(spark, db):
     return df.agg(total("ytd").alias("ytd"), total("mtd").alias("mtd"), total("priorYear").alias("prior_year"), total("p12mtd").alias("p12mtd"))
 
 
+@query("""SELECT c_custkey AS id, n_name AS nation, coalesce(list_sort(list({'id': o_orderkey, 'price': o_totalprice}) FILTER (o_orderkey IS NOT NULL)), []) AS orders
+    FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey WHERE c_custkey % 10 = 0 GROUP BY ALL""")
+def graph_fetch_nested(spark, db):
+    some = star(db).all("Customer").filter(lambda c: c.at("id") % 10 == 0)
+    tree = graph.graph_fetch(some, {"id": None, "nation": {"name": None}, "orders": {"id": None, "price": None}})
+    return tree.select("id", F.col("nation.name").alias("nation"), "orders")
+
+
+@query("SELECT c_name AS name, CASE WHEN c_acctbal < 0 THEN ['positiveBalance'] ELSE [] END AS defects FROM customer")
+def graph_fetch_checked(spark, db):
+    return graph.graph_fetch_checked(star(db).all("Customer"), {"name": None}).select(F.col("value.name").alias("name"), "defects")
+
+
+@query("SELECT n_name AS name, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name IN ('ASIA', 'EUROPE')")
+def nav_filter_to_one(spark, db):
+    return star(db).all("Nation").filter(lambda n: nulls.in_(n.at("region.name"), ["ASIA", "EUROPE"]), "region.name").project(name="name", region="region.name")
+
+
+@query("SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 290000)")
+def nav_is_empty(spark, db):
+    return star(db).all("Customer").exists("orders", lambda o: o.at("price") > 290000, negate=True).project(id="id")
+
+
+@query("SELECT r_name AS name, count(c_custkey) AS customers FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY r_name")
+def nav_count_two_steps(spark, db):
+    return star(db).all("Region").group_by({"name": "name"}, customers=("nations.customers.id", F.count))
+
+
+@query("SELECT s_name AS name, n_name AS nation, 'Seller' AS kind FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT c_name, n_name, 'Buyer' FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def inheritance_extent(spark, db):
+    """A class without a mapping is the union of its subclasses, and its own associations hold for all of them."""
+    m = star(db)
+    m.add_class("Party", name="String")
+    m.add_class("Buyer", name="String").supers = ("Party",)
+    m.add_class("Seller", name="String").supers = ("Party",)
+    m.map("Buyer", Mapping("customer", {"name": "c_name"}, {"nation": "c_nationkey"}))
+    m.map("Seller", Mapping("supplier", {"name": "s_name"}, {"nation": "s_nationkey"}))
+    m.associate("Party", "nation", "Nation", False, [("$nation", "$id")])
+    return m.all("Party").project(name="name", nation="nation.name", kind="$class")
+
+
+@query("SELECT s_suppkey AS id, coalesce(CASE WHEN s_acctbal > 5000 THEN 'rich' END, n_name) AS label FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey")
+def embedded_otherwise(spark, db):
+    m = star(db)
+    m.add_class("Seller", id="Integer")
+    m.map("Seller", Mapping("supplier", {"id": "s_suppkey", "own": lambda r: F.when(r.s_acctbal > 5000, "rich")}, {"nation": "s_nationkey"}))
+    m.associate("Seller", "nation", "Nation", False, [("$nation", "$id")])
+    sellers = m.all("Seller").navigate("nation")
+    return sellers.project(id="id", label=lambda s: s.otherwise("own", "nation.name"))
+
+
+@query(_VERSIONS + """SELECT CAST(d AS TIMESTAMP) AS d, o_orderkey AS id FROM v, (VALUES (DATE '1995-03-01'), (DATE '1997-03-01')) t(d) WHERE o_orderdate <= d AND thru > d""")
+def milestone_each_date(spark, db):
+    return _versions(db).all_for_each_date("Version", [dt.datetime(1995, 3, 1), dt.datetime(1997, 3, 1)]).select(F.col("`$date`").alias("d"), "id")
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE CAST(o_orderdate AS DATE) = DATE '1995-06-14'")
+def milestone_snapshot(spark, db):
+    m = Model(db)
+    m.add_class("Snap", id="Integer").temporal = "business"
+    m.map("Snap", Mapping(lambda d: d.table("orders").extend(day=lambda r: dates.date_part(r.o_orderdate)), {"id": "o_orderkey"}, business=Temporal(snapshot="day")))
+    return m.all("Snap", dt.datetime(1995, 6, 14)).project(id="id")
+
+
+@query("""SELECT l_orderkey AS k, l_linenumber AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+    WHERE l_shipdate > TIMESTAMP '1995-01-01' AND l_shipdate <= TIMESTAMP '1996-01-01' AND o_orderdate <= TIMESTAMP '1995-06-01' AND l_shipdate + INTERVAL 1 YEAR > TIMESTAMP '1995-06-01'""")
+def milestone_bitemporal(spark, db):
+    def versions(d):
+        rows = d.table("lineitem").join(d.table("orders"), "INNER", lambda t, v: t.l_orderkey == v.o_orderkey)
+        return rows.filter(lambda r: r.l_shipdate > F.lit(dt.datetime(1995, 1, 1)).cast("timestamp_ntz")).extend(gone=lambda r: dates.adjust(r.l_shipdate, 1, "YEARS"), far=lambda r: F.lit(dt.datetime(9999, 12, 31)).cast("timestamp_ntz"))
+
+    m = Model(db)
+    m.add_class("Line", k="Integer").temporal = "bitemporal"
+    m.map("Line", Mapping(versions, {"k": "l_orderkey", "n": "l_linenumber"}, processing=Temporal("l_shipdate", "far"), business=Temporal("o_orderdate", "gone")))
+    return m.all("Line", dt.datetime(1996, 1, 1), dt.datetime(1995, 6, 1)).project(k="k", n="n")
+
+
+_CALENDAR_SQL = """WITH o AS (SELECT CAST(o_orderdate AS DATE) AS d FROM orders), e AS (SELECT DATE '1996-08-15' AS e)
+    SELECT CAST(count(*) FILTER (year(d) = 1995 AND dayofyear(d) <= dayofyear(e)) AS DOUBLE) AS pytd,
+    CAST(count(*) FILTER (year(d) = 1996 AND quarter(d) = 3 AND d <= e) AS DOUBLE) AS qtd,
+    CAST(count(*) FILTER (d >= e - 28 AND d <= e) AS DOUBLE) / 4 AS p4wa,
+    CAST(count(*) FILTER (date_trunc('week', d) = date_trunc('week', e)) AS DOUBLE) AS cw,
+    CAST(count(*) FILTER (date_trunc('week', d) = date_trunc('week', e) - INTERVAL 7 DAY) AS DOUBLE) AS pw,
+    CAST(count(*) FILTER (year(d) = 1996 AND month(d) = 7 AND day(d) <= 15) AS DOUBLE) AS pmtd,
+    CAST(count(*) FILTER (year(d) = 1995 AND month(d) = 8 AND day(d) <= 15) AS DOUBLE) AS pymtd,
+    CAST(count(*) FILTER (year(d) = 1994) AS DOUBLE) AS CYMinus2,
+    CAST(count(*) FILTER (d = e - 1) AS DOUBLE) AS priorDay,
+    round(CAST(count(*) FILTER (year(d) = 1996) AS DOUBLE) / (dayofyear(e) / 366.0), 6) AS annualized,
+    round(CAST(count(*) FILTER (year(d) = 1996 AND month(d) <= 7) AS DOUBLE) / 7, 6) AS pma FROM o, e GROUP BY e"""
+
+
+@query(_CALENDAR_SQL)
+def calendar_functions(spark, db):
+    calendar = calendars.plain_calendar(spark, dt.date(1990, 1, 1), dt.date(2026, 12, 31))
+    df = calendars.with_calendar(db.table("orders").df, calendar, F.col("o_orderdate"), F.lit(dt.date(1996, 8, 15)))
+    names = ["pytd", "qtd", "p4wa", "cw", "pw", "pmtd", "pymtd", "CYMinus2", "priorDay", "annualized", "pma"]
+    return df.agg(*(_r(F.coalesce(F.sum(calendars.value(n, F.lit(1))), F.lit(0.0)), 6).alias(n) for n in names))
+
+
 # sources
 
 
