@@ -163,7 +163,7 @@ def _count_contexts(batches: Iterator[pa.RecordBatch], code: Code) -> Iterator[p
     offsets = _offsets()
     total = [np.zeros((1 << b) * SYMBOLS, np.uint32) for b in SLOT_BITS]
     for batch in batches:
-        for part in slices(batch, "text", SLICE_BYTES // 2):
+        for part in slices(batch, "text", SLICE_BYTES // 4):
             raw, at, _ = _layout(_texts(part.column(0)))
             symbol = code.symbol[raw[at]]
             for table, slot in zip(total, _slots(raw, at)):
@@ -357,11 +357,22 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     n_words, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     texts = int(histogram[END])
     tokens, distinct = n_words + texts, distinct + (texts > 0)
-    head_rows = words.orderBy(F.desc("n"), "key").limit(HEAD).toPandas()
+    # by the logarithm of its count, a word belongs to the head if all words as frequent fit in; HEAD rows at most come here
+    level = F.floor(8 * F.log2("n")).cast("int")
+    room, least = HEAD, 1 << 20
+    for r in sorted(words.groupBy(level.alias("level")).count().collect(), reverse=True):  # some 500 levels at most
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r.level
+    head_rows = words.where(level >= least).toPandas()
     head = Words(head_rows["key"].to_numpy(np.int64), head_rows["n"].to_numpy(np.int64))
 
-    fit = train.select("place", F.substring("text", 1, FIT_CHARS).alias("text")).orderBy("place", "text").limit(FIT_TEXTS).collect()
-    fit = fit if texts > 4 * FIT_TEXTS else []
+    fit = []
+    if texts > 4 * FIT_TEXTS:
+        bound = -(1 << 63) + int(4 * FIT_TEXTS / texts * ((1 << 64) - 1))  # lets about four times as many through
+        few = train.where(F.col("place") <= bound).select("place", F.substring("text", 1, FIT_CHARS).alias("text"))
+        fit = few.orderBy("place", "text").limit(FIT_TEXTS).collect()
     code = Code(histogram)
     shared_code = spark.sparkContext.broadcast(code)
     counted = train.where(F.col("place") > fit[-1].place) if fit else train
@@ -381,7 +392,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mixer, head = shared.value
         for batch in batches:
-            for part in slices(batch, "text", SLICE_BYTES // 2):
+            for part in slices(batch, "text", SLICE_BYTES // 4):
                 texts_ = _texts(part.column(3))
                 raw = np.frombuffer(b"".join(texts_), np.uint8)
                 bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts_), np.int64, len(texts_)))])
