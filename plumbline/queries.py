@@ -13,6 +13,7 @@ from plumbline.operators import aggs, windows as w
 from plumbline.operators.relation import Rel, ascending, descending
 from plumbline.plans import graph
 from plumbline.plans.model import Mapping, Model, Temporal
+from plumbline.session import ship
 from plumbline.sources import readers
 from plumbline.streaming import windows as streams
 
@@ -26,6 +27,7 @@ def query(sql: str | None):
 
     def register(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
             db = readers.Database.of_folder(spark, sf_dir, TABLES)
             got = f(spark, db)
             return got.df if isinstance(got, Rel) else got
