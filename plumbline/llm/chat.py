@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm._common import materialize
+from plumbline.llm._common import map_arrow, materialize
 
 #: Control strings of the template: fixed values.
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
@@ -164,7 +164,7 @@ def pack(turns: DataFrame, pack_chars: int = 1 << 16, pack_conversations: int =
         lambda path, t: F.concat(path, F.array(F.xxhash64(F.try_element_at(path, F.lit(-1)), t["role"], t["role"].isNull(), t["text"]))),
     )
     dealt = whole.withColumn("path", chain).repartitionByRange("path", "conv_id").sortWithinPartitions("path", "conv_id")
-    return materialize(dealt.select("conv_id", "turns").mapInArrow(work, _PACK_DDL))
+    return materialize(map_arrow(dealt.select("conv_id", "turns"), work, _PACK_DDL))
 
 
 def read_packs(packs: DataFrame) -> DataFrame:
@@ -203,4 +203,4 @@ def read_packs(packs: DataFrame) -> DataFrame:
                     out.append((conv_id, *known[leaf]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
-    return packs.mapInArrow(work, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return map_arrow(packs, work, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm._common import SLICE_BYTES, materialize, mix64, slices, span_hashes, text_buffer, word_spans
+from plumbline.llm._common import SLICE_BYTES, map_arrow, materialize, mix64, slices, span_hashes, text_buffer, word_spans
 
 SYMBOLS = 64
 END = 0x0A
@@ -349,7 +349,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     # the gates are fitted on the first rows in the order of a hash; these are left out of the contexts' counts
     train = docs.where(~held_out(id_col)).select(F.xxhash64(F.col(id_col).cast("long")).alias("place"), text.alias("text"))
 
-    counts = materialize(train.select("text").mapInArrow(_count_words, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    counts = materialize(map_arrow(train.select("text"), _count_words, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
     histogram = np.zeros(256, np.int64)
     for r in counts.where("kind = 1").collect():  # 256 rows at most
         histogram[r.key] = r.n
@@ -376,8 +376,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     code = Code(histogram)
     shared_code = spark.sparkContext.broadcast(code)
     counted = train.where(F.col("place") > fit[-1].place) if fit else train
-    sparse = counted.select("text").mapInArrow(lambda it: _count_contexts(it, shared_code.value), "chunk long, cells binary")
-    summed = sparse.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(lambda it: _add_up(it, shared_code.value), "chunk long, logits binary")
+    sparse = map_arrow(counted.select("text"), lambda it: _count_contexts(it, shared_code.value), "chunk long, cells binary")
+    summed = map_arrow(sparse.repartition("chunk").sortWithinPartitions("chunk"), lambda it: _add_up(it, shared_code.value), "chunk long, logits binary")
     flat = np.zeros(int(_offsets()[-1]), np.int8)
     for r in summed.toLocalIterator():  # the tables have a fixed size of 20 MB
         flat[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.logits, np.int8)
@@ -412,7 +412,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.monotonically_increasing_id().alias("row"), text.alias("text"))
-    scored = materialize(source.mapInArrow(work, kind))
+    scored = materialize(map_arrow(source, work, kind))
     # words that are not among the most frequent: no word is hot here
     tail = scored.select("row", F.explode("tail").alias("key")).groupBy("row", "key").agg(F.count("*").alias("times"))
     joined = tail.join(words, "key", "left")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm._common import LOWER, mix64, record_batch, slices, span_hashes, text_buffer, word_spans
+from plumbline.llm._common import LOWER, map_arrow, mix64, record_batch, slices, span_hashes, text_buffer, word_spans
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -211,7 +211,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
                         row, item, similarity, first, size = zip(*found)
                         yield record_batch(schema, doc_id=part.column(0).take(pa.array(row)), item_id=item, similarity=similarity, first_word=first, n_words=size)
 
-        out = out.union(source.mapInArrow(work, kind))
+        out = out.union(map_arrow(source, work, kind))
     return out
 
 
@@ -228,5 +228,5 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
                     keep[[row for row, *_ in shared.value.scan(part.column(at))]] = False
                     yield part.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(work, docs.schema)
+        docs = map_arrow(docs, work, docs.schema)
     return docs

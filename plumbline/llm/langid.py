@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm._common import slices, text_buffer
+from plumbline.llm._common import map_arrow, slices, text_buffer
 
 ORDER = 3
 #: Bytes of labelled text that a language is learned from at most: the bound of the sample.
@@ -219,7 +219,7 @@ def identify(docs: DataFrame, trees: ContextTrees, id_col: str = "doc_id", text_
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lang, pa.string()), pa.array(score), pa.array(rate)], names=names)
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(work, "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double")
+    return map_arrow(source, work, "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double")
 
 
 def keep_identified(docs: DataFrame, trees: ContextTrees, text_col: str = "text", most_bits: float = 6.0) -> DataFrame:
@@ -233,4 +233,4 @@ def keep_identified(docs: DataFrame, trees: ContextTrees, text_col: str = "text"
                 lang, _, rate = shared.value.predict(part.column(at))
                 yield part.filter(pa.array([x != UNDETERMINED and r <= most_bits for x, r in zip(lang, rate.tolist())], pa.bool_()))
 
-    return docs.mapInArrow(work, docs.schema)
+    return map_arrow(docs, work, docs.schema)

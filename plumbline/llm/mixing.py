@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm._common import materialize
+from plumbline.llm._common import map_arrow, materialize
 
 MAX_REPEATS = 3
 WORD = r"[^\x20\x09-\x0D]+"
@@ -115,7 +115,7 @@ def mix(docs: DataFrame, id_col: str, size_col: str, members_col: str, weights:
     flows = route([size for _, size in patterns], [[number[m] for m in p] for p, _ in patterns], targets, repeats)
 
     parts = rows.repartitionByRange("members", "place", "doc_id").sortWithinPartitions("members", "place", "doc_id", "size")
-    lined = materialize(parts.withColumn("part", F.spark_partition_id()).mapInArrow(_running, "doc_id long, size long, members array<string>, part int, before long"))
+    lined = materialize(map_arrow(parts.withColumn("part", F.spark_partition_id()), _running, "doc_id long, size long, members array<string>, part int, before long"))
     starts: dict[tuple[int, tuple], int] = {}
     run: dict[tuple, int] = defaultdict(int)
     # one row for each part and each pattern that begins in it
@@ -127,7 +127,8 @@ def mix(docs: DataFrame, id_col: str, size_col: str, members_col: str, weights:
         for (p, size), flow in zip(patterns, flows)
     }
     shared = docs.sparkSession.sparkContext.broadcast((starts, plan))
-    return lined.mapInArrow(
+    return map_arrow(
+        lined,
         lambda batches: _choose(batches, *shared.value, repeats),
         "doc_id long, size long, members array<string>, source_size array<long>, target array<double>, copies long, routed array<long>",
     )

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm._common import SLICE_BYTES, materialize, slices
+from plumbline.llm._common import SLICE_BYTES, map_arrow, materialize, slices
 from plumbline.llm.components import components
 
 RADIUS = 3
@@ -77,7 +77,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle_words: int
 
     k1, k2 = row_key(id_col, text_col)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), k1.alias("k1"), k2.alias("k2"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(work, "doc_id long, k1 long, k2 long, fp long")
+    return map_arrow(source, work, "doc_id long, k1 long, k2 long, fp long")
 
 
 @lru_cache(maxsize=1)
@@ -200,9 +200,9 @@ def near_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
                 row, key = link_keys(part)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part[row])], schema=schema)
 
-    keys = fps.select("fp").distinct().mapInArrow(keyed, "key long, fp long")
+    keys = map_arrow(fps.select("fp").distinct(), keyed, "key long, fp long")
     sorted_keys = keys.repartition("key").sortWithinPartitions("key")
-    return sorted_keys.mapInArrow(lambda it: link_groups(it, radius), "u long, v long").distinct()
+    return map_arrow(sorted_keys, lambda it: link_groups(it, radius), "u long, v long").distinct()
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, radius: int) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm._common import LOWER, SLICE_BYTES, record_batch, slices, text_buffer, word_spans
+from plumbline.llm._common import LOWER, SLICE_BYTES, map_arrow, record_batch, slices, text_buffer, word_spans
 
 END = 256
 #: Words over this many bytes go through the automaton one by one.
@@ -172,4 +172,4 @@ def count_tokens(docs: DataFrame, pieces: Iterable[tuple[bytes, bool]], id_col:
                 yield record_batch(schema, doc_id=part.column(0), n_words=total(), n_tokens=total(np.where(n < 0, 1, n)), n_unknown=total(n < 0))
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(work, "doc_id long, n_words long, n_tokens long, n_unknown long")
+    return map_arrow(source, work, "doc_id long, n_words long, n_tokens long, n_unknown long")

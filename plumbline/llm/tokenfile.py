@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm._common import SLICE_BYTES, materialize, slices
+from plumbline.llm._common import SLICE_BYTES, map_arrow, materialize, slices
 
 BLOCK = 128
 _HEADER = struct.Struct("<4sIQII")
@@ -321,7 +321,7 @@ def write_token_files(
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ranges = source.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    files = ranges.withColumn("part", F.spark_partition_id()).mapInArrow(work, "part int, first long, n_ids long, file binary")
+    files = map_arrow(ranges.withColumn("part", F.spark_partition_id()), work, "part int, first long, n_ids long, file binary")
     return materialize(files)
 
 
@@ -352,4 +352,4 @@ def read_token_files(files: DataFrame) -> DataFrame:
                 )
 
     columns = files.select("part", "first", "file")
-    return columns.mapInArrow(work, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return map_arrow(columns, work, "doc_id long, start long, n_tokens long, ids_crc32 long")

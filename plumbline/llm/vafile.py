@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm._common import materialize
+from plumbline.llm._common import map_arrow, materialize
 
 #: Bits of a cell number, and vectors in a block.
 BITS = 6
@@ -71,7 +71,7 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
                     yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(one, schema)], schema=schema)
 
     source = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"))
-    return materialize(source.mapInArrow(work, "dims int, low double, step double, ids binary, cells binary, exact binary"))
+    return materialize(map_arrow(source, work, "dims int, low double, step double, ids binary, cells binary, exact binary"))
 
 
 class _Best:
@@ -163,7 +163,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["number", "query_id", "vec_id", "score"])
 
-        return index.mapInArrow(work, kind)
+        return map_arrow(index, work, kind)
 
     for r in rows.toLocalIterator():
         held.append((r.vec_id, r.embedding))
