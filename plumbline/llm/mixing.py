@@ -123,35 +123,113 @@ def mix(docs: DataFrame, id_col: str, size_col: str, members_col: str, weights:
         starts[r.part, tuple(r.members)] = run[tuple(r.members)]
         run[tuple(r.members)] += r.size
     plan = {
-        p: (size, [(number[m], sizes[number[m]], targets[number[m]], flow[number[m]]) for m in p])
+        p: _Plan(size, [(sizes[number[m]], targets[number[m]], flow[number[m]]) for m in p], repeats)
         for (p, size), flow in zip(patterns, flows)
     }
+    _top_up(lined, starts, plan)
     shared = docs.sparkSession.sparkContext.broadcast((starts, plan))
     return map_arrow(
         lined,
-        lambda batches: _choose(batches, *shared.value, repeats),
+        lambda batches: _choose(batches, *shared.value),
         "doc_id long, size long, members array<string>, source_size array<long>, target array<double>, copies long, routed array<long>",
     )
 
 
+class _Plan:
+    """What the flow takes of a pattern: every row `full` times, and rows worth `rest` words once more.
+
+    Those are the rows that end within the first `cut` words of the line, and the ones that begin at `extra`.
+    """
+
+    def __init__(self, length: int, sources: list[tuple[int, float, float]], repeats: int):
+        self.length, self.sources = length, sources
+        self.ends = np.cumsum([x[2] for x in sources]).tolist()
+        words = self.ends[-1] if sources else 0.0
+        self.full = min(repeats, int(words / length + 1e-9)) if length else 0
+        self.rest = max(0.0, words - self.full * length) if self.full < repeats else 0.0
+        self.cut, self.extra = 0, set()
+        self.gap = self.rest
+
+    def again(self, at: int, size: int) -> bool:
+        return size > 0 and (at + size <= self.cut or at in self.extra)
+
+
+def _top_up(lined: DataFrame, starts: dict, plan: dict[tuple, _Plan], passes: int = 4) -> None:
+    """Fill each plan's rest: whole rows from the line's start, then rows whose size is nearest to what is left.
+
+    A pass brings one row a pattern to the driver.
+    """
+    spark = lined.sparkSession
+
+    def best(judge) -> list:
+        shared = spark.sparkContext.broadcast((starts, plan))
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            starts, plan = shared.value
+            for batch in batches:
+                found: dict[tuple, tuple] = {}
+                for size, members, part, before in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4))):
+                    key = tuple(members)
+                    at = starts[part, key] + before
+                    rank = judge(plan[key], at, size) if size else None
+                    if rank is not None and (key not in found or (rank, at) < found[key][:2]):
+                        found[key] = (rank, at, size)
+                if found:
+                    rank, at, size = zip(*found.values())
+                    columns = [pa.array([list(k) for k in found], pa.list_(pa.string())), pa.array(rank, pa.float64()), pa.array(at, pa.int64()), pa.array(size, pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["members", "rank", "at", "size"])
+
+        rows = map_arrow(lined, work, "members array<string>, rank double, at long, size long")
+        return rows.groupBy("members").agg(F.min(F.struct("rank", "at", "size")).alias("b")).collect()
+
+    for r in best(_last_within):
+        p = plan[tuple(r.members)]
+        p.cut = r.b["at"] + r.b["size"]
+        p.gap = p.rest - p.cut
+    for _ in range(passes):
+        got = best(_nearest)
+        for r in got:
+            p = plan[tuple(r.members)]
+            p.extra.add(r.b["at"])
+            p.gap -= r.b["size"]
+        if not got:
+            break
+
+
+def _last_within(p: _Plan, at: int, size: int) -> float | None:
+    return -float(at) if at + size <= p.rest + 1e-6 else None
+
+
+def _nearest(p: _Plan, at: int, size: int) -> float | None:
+    miss = abs(p.gap - size)
+    return miss if p.gap > 0 and miss < p.gap and not p.again(at, size) else None
+
+
 def mix_documents(docs: DataFrame, id_col: str, size: Column, members: Column, weights: Sequence[float] = (5, 2, 1), seed: int = 42, repeats: int = MAX_REPEATS) -> DataFrame:
     """The rows of docs as often as the mix takes them, all columns kept.
 
-    Along a pattern's seeded order the copies fall by one at most once, so one boundary row a pattern (at most
-    `max_patterns` rows, broadcast) decides all; the documents themselves are not shuffled. Rows that agree in id and
-    size are told apart by nothing and are taken alike.
+    A pattern's rows have two numbers of copies. In its seeded order the larger one holds up to some row, and for a few
+    single rows behind it; these rows (a handful a pattern, `max_patterns` patterns at most) are broadcast and decide
+    all, so the documents themselves are not shuffled. Rows that agree in id and size are taken alike.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), size.alias("size"), members.alias("members"))
-    mixed = materialize(mix(rows, "doc_id", "size", "members", weights, seed, repeats).drop("source_size", "target", "routed"))
-    spot = F.struct(F.xxhash64(F.lit(seed), "doc_id", "size").alias("place"), F.col("doc_id").isNotNull().alias("some"), "doc_id", "size")
-    most = mixed.where("size > 0").groupBy("members").agg(F.max("copies").alias("most"), F.min("copies").alias("least"))
-    both = mixed.join(F.broadcast(most.withColumnRenamed("members", "of")), F.col("members") == F.col("of"))
-    ends = both.where("size > 0 and copies = most").groupBy("members").agg(F.max(spot).alias("end"), F.first("most").alias("most"), F.first("least").alias("least"))
-    own = F.struct(F.xxhash64(F.lit(seed), F.col(id_col).cast("long"), size).alias("place"), F.col(id_col).isNotNull().alias("some"), F.col(id_col).cast("long").alias("doc_id"), size.alias("size"))
-    ends = F.broadcast(ends.select(F.col("members").alias("__members"), "end", F.col("most").alias("__most"), F.col("least").alias("__least")))
-    joined = docs.alias("d").join(ends, F.array_sort(F.array_distinct(members)) == F.col("__members"))
-    copies = F.when(own <= F.col("end"), F.col("__most")).otherwise(F.col("__least"))
-    copies = F.when(size > 0, copies).otherwise(F.lit(0)).cast("int")
+    spot = lambda doc_id, n: F.struct(F.xxhash64(F.lit(seed), doc_id, n).alias("place"), doc_id.isNotNull().alias("some"), doc_id.alias("doc_id"), n.alias("size"))
+    mixed = materialize(mix(rows, "doc_id", "size", "members", weights, seed, repeats).select("members", "copies", spot(F.col("doc_id"), F.col("size")).alias("spot")))
+    some = mixed.where("spot.size > 0")
+    # the first row with the smaller number, and the rows behind it with the larger one: a few by construction
+    both = some.groupBy("members").agg(F.max("copies").alias("most"), F.min("copies").alias("least"))
+    ends = some.join(F.broadcast(both.withColumnRenamed("members", "of")), F.col("members") == F.col("of"))
+    firsts = ends.where("copies = least and least < most").groupBy("members").agg(F.min("spot").alias("end"))
+    late = some.join(F.broadcast(firsts.withColumnRenamed("members", "of")), F.col("members") == F.col("of")).join(
+        F.broadcast(both.select(F.col("members").alias("of2"), "most")), F.col("members") == F.col("of2")
+    )
+    extra = late.where((F.col("copies") == F.col("most")) & (F.col("spot") > F.col("end"))).groupBy("members").agg(F.collect_set("spot").alias("extra"))
+    rule = both.join(firsts, "members", "left").join(extra, "members", "left")
+    rule = F.broadcast(rule.select(F.col("members").alias("__members"), F.col("end").alias("__end"), F.col("extra").alias("__extra"), F.col("most").alias("__most"), F.col("least").alias("__least")))
+    own = spot(F.col(id_col).cast("long"), size)
+    joined = docs.alias("d").join(rule, F.array_sort(F.array_distinct(members)) == F.col("__members"))
+    larger = F.col("__end").isNull() | (own < F.col("__end")) | F.coalesce(F.array_contains("__extra", own), F.lit(False))
+    copies = F.when(size > 0, F.when(larger, F.col("__most")).otherwise(F.col("__least"))).otherwise(F.lit(0)).cast("int")
     return joined.select("d.*", F.explode(F.array_repeat(F.lit(0), copies)).alias("__copy")).drop("__copy")
 
 
@@ -169,22 +247,19 @@ def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([doc_id, size, members, part, pa.array(before, pa.int64())], names=["doc_id", "size", "members", "part", "before"])
 
 
-def _choose(batches: Iterator[pa.RecordBatch], starts: dict, plan: dict, repeats: int) -> Iterator[pa.RecordBatch]:
+def _choose(batches: Iterator[pa.RecordBatch], starts: dict, plan: dict[tuple, _Plan]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "size", "members", "source_size", "target", "copies", "routed"]
     kinds = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.int64(), pa.list_(pa.int64())]
     for batch in batches:
         out = []
         for doc_id, size, members, part, before in zip(*(c.to_pylist() for c in batch.columns)):
             key = tuple(members)
-            length, sources = plan[key]
-            ends = np.cumsum([x[3] for x in sources]).tolist()
-            routed = [0] * len(sources)
-            middle = starts[part, key] + before + size / 2
-            for r in range(repeats):
-                # the copy is taken if most of it lies within the words that the flow takes
-                to = bisect_right(ends, r * length + middle)
-                if size and to < len(ends):
-                    routed[to] += 1
-            out.append((doc_id, size, members, [x[1] for x in sources], [x[2] for x in sources], sum(routed), routed))
+            p = plan[key]
+            routed = [0] * len(p.sources)
+            at = starts[part, key] + before
+            copies = p.full + p.again(at, size) if size else 0
+            for r in range(copies):  # the copy goes where most of it lies
+                routed[min(bisect_right(p.ends, r * p.length + at + size / 2), len(routed) - 1)] += 1
+            out.append((doc_id, size, members, [x[0] for x in p.sources], [x[1] for x in p.sources], copies, routed))
         columns = list(zip(*out)) if out else [()] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
