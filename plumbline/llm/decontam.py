@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm._common import LOWER, map_arrow, mix64, record_batch, slices, span_hashes, text_buffer, word_spans
+from plumbline.llm._common import LOWER, SLICE_BYTES, map_arrow, mix64, record_batch, slices, span_hashes, text_buffer, word_spans
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -205,7 +205,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
         def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in slices(batch, "text"):
+                for part in slices(batch, "text", SLICE_BYTES // 2):
                     found = list(shared.value.scan(part.column(1)))
                     if found:
                         row, item, similarity, first, size = zip(*found)
@@ -223,7 +223,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
 
         def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in slices(batch, text_col):
+                for part in slices(batch, text_col, SLICE_BYTES // 2):
                     keep = np.ones(part.num_rows, bool)
                     keep[[row for row, *_ in shared.value.scan(part.column(at))]] = False
                     yield part.filter(pa.array(keep))

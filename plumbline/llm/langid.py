@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm._common import map_arrow, slices, text_buffer
+from plumbline.llm._common import SLICE_BYTES, map_arrow, slices, text_buffer
 
 ORDER = 3
 #: Bytes of labelled text that a language is learned from at most: the bound of the sample.
@@ -214,7 +214,7 @@ def identify(docs: DataFrame, trees: ContextTrees, id_col: str = "doc_id", text_
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES // 4):
                 lang, score, rate = shared.value.predict(part.column(2))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lang, pa.string()), pa.array(score), pa.array(rate)], names=names)
 
@@ -229,7 +229,7 @@ def keep_identified(docs: DataFrame, trees: ContextTrees, text_col: str = "text"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text_col):
+            for part in slices(batch, text_col, SLICE_BYTES // 4):
                 lang, _, rate = shared.value.predict(part.column(at))
                 yield part.filter(pa.array([x != UNDETERMINED and r <= most_bits for x, r in zip(lang, rate.tolist())], pa.bool_()))
 

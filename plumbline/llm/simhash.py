@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm._common import SLICE_BYTES, map_arrow, materialize, slices
+from plumbline.llm._common import map_arrow, materialize, slices
 from plumbline.llm.components import components
 
 RADIUS = 3
@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle_words: int
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 4 * SLICE_BYTES):
+            for part in slices(batch, "text"):
                 fps = np.fromiter((fingerprint(t, shingle_words) for t in part.column(3).to_pylist()), np.uint64, part.num_rows)
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(fps.view(np.int64))], schema=schema)
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm._common import SLICE_BYTES, map_arrow, materialize, slices
+from plumbline.llm._common import map_arrow, materialize, slices
 
 BLOCK = 128
 _HEADER = struct.Struct("<4sIQII")
@@ -174,7 +174,7 @@ class WordEncoder:
     #: The only structure that the word path is proved for: fixed value.
     _PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
-    def __init__(self, spec: str, cache_words: int = 250_000):
+    def __init__(self, spec: str, cache_words: int = 150_000):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import CharDelimiterSplit
 
@@ -307,7 +307,7 @@ def write_token_files(
         part = 0
         for batch in batches:
             part = batch.column(2)[0].as_py() if batch.num_rows else part
-            for piece in slices(batch, "text", 4 * SLICE_BYTES):
+            for piece in slices(batch, "text"):
                 texts = [t or b"" for t in piece.column(1).cast(pa.binary()).to_pylist()]
                 for doc, ids in zip(piece.column(0).to_pylist(), enc.encode_all(texts)):
                     ids = np.concatenate([ids, tail])
