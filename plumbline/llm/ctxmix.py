@@ -5,11 +5,11 @@ model, letter by letter. A byte is a path in a Huffman tree over the 63 most fre
 bits), built from the counts of the training text; a decision is one step on that path.
 
 Predictors. Three contexts are hashed to slots: the last 2 bytes, the last 3 bytes, and the part of the word so far.
-Each slot holds for every tree node the logit of its frozen training counts, in steps of 1/16. Counts come from all
+Each slot holds for every tree node the logit of its frozen training counts and how many there were. Counts come from all
 training documents but the few that the gates are fitted on.
 
 Mixing. A decision's logit is the sum of the predictors' logits times weights. The weights are the sum of a frozen set
-that a gate selects (depth in the tree, and which contexts are unseen), fitted by logistic regression, and an offset of
+that a gate selects (depth in the tree, and how often the two longer contexts were seen), fitted by logistic regression, and an offset of
 the text's own. The offset starts at zero and follows the gradient of the code length after every 64 decisions; it
 starts anew every 8,192 bytes, so that long texts neither take one worker long nor change the score of others.
 
@@ -86,15 +86,17 @@ class Code:
                 self.node[s, d], self.turn[s, d] = node, turn
                 self.through[s, node] = 1
                 self.right[s, node] = turn
-        # node, turn and four times the depth of each step in one number: 6 bits, 1 bit, the rest
-        depth = np.minimum(np.arange(max(1, deepest)), 5) * 4
+        # node, turn and 16 times the depth of each step in one number: 6 bits, 1 bit, the rest
+        depth = np.minimum(np.arange(max(1, deepest)), 5) * 16
         self.packed = self.node.astype(np.int32) | self.turn.astype(np.int32) << 6 | depth.astype(np.int32) << 7
 
     def logits(self, counts: np.ndarray) -> np.ndarray:
-        """Quantised logits of the tree's nodes for rows of symbol counts."""
+        """A byte for each of the tree's nodes and row of symbol counts: the logit in steps of 1/4 and, in the last two
+        bits, how often the node was passed (never, up to 2, up to 15, more often)."""
         total, second = counts @ self.through, counts @ self.right
         logit = np.log((second + 0.4) / (total - second + 0.4))
-        return np.clip(np.rint(16 * logit), -127, 127).astype(np.int8)
+        often = (total > 0).astype(np.int8) + (total > 2) + (total > 15)
+        return np.clip(np.rint(4 * logit), -32, 31).astype(np.int8) * np.int8(4) + often.astype(np.int8)
 
 
 def _texts(column: pa.Array) -> list[bytes]:
@@ -198,7 +200,9 @@ def _add_up(batches: Iterator[pa.RecordBatch], code: Code) -> Iterator[pa.Record
         yield out()
 
 
-GATES = 6 * 4
+GATES = 6 * 4 * 4
+#: The logit of each byte of a table, in the order of the bytes as unsigned numbers.
+_LOGIT = (np.arange(256, dtype=np.uint8).view(np.int8) >> 2).astype(np.float32) / 4
 
 
 class Mixer:
@@ -227,8 +231,8 @@ class Mixer:
             cell += node
             logits.append(table[cell])
         gate = (packed >> 7).astype(np.uint8)
-        gate += (logits[1] == 0).view(np.uint8) << 1
-        gate += (logits[2] == 0).view(np.uint8)
+        gate |= (logits[1] & np.int8(3)).view(np.uint8) << 2
+        gate |= (logits[2] & np.int8(3)).view(np.uint8)
         turn = (packed >> 6 & 1).astype(np.int8)
         return {"logits": logits, "turn": turn, "gate": gate, "steps": steps, "size": size, "escapes": symbol == self.code.escape}
 
@@ -241,7 +245,7 @@ class Mixer:
             rows = np.flatnonzero(got["gate"] == g)
             if len(rows) < 200:
                 continue
-            x = np.stack([*(q[rows] / 16 for q in got["logits"]), np.ones(len(rows))], axis=1)
+            x = np.stack([*(_LOGIT[q[rows].view(np.uint8)] for q in got["logits"]), np.ones(len(rows))], axis=1)
             y, w = got["turn"][rows], self.weights[g].astype(np.float64)
             for _ in range(rounds):
                 p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -255,11 +259,10 @@ class Mixer:
             return np.empty(0)
         got = self.decisions(texts)
         # weight times logit, for every gate and quantised logit; the last column of the weights is a constant
-        scaled = np.arange(256, dtype=np.uint8).view(np.int8).astype(np.float32) / 16
         gate = got["gate"].astype(np.int32) << 8
         fixed = np.zeros(len(gate), np.float32)
         for k, q in enumerate(got["logits"]):
-            products = self.weights[:, k, None] * scaled + (self.weights[:, 3, None] if k == 0 else 0)
+            products = self.weights[:, k, None] * _LOGIT + (self.weights[:, 3, None] if k == 0 else 0)
             fixed += products.astype(np.float32).ravel()[gate + q.view(np.uint8)]
         # lanes: stretches of SEGMENT bytes of a text; a lane goes on by STEP decisions a step, padded at its end
         per_text = np.maximum(1, -(-got["size"] // SEGMENT))
@@ -289,7 +292,7 @@ class Mixer:
 
         sign = spread(got["turn"] * np.int8(2) - np.int8(1))  # 0 where padded
         mixed = spread(fixed)
-        inputs = [spread(q) * np.float32(1 / 16) for q in got["logits"]]
+        inputs = [spread(q >> 2) * np.float32(1 / 4) for q in got["logits"]]
         offset = np.zeros((len(inputs), len(order), 1), np.float32)
         with np.errstate(over="ignore"):
             for s, live in enumerate(active):

@@ -43,12 +43,13 @@ def plain_bits(mixer, text):
             for d in range(int(code.length[s])):
                 node, turn = int(code.node[s, d]), int(code.turn[s, d])
                 q = [int(t[slot * 64 + node]) for t, slot in zip(mixer.tables, slots)]
-                w = mixer.weights[4 * min(d, 5) + 2 * (q[1] == 0) + (q[2] == 0)]
-                logit = w[3] + sum((w[k] + own[k]) * q[k] / 16 for k in range(3))
+                w = mixer.weights[16 * min(d, 5) + 4 * (q[1] & 3) + (q[2] & 3)]
+                x = [(v >> 2) / 4 for v in q]
+                logit = w[3] + sum((w[k] + own[k]) * x[k] for k in range(3))
                 sign = 1 if turn else -1
                 total += math.log2(1 + math.exp(-sign * logit))
                 for k in range(3):
-                    pull[k] += sign / (1 + math.exp(sign * logit)) * q[k] / 16
+                    pull[k] += sign / (1 + math.exp(sign * logit)) * x[k]
                 done += 1
                 if done % ctxmix.STEP == 0:
                     own, pull = [o + ctxmix.RATE * p for o, p in zip(own, pull)], [0.0] * 3
