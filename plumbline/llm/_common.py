@@ -35,10 +35,24 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch, unless the session says otherwise than Spark's default of 64 MB: texts come in small pieces.
+BATCH_BYTES = 4 << 20
+_SPARK_BATCH_BYTES = 64 << 20
+
+
 def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """mapInArrow, with this package sent to the workers."""
-    ship(df.sparkSession)
-    return df.mapInArrow(work, schema)
+    """mapInArrow in small batches, with this package sent to the workers; memory is given back after each partition."""
+    spark = df.sparkSession
+    ship(spark)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) == _SPARK_BATCH_BYTES:
+        spark.conf.set(key, BATCH_BYTES)
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(tidy, schema)
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -14,7 +14,6 @@ whatever the number of languages.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +29,6 @@ SAMPLE_BYTES = 1_000_000
 #: Characters of one text that are learned from at most.
 TEXT_CHARS = 20_000
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 class ContextTrees:
@@ -164,7 +162,7 @@ class ContextTrees:
         """
         bits = self.code_lengths(column)
         _, ends = text_buffer(column)
-        letter = np.array([bool(t) and _LETTER.search(t) is not None for t in column.to_pylist()], bool)
+        letter = np.array([any(map(str.isalpha, t or "")) for t in column.to_pylist()], bool)
         if not self.languages:
             letter[:] = False
             return [UNDETERMINED] * len(column), np.zeros(len(column)), np.zeros(len(column))
