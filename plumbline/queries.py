@@ -12,6 +12,7 @@ from plumbline.functions import calendars, collections as lists, dates, hashing,
 from plumbline.operators import aggs, windows as w
 from plumbline.operators.relation import Rel, ascending, descending
 from plumbline.plans import graph
+from plumbline.plans.language import Engine
 from plumbline.plans.model import Mapping, Model, Temporal
 from plumbline.session import ship
 from plumbline.sources import readers
@@ -970,6 +971,31 @@ def sql_relation(spark, db):
     return readers.execute_in_db(spark, "SELECT n_regionkey, count(*) AS n FROM {nation} GROUP BY n_regionkey", nation=db.table("nation").df)
 
 
+# queries as text
+
+
+@query("SELECT o_custkey, count(*) AS n, max(o_totalprice) AS top FROM orders WHERE o_totalprice > 50000 AND o_orderstatus <> 'P' GROUP BY o_custkey")
+def text_group_by(spark, db):
+    return Engine(Model(db)).run("#>{db.orders}#->filter(x|$x.o_totalprice > 50000 && $x.o_orderstatus != 'P')->groupBy(~[o_custkey], ~[n: x|$x : y|$y->count(), top: x|$x.o_totalprice : y|$y->max()])")
+
+
+@query("SELECT c_custkey, upper(c_mktsegment) AS segment, CASE WHEN c_acctbal > 0 THEN 'in' ELSE 'out' END AS side FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment LIKE 'B%'")
+def text_join(spark, db):
+    return Engine(Model(db)).run("""#>{db.customer}#->join(#>{db.nation}#, JoinKind.INNER, {t,v|$t.c_nationkey == $v.n_nationkey})
+        ->filter(x|$x.c_mktsegment->startsWith('B'))->project(~[c_custkey: x|$x.c_custkey, segment: x|$x.c_mktsegment->toUpper(), side: x|if($x.c_acctbal > 0, |'in', |'out')])""")
+
+
+@query("SELECT o_orderkey, rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC NULLS FIRST) AS r, sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC NULLS FIRST ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) > 300000 AS big FROM orders")
+def text_window(spark, db):
+    return Engine(Model(db)).run("""#>{db.orders}#->extend(over(~o_custkey, ~o_totalprice->descending()), ~r: {p,w,r|$p->rank($w, $r)})
+        ->extend(over(~o_custkey, ~o_totalprice->descending(), rows(-1, 0)), ~s: {p,w,r|$r.o_totalprice} : y|$y->sum())->project(~[o_orderkey: x|$x.o_orderkey, r: x|$x.r, big: x|$x.s > 300000])""")
+
+
+@query("SELECT o_orderkey AS id, c_name AS customer, n_name AS nation FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'")
+def text_navigation(spark, db):
+    return Engine(star(db)).run("Order.all()->filter(o|$o.customer.nation.region.name == 'ASIA')->project(~[id: o|$o.id, customer: o|$o.customer.name, nation: o|$o.customer.nation.name])")
+
+
 # extension: event time
 
 
