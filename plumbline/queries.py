@@ -259,6 +259,12 @@ def join_theta(spark, db):
     return few.join(parts, "INNER", lambda t, v: (t.s_suppkey * 4 < v.p_partkey) & (v.p_size > t.s_suppkey)).select("s_suppkey", "p_partkey")
 
 
+@query("SELECT s_suppkey, p_partkey FROM supplier JOIN part ON s_suppkey * 4 < p_partkey AND p_size > s_suppkey")
+def join_theta_all(spark, db):
+    """join_theta over the whole tables."""
+    return db.table("supplier").join(db.table("part"), "INNER", lambda t, v: (t.s_suppkey * 4 < v.p_partkey) & (v.p_size > t.s_suppkey)).select("s_suppkey", "p_partkey")
+
+
 @query("SELECT a.n_name, b.n_name AS o_n_name FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
 def join_self(spark, db):
     return db.table("nation").join(db.table("nation"), "INNER", lambda t, v: (t.n_regionkey == v.o_n_regionkey) & (t.n_nationkey < v.o_n_nationkey), prefix="o_").select("n_name", "o_n_name")
