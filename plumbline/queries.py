@@ -867,6 +867,14 @@ def graph_fetch_nested(spark, db):
     return tree.select("id", F.col("nation.name").alias("nation"), "orders")
 
 
+@query("""SELECT c_custkey AS id, n_name AS nation, coalesce(list_sort(list({'id': o_orderkey, 'price': o_totalprice}) FILTER (o_orderkey IS NOT NULL)), []) AS orders
+    FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL""")
+def graph_fetch_nested_all(spark, db):
+    """graph_fetch_nested for all customers."""
+    tree = graph.graph_fetch(star(db).all("Customer"), {"id": None, "nation": {"name": None}, "orders": {"id": None, "price": None}})
+    return tree.select("id", F.col("nation.name").alias("nation"), "orders")
+
+
 @query("SELECT c_name AS name, CASE WHEN c_acctbal < 0 THEN ['positiveBalance'] ELSE [] END AS defects FROM customer")
 def graph_fetch_checked(spark, db):
     return graph.graph_fetch_checked(star(db).all("Customer"), {"name": None}).select(F.col("value.name").alias("name"), "defects")
