@@ -13,7 +13,7 @@ from plumbline.session import session
 HEADLINE = [
     "pricing_summary", "filter_where", "project_expr", "group_by_basic", "agg_stats", "agg_percentile", "join_inner", "join_left", "semi_exists",
     "asof_join", "asof_join_no_key", "lateral_top", "win_rank", "win_rows_frame", "win_range_interval", "win_zscore", "pivot_dynamic", "variant_get",
-    "string_family", "math_family", "date_family", "date_diff_family", "time_bucket", "nav_to_one", "nav_aggregate", "graph_serialize", "m2m_chain",
+    "string_family", "math_family", "date_family", "date_diff_family", "time_bucket", "nav_to_one", "nav_aggregate", "graph_serialize_all", "m2m_chain",
     "milestone_asof", "calendar_ytd", "session_window",
 ]
 

@@ -766,6 +766,12 @@ def graph_serialize(spark, db):
     return graph.serialize(graph.graph_fetch(few, {"id": None, "name": None, "nation": {"name": None}}))
 
 
+@query("""SELECT '{"id":' || c_custkey || ',"name":"' || c_name || '","nation":{"name":"' || n_name || '"}}' AS json FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def graph_serialize_all(spark, db):
+    """graph_serialize for the whole extent."""
+    return graph.serialize(graph.graph_fetch(star(db).all("Customer"), {"id": None, "name": None, "nation": {"name": None}}))
+
+
 @query("SELECT c_custkey AS id FROM customer WHERE NOT (c_acctbal >= 0)")
 def constraint_violations(spark, db):
     return Rel(star(db).violations("Customer")).filter(lambda r: F.array_contains(r.defects, "positiveBalance")).select("id")

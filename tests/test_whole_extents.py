@@ -1,5 +1,7 @@
 """Queries that take whole tables: fixtures with keys beyond the bounds of their namesakes."""
 
+import json
+
 from plumbline import queries
 
 
@@ -25,3 +27,9 @@ def test_graph_fetch_nested_all(spark):
     for r in spark.read.parquet(f"{folder}/orders.parquet").collect():
         want[r.o_custkey].append((r.o_orderkey, r.o_totalprice))
     assert got == {k: sorted(v) for k, v in want.items()} and any(k % 10 for k in got)
+
+
+def test_graph_serialize_all(spark):
+    folder = "/root/testdata/sf0.001"
+    got = sorted(json.loads(r.json)["id"] for r in queries.queries()["graph_serialize_all"](spark, folder).collect())
+    assert got == sorted(r.c_custkey for r in spark.read.parquet(f"{folder}/customer.parquet").collect()) and got[-1] > 100
