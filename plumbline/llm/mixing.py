@@ -9,6 +9,7 @@ seeded order along a line of its words; the flow says how far along that line ea
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_right
 from collections import defaultdict, deque
 from collections.abc import Iterator, Sequence
@@ -17,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from plumbline.llm._common import map_arrow, materialize
 
@@ -92,6 +94,17 @@ def mix(docs: DataFrame, id_col: str, size_col: str, members_col: str, weights:
     rows are rows of their own. An empty table gives an empty table.
     One row a pattern comes to the driver, `max_patterns` at most.
     """
+    lined, starts, plan = _planned(docs, id_col, size_col, members_col, weights, seed, repeats, max_patterns)
+    shared = docs.sparkSession.sparkContext.broadcast((starts, plan))
+    return map_arrow(
+        lined,
+        lambda batches: _choose(batches, *shared.value),
+        "doc_id long, size long, members array<string>, source_size array<long>, target array<double>, copies long, routed array<long>",
+    )
+
+
+def _planned(docs: DataFrame, id_col: str, size_col: str, members_col: str, weights: Sequence[float], seed: int, repeats: int, max_patterns: int) -> tuple[DataFrame, dict, dict[tuple, _Plan]]:
+    """The rows along their patterns' lines, where each pattern starts in each part, and what is taken of each pattern."""
     order = lambda x: (x is None, x or "")
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
@@ -127,18 +140,14 @@ def mix(docs: DataFrame, id_col: str, size_col: str, members_col: str, weights:
         for (p, size), flow in zip(patterns, flows)
     }
     _top_up(lined, starts, plan)
-    shared = docs.sparkSession.sparkContext.broadcast((starts, plan))
-    return map_arrow(
-        lined,
-        lambda batches: _choose(batches, *shared.value),
-        "doc_id long, size long, members array<string>, source_size array<long>, target array<double>, copies long, routed array<long>",
-    )
+    return lined, starts, plan
 
 
 class _Plan:
     """What the flow takes of a pattern: every row `full` times, and rows worth `rest` words once more.
 
-    Those are the rows that end within the first `cut` words of the line, and the ones that begin at `extra`.
+    Those are, for each (most, stop) of `takes`, the rows of up to `most` words that begin before `stop`, and the one
+    that begins at `extra`. `stops` and `last` hold the id and size of the rows there.
     """
 
     def __init__(self, length: int, sources: list[tuple[int, float, float]], repeats: int):
@@ -147,89 +156,115 @@ class _Plan:
         words = self.ends[-1] if sources else 0.0
         self.full = min(repeats, int(words / length + 1e-9)) if length else 0
         self.rest = max(0.0, words - self.full * length) if self.full < repeats else 0.0
-        self.cut, self.extra = 0, set()
+        self.takes: list[tuple[float, float]] = []
+        self.stops: list[tuple[int | None, int] | None] = []
+        self.extra, self.last = -1, None
         self.gap = self.rest
 
+    def take(self, most: float, stop: float, words: float, row: tuple[int | None, int] | None = None) -> None:
+        self.takes.append((most, stop))
+        self.stops.append(row)
+        self.gap -= words
+
     def again(self, at: int, size: int) -> bool:
-        return size > 0 and (at + size <= self.cut or at in self.extra)
+        return size > 0 and (at == self.extra or any(size <= most and at < stop for most, stop in self.takes))
 
 
-def _top_up(lined: DataFrame, starts: dict, plan: dict[tuple, _Plan], passes: int = 4) -> None:
-    """Fill each plan's rest: whole rows from the line's start, then rows whose size is nearest to what is left.
+def _top_up(lined: DataFrame, starts: dict, plan: dict[tuple, _Plan]) -> None:
+    """Fill each plan's rest until what is left is less than any row not taken, then take the nearest if that is nearer.
 
-    A pass brings one row a pattern to the driver.
+    The line is cut first where a row does not fit. Then rows of up to half of what is left are taken along the line,
+    as far as they fit: that halves what is left, or takes all of them. In the latter case one more row fits at most,
+    and the first such row is taken. So there are as many rounds as halvings, however long the row at the cut is.
+    A round brings one row for each pattern, and one for each part, to the driver.
     """
     spark = lined.sparkSession
 
-    def best(judge) -> list:
-        shared = spark.sparkContext.broadcast((starts, plan))
+    def found(judge, kind: str, *with_) -> DataFrame:
+        shared = spark.sparkContext.broadcast((starts, plan, *with_))
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            starts, plan = shared.value
+            starts, plan, *with_ = shared.value
             for batch in batches:
-                found: dict[tuple, tuple] = {}
-                for size, members, part, before in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4))):
+                out = []
+                for doc_id, size, members, part, before in zip(*(c.to_pylist() for c in batch.columns)):
                     key = tuple(members)
+                    p = plan[key]
                     at = starts[part, key] + before
-                    rank = judge(plan[key], at, size) if size else None
-                    if rank is not None and (key not in found or (rank, at) < found[key][:2]):
-                        found[key] = (rank, at, size)
-                if found:
-                    rank, at, size = zip(*found.values())
-                    columns = [pa.array([list(k) for k in found], pa.list_(pa.string())), pa.array(rank, pa.float64()), pa.array(at, pa.int64()), pa.array(size, pa.int64())]
-                    yield pa.RecordBatch.from_arrays(columns, names=["members", "rank", "at", "size"])
-
-        rows = map_arrow(lined, work, "members array<string>, rank double, at long, size long")
-        return rows.groupBy("members").agg(F.min(F.struct("rank", "at", "size")).alias("b")).collect()
-
-    for r in best(_last_within):
+                    if size and p.gap > 0 and not p.again(at, size) and (row := judge(p, key, at, size, doc_id, part, *with_)):
+                        out.append((members, *row))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.list_(pa.string()), *kinds])], names=names)
+
+        names, types = zip(*(x.split() for x in kind.split(", ")))
+        kinds = [{"int": pa.int32(), "long": pa.int64(), "double": pa.float64()}[t] for t in types[1:]]
+        return map_arrow(lined, work, kind)
+
+    limits = {key: (math.inf, False) for key, p in plan.items() if p.rest > 0}
+    while limits:
+        sums: dict[tuple, list] = {key: [] for key in limits}
+        for r in found(_fits, "members array<string>, part int, size long", limits).groupBy("members", "part").agg(F.sum("size").alias("size")).collect():
+            sums[tuple(r.members)].append((r.part, r.size))
+        ahead: dict[tuple, tuple[int, float]] = {}  # the part in which the rows cease to fit, and what is left there
+        for key, parts in sums.items():
+            run = 0
+            for part, size in sorted(parts):
+                if run + size > plan[key].gap + 1e-6:
+                    ahead[key] = part, plan[key].gap - run
+                    break
+                run += size
+        if ahead:
+            rows = found(_fits_in_part, "members array<string>, room double, at long, size long, doc_id long", limits, ahead)
+            run = rows.withColumn("run", F.sum("size").over(Window.partitionBy("members").orderBy("at")))
+            first = run.where("run > room + 1e-6").groupBy("members").agg(F.min(F.struct("at", "doc_id", "size", "run")).alias("b")).collect()
+            for r in first:
+                p, (_, room) = plan[tuple(r.members)], ahead[tuple(r.members)]
+                p.take(limits[tuple(r.members)][0], r.b["at"], p.gap - room + r.b["run"] - r.b["size"], (r.b["doc_id"], r.b["size"]))
+        for key in limits.keys() - ahead.keys():
+            plan[key].take(limits[key][0], math.inf, sum(size for _, size in sums[key]))
+        limits = {key: (p.gap, True) if key not in ahead or p.gap < 2 else (p.gap / 2, False) for key, (most, last) in limits.items() if (p := plan[key]).gap >= 1 and not last and (key in ahead or most < math.inf)}
+    nearest = found(_nearest, "members array<string>, miss double, at long, size long, doc_id long")
+    for r in nearest.groupBy("members").agg(F.min(F.struct("miss", "at", "doc_id", "size")).alias("b")).collect():
         p = plan[tuple(r.members)]
-        p.cut = r.b["at"] + r.b["size"]
-        p.gap = p.rest - p.cut
-    for _ in range(passes):
-        got = best(_nearest)
-        for r in got:
-            p = plan[tuple(r.members)]
-            p.extra.add(r.b["at"])
-            p.gap -= r.b["size"]
-        if not got:
-            break
+        p.extra, p.last = r.b["at"], (r.b["doc_id"], r.b["size"])
+        p.gap -= r.b["size"]
+
 
+def _fits(p: _Plan, key: tuple, at: int, size: int, doc_id: int | None, part: int, limits: dict) -> tuple | None:
+    return (part, size) if key in limits and size <= limits[key][0] else None
 
-def _last_within(p: _Plan, at: int, size: int) -> float | None:
-    return -float(at) if at + size <= p.rest + 1e-6 else None
 
+def _fits_in_part(p: _Plan, key: tuple, at: int, size: int, doc_id: int | None, part: int, limits: dict, ahead: dict) -> tuple | None:
+    return (ahead[key][1], at, size, doc_id) if key in ahead and part == ahead[key][0] and size <= limits[key][0] else None
 
-def _nearest(p: _Plan, at: int, size: int) -> float | None:
-    miss = abs(p.gap - size)
-    return miss if p.gap > 0 and miss < p.gap and not p.again(at, size) else None
+
+def _nearest(p: _Plan, key: tuple, at: int, size: int, doc_id: int | None, part: int) -> tuple | None:
+    return (abs(p.gap - size), at, size, doc_id) if abs(p.gap - size) < p.gap else None
 
 
 def mix_documents(docs: DataFrame, id_col: str, size: Column, members: Column, weights: Sequence[float] = (5, 2, 1), seed: int = 42, repeats: int = MAX_REPEATS) -> DataFrame:
     """The rows of docs as often as the mix takes them, all columns kept.
 
-    A pattern's rows have two numbers of copies. In its seeded order the larger one holds up to some row, and for a few
-    single rows behind it; these rows (a handful a pattern, `max_patterns` patterns at most) are broadcast and decide
-    all, so the documents themselves are not shuffled. Rows that agree in id and size are taken alike.
+    A pattern's rows have two numbers of copies. The larger one holds for rows up to some size before some row of its
+    seeded order, for a few such pairs, and for a single row; these (some tens a pattern, `max_patterns` patterns at
+    most) are broadcast and decide all, so the documents themselves are not shuffled. Rows that agree in id and size
+    are taken alike.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), size.alias("size"), members.alias("members"))
     spot = lambda doc_id, n: F.struct(F.xxhash64(F.lit(seed), doc_id, n).alias("place"), doc_id.isNotNull().alias("some"), doc_id.alias("doc_id"), n.alias("size"))
-    mixed = materialize(mix(rows, "doc_id", "size", "members", weights, seed, repeats).select("members", "copies", spot(F.col("doc_id"), F.col("size")).alias("spot")))
-    some = mixed.where("spot.size > 0")
-    # the first row with the smaller number, and the rows behind it with the larger one: a few by construction
-    both = some.groupBy("members").agg(F.max("copies").alias("most"), F.min("copies").alias("least"))
-    ends = some.join(F.broadcast(both.withColumnRenamed("members", "of")), F.col("members") == F.col("of"))
-    firsts = ends.where("copies = least and least < most").groupBy("members").agg(F.min("spot").alias("end"))
-    late = some.join(F.broadcast(firsts.withColumnRenamed("members", "of")), F.col("members") == F.col("of")).join(
-        F.broadcast(both.select(F.col("members").alias("of2"), "most")), F.col("members") == F.col("of2")
-    )
-    extra = late.where((F.col("copies") == F.col("most")) & (F.col("spot") > F.col("end"))).groupBy("members").agg(F.collect_set("spot").alias("extra"))
-    rule = both.join(firsts, "members", "left").join(extra, "members", "left")
-    rule = F.broadcast(rule.select(F.col("members").alias("__members"), F.col("end").alias("__end"), F.col("extra").alias("__extra"), F.col("most").alias("__most"), F.col("least").alias("__least")))
+    _, _, plan = _planned(rows, "doc_id", "size", "members", weights, seed, repeats, 100_000)
+    rules = [(list(key), p.full, [(float(most), row) for (most, _), row in zip(p.takes, p.stops)], p.last) for key, p in plan.items()]
+    row = "struct<doc_id: long, size: long>"
+    rule = spark.createDataFrame(rules, f"__members array<string>, __full int, takes array<struct<most: double, stop: {row}>>, last {row}")
+    at = lambda r: F.when(r.isNotNull(), spot(r["doc_id"], r["size"]))
+    takes = F.transform("takes", lambda t: F.struct(t["most"].alias("most"), at(t["stop"]).alias("stop")))
+    rule = F.broadcast(rule.select("__members", "__full", takes.alias("__takes"), at(F.col("last")).alias("__last")))
     own = spot(F.col(id_col).cast("long"), size)
-    joined = docs.alias("d").join(rule, F.array_sort(F.array_distinct(members)) == F.col("__members"))
-    larger = F.col("__end").isNull() | (own < F.col("__end")) | F.coalesce(F.array_contains("__extra", own), F.lit(False))
-    copies = F.when(size > 0, F.when(larger, F.col("__most")).otherwise(F.col("__least"))).otherwise(F.lit(0)).cast("int")
+    joined = docs.alias("d").join(rule, F.array_sort(F.array_distinct(members)) == F.col("__members")).withColumn("__own", own)
+    within = F.exists("__takes", lambda t: (F.col("__own.size") <= t["most"]) & (t["stop"].isNull() | (F.col("__own") < t["stop"])))
+    larger = within | (F.col("__last").isNotNull() & F.col("__own").eqNullSafe(F.col("__last")))
+    copies = F.when(F.col("__own.size") > 0, F.col("__full") + larger.cast("int")).otherwise(F.lit(0)).cast("int")
     return joined.select("d.*", F.explode(F.array_repeat(F.lit(0), copies)).alias("__copy")).drop("__copy")
 
 

@@ -94,3 +94,17 @@ def test_overlapping_sources_use_each_word_where_it_is_needed(spark):
         for s, n in zip(r.members, r.routed):
             to[s] += n * r["size"]
     assert to == {"a": 500, "b": 500}
+
+
+@pytest.mark.parametrize("share", [0.45, 0.55])
+def test_a_long_document_leaves_no_gap(spark, share):
+    """The long one lies across the cut, at this share of the others' line: taken it is too much, left out too little."""
+    place = F.xxhash64(F.lit(42), "id", F.lit(200_000).cast("long"))
+    long_id = spark.range(5000, 9000).orderBy(F.abs(place / 2.0**64 + 0.5 - share)).first().id
+    data = [(i, 300, ["a"]) for i in range(2000)] + [(long_id, 200_000, ["a"]), (1_000_000, 400_000, ["b"])]
+    df = spark.createDataFrame(data, "id long, size int, m array<string>")
+    got = mixing.mix(df, "id", "size", "m", weights=(1, 2)).collect()
+    (target,) = {r.target[0] for r in got if r.members == ["a"]}
+    assert abs(sum(r.copies * r["size"] for r in got if r.members == ["a"]) - target) <= 150
+    again = mixing.mix_documents(df, "id", F.col("size").cast("long"), F.col("m"), weights=(1, 2)).groupBy("id").count().collect()
+    assert {r.id: r["count"] for r in again} == {r.doc_id: r.copies for r in got if r.copies}
