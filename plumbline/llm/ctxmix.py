@@ -6,10 +6,11 @@ bits), built from the counts of the training text; a decision is one step on tha
 
 Predictors. Three contexts are hashed to slots: the last 2 bytes, the last 3 bytes, and the part of the word so far.
 Each slot holds for every tree node the logit of its frozen training counts and how many there were. Counts come from all
-training documents but the few that the gates are fitted on.
+training documents.
 
 Mixing. A decision's logit is the sum of the predictors' logits times weights. The weights are the sum of a frozen set
-that a gate selects (depth in the tree, and how often the two longer contexts were seen), fitted by logistic regression, and an offset of
+that a gate selects (depth in the tree, and how often the two longer contexts were seen), fitted by logistic regression on all
+decisions of the training text, each with its own occurrence taken out of the counts, and an offset of
 the text's own. The offset starts at zero and follows the gradient of the code length after every 64 decisions; it
 starts anew every 8,192 bytes, so that long texts neither take one worker long nor change the score of others.
 
@@ -39,8 +40,6 @@ SLOT_BITS = (16, 17, 17)
 CHUNK = 1 << 14
 #: The most frequent words, whose counts travel with the tasks: 16 bytes each.
 HEAD = 1 << 17
-#: Texts and characters of each that the gates are fitted on.
-FIT_TEXTS, FIT_CHARS = 128, 1000
 STEP, SEGMENT, RATE = 64, 1 << 13, 0.004
 _LOG10_2 = math.log10(2)
 
@@ -94,7 +93,18 @@ class Code:
         """A byte for each of the tree's nodes and row of symbol counts: the logit in steps of 1/4 and, in the last two
         bits, how often the node was passed (never, up to 2, up to 15, more often)."""
         total, second = counts @ self.through, counts @ self.right
-        logit = np.log((second + 0.4) / (total - second + 0.4))
+        return self._quantised(total - second, second)
+
+    def without(self, counts: np.ndarray) -> list[np.ndarray]:
+        """The same with one passage less: one that turns to the first child, and one that turns to the second."""
+        total, second = counts @ self.through, counts @ self.right
+        first = total - second
+        return [self._quantised(np.maximum(first - 1, 0), second), self._quantised(first, np.maximum(second - 1, 0))]
+
+    @staticmethod
+    def _quantised(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        total = first + second
+        logit = np.log((second + 0.4) / (first + 0.4))
         often = (total > 0).astype(np.int8) + (total > 2) + (total > 15)
         return np.clip(np.rint(4 * logit), -32, 31).astype(np.int8) * np.int8(4) + often.astype(np.int8)
 
@@ -181,12 +191,13 @@ def _count_contexts(batches: Iterator[pa.RecordBatch], code: Code) -> Iterator[p
 
 
 def _add_up(batches: Iterator[pa.RecordBatch], code: Code) -> Iterator[pa.RecordBatch]:
-    """(chunk, logits) from rows sorted by chunk."""
+    """(chunk, logits, without) from rows sorted by chunk; the last holds the logits less a first and less a second turn."""
     held, total = None, np.zeros(CHUNK, np.int64)
 
     def out() -> pa.RecordBatch:
-        logits = code.logits(total.reshape(-1, SYMBOLS).astype(np.float64))
-        return pa.RecordBatch.from_arrays([pa.array([held], pa.int64()), pa.array([logits.tobytes()], pa.binary())], names=["chunk", "logits"])
+        counts = total.reshape(-1, SYMBOLS).astype(np.float64)
+        logits, without = code.logits(counts), np.stack(code.without(counts))
+        return pa.RecordBatch.from_arrays([pa.array([held], pa.int64()), pa.array([logits.tobytes()], pa.binary()), pa.array([without.tobytes()], pa.binary())], names=["chunk", "logits", "without"])
 
     for batch in batches:
         for chunk, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -213,8 +224,12 @@ class Mixer:
         start = np.array([0.2, 0.4, 0.5, 0.0], np.float32)
         self.weights = np.tile(start, (GATES, 1)) if weights is None else weights
 
-    def decisions(self, texts: list[bytes]) -> dict[str, np.ndarray]:
-        """All decisions of the texts in order: quantised logits of each context, turn, gate; and steps of each byte."""
+    def decisions(self, texts: list[bytes], without: list[np.ndarray] | None = None) -> dict[str, np.ndarray]:
+        """All decisions of the texts in order: quantised logits of each context, turn, gate; and steps of each byte.
+
+        `without` holds for each context a table less a first turn and one less a second turn: the texts are training
+        text then, and each decision is left out of its own counts.
+        """
         raw, at, size = _layout(texts)
         symbol = self.code.symbol[raw[at]].astype(np.int32)
         steps = self.code.length[symbol]
@@ -226,32 +241,49 @@ class Mixer:
         packed = self.code.packed.ravel()[path]
         node = packed & 63
         logits = []
-        for table, slot in zip(self.tables, _slots(raw, at)):
+        turn = (packed >> 6 & 1).astype(np.int8)
+        for k, (table, slot) in enumerate(zip(self.tables, _slots(raw, at))):
             cell = np.repeat(slot * np.int32(SYMBOLS), steps)
             cell += node
-            logits.append(table[cell])
+            logits.append(table[cell] if without is None else without[k].ravel()[cell + turn * np.int32(len(table))])
         gate = (packed >> 7).astype(np.uint8)
         gate |= (logits[1] & np.int8(3)).view(np.uint8) << 2
         gate |= (logits[2] & np.int8(3)).view(np.uint8)
-        turn = (packed >> 6 & 1).astype(np.int8)
         return {"logits": logits, "turn": turn, "gate": gate, "steps": steps, "size": size, "escapes": symbol == self.code.escape}
 
+    def tally(self, texts: list[bytes], without: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Decisions counted by all that the regression knows of them: gate, three quantised logits and turn."""
+        got = self.decisions(texts, without)
+        key = got["gate"].astype(np.int32)
+        for q in got["logits"]:
+            key = key << 6 | (q.view(np.uint8) >> 2)
+        return np.unique(key << 1 | got["turn"], return_counts=True)
+
+    @staticmethod
+    def pulls(keys: np.ndarray, n: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Gradient and, row by row, curvature of the log likelihood for each gate, from a tally."""
+        gate, y = keys >> 19, keys & 1
+        x = [*(_LOGIT[(keys >> shift & 63) << 2] for shift in (13, 7, 1)), np.ones(len(keys))]
+        p = 1 / (1 + np.exp(-np.clip(sum(z * weights[gate, k] for k, z in enumerate(x)), -30, 30)))
+        miss, bend = n * (y - p), n * p * (1 - p)
+        terms = [miss * z for z in x] + [bend * a * b for a in x for b in x]
+        return np.stack([np.bincount(gate, t, minlength=GATES) for t in terms], axis=1)
+
+    def newton(self, pulls, rounds: int = 5) -> None:
+        """Gate weights by regularised logistic regression; pulls(weights) sums up a tally."""
+        start = self.weights.astype(np.float64)
+        w = start.copy()
+        for _ in range(rounds):
+            got = pulls(w)
+            pull, bend = got[:, :4] - 5 * (w - start), got[:, 4:].reshape(-1, 4, 4) + 5 * np.eye(4)
+            w = w + np.linalg.solve(bend, pull[:, :, None])[:, :, 0]
+        self.weights = np.clip(w, -2, 2).astype(np.float32)
+
     def fit(self, texts: list[bytes], rounds: int = 5) -> None:
-        """Gate weights by regularised logistic regression (Newton's method), a few parameters for each gate."""
-        if not texts:
-            return
-        got = self.decisions(texts)
-        for g in range(GATES):
-            rows = np.flatnonzero(got["gate"] == g)
-            if len(rows) < 200:
-                continue
-            x = np.stack([*(_LOGIT[q[rows].view(np.uint8)] for q in got["logits"]), np.ones(len(rows))], axis=1)
-            y, w = got["turn"][rows], self.weights[g].astype(np.float64)
-            for _ in range(rounds):
-                p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-                pull = x.T @ (y - p) - 5 * (w - self.weights[g])
-                w = w + np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 5 * np.eye(len(w)), pull)
-            self.weights[g] = np.clip(w, -2, 2)
+        """Gate weights from texts that are not among the counted ones."""
+        if texts:
+            keys, n = self.tally(texts)
+            self.newton(lambda w: self.pulls(keys, n, w), rounds)
 
     def bits(self, texts: list[bytes]) -> np.ndarray:
         """Total bits of each text."""
@@ -340,6 +372,52 @@ def held_out(id_col: str, parts: int = 10) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % parts == 0
 
 
+def _tally(batches: Iterator[pa.RecordBatch], mixer: Mixer, without: list[np.ndarray], most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """(key, n): a task's decisions on training text, put together for up to `most` keys."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for batch in batches:
+        for part in slices(batch, "text", SLICE_BYTES // 4):
+            held.append(mixer.tally(_texts(part.column(0)), without))
+            if sum(len(k) for k, _ in held) > most:
+                held = [_merged(held)]
+                if len(held[0][0]) > most // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in held.pop()], names=["key", "n"])
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in _merged(held)], names=["key", "n"])
+
+
+def _pulls(batches: Iterator[pa.RecordBatch], weights: np.ndarray) -> Iterator[pa.RecordBatch]:
+    total = np.zeros((GATES, 20))
+    for batch in batches:
+        total += Mixer.pulls(batch.column(0).to_numpy(), batch.column(1).to_numpy(), weights)
+    yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+
+def learn(train: DataFrame, code: Code) -> Mixer:
+    """Tables from all texts of train, and gates from all their decisions, each left out of its own counts."""
+    spark = train.sparkSession
+    shared_code = spark.sparkContext.broadcast(code)
+    sparse = map_arrow(train, lambda it: _count_contexts(it, shared_code.value), "chunk long, cells binary")
+    summed = map_arrow(sparse.repartition("chunk").sortWithinPartitions("chunk"), lambda it: _add_up(it, shared_code.value), "chunk long, logits binary, without binary")
+    ends = _offsets()
+    flat, less = np.zeros(int(ends[-1]), np.int8), np.zeros((2, int(ends[-1])), np.int8)
+    for r in summed.toLocalIterator():  # the tables have a fixed size of 20 MB, three times
+        at = slice(r.chunk * CHUNK, (r.chunk + 1) * CHUNK)
+        flat[at] = np.frombuffer(r.logits, np.int8)
+        less[:, at] = np.frombuffer(r.without, np.int8).reshape(2, CHUNK)
+    mixer = Mixer(code, np.split(flat, ends[1:-1]))
+    shared = spark.sparkContext.broadcast((mixer, [np.ascontiguousarray(t) for t in np.split(less, ends[1:-1], axis=1)]))
+    tally = materialize(map_arrow(train, lambda it: _tally(it, *shared.value), "key int, n long").groupBy("key").agg(F.sum("n").alias("n")))
+    shared.unpersist()
+
+    def pulls(weights: np.ndarray) -> np.ndarray:
+        rows = map_arrow(tally, lambda it: _pulls(it, weights), "sums binary").collect()  # a row a task
+        return sum((np.frombuffer(r.sums).reshape(GATES, 20) for r in rows), np.zeros((GATES, 20)))
+
+    mixer.newton(pulls)
+    return mixer
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs.
 
@@ -349,10 +427,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    # the gates are fitted on the first rows in the order of a hash; these are left out of the contexts' counts
-    train = docs.where(~held_out(id_col)).select(F.xxhash64(F.col(id_col).cast("long")).alias("place"), text.alias("text"))
+    train = docs.where(~held_out(id_col)).select(text.alias("text"))
 
-    counts = materialize(map_arrow(train.select("text"), _count_words, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    counts = materialize(map_arrow(train, _count_words, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
     histogram = np.zeros(256, np.int64)
     for r in counts.where("kind = 1").collect():  # 256 rows at most
         histogram[r.key] = r.n
@@ -371,21 +448,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     head_rows = words.where(level >= least).toPandas()
     head = Words(head_rows["key"].to_numpy(np.int64), head_rows["n"].to_numpy(np.int64))
 
-    fit = []
-    if texts > 4 * FIT_TEXTS:
-        bound = -(1 << 63) + int(4 * FIT_TEXTS / texts * ((1 << 64) - 1))  # lets about four times as many through
-        few = train.where(F.col("place") <= bound).select("place", F.substring("text", 1, FIT_CHARS).alias("text"))
-        fit = few.orderBy("place", "text").limit(FIT_TEXTS).collect()
-    code = Code(histogram)
-    shared_code = spark.sparkContext.broadcast(code)
-    counted = train.where(F.col("place") > fit[-1].place) if fit else train
-    sparse = map_arrow(counted.select("text"), lambda it: _count_contexts(it, shared_code.value), "chunk long, cells binary")
-    summed = map_arrow(sparse.repartition("chunk").sortWithinPartitions("chunk"), lambda it: _add_up(it, shared_code.value), "chunk long, logits binary")
-    flat = np.zeros(int(_offsets()[-1]), np.int8)
-    for r in summed.toLocalIterator():  # the tables have a fixed size of 20 MB
-        flat[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.logits, np.int8)
-    mixer = Mixer(code, np.split(flat, _offsets()[1:-1]))
-    mixer.fit([normalise(r.text.encode("utf-8", "surrogatepass")) for r in fit])
+    mixer = learn(train, Code(histogram))
     shared = spark.sparkContext.broadcast((mixer, head))
 
     kind = "doc_id long, held_out boolean, row long, n_tokens long, known long, base double, score double, tail array<long>"

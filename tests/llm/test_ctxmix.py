@@ -105,3 +105,34 @@ def test_nothing_to_learn_from(spark):
     alone = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
     (row,) = ctxmix.score(spark.createDataFrame([(alone, "some text")], df.schema)).collect()
     assert row.held_out and row.n_known == 0 and row.train_tokens == 0 and math.isfinite(row.base_score) and math.isfinite(row.score)
+
+
+def test_counts_and_gates_take_all_training_text(spark):
+    train = [*texts(60, 7), "rare " + "words beyond a prefix " * 120]
+    rows = [ctxmix.normalise(t.encode()) for t in train]
+    code = ctxmix.Code(np.bincount(np.frombuffer(b"".join(rows), np.uint8), minlength=256))
+    got = ctxmix.learn(spark.createDataFrame([(t,) for t in train], "text string").repartition(3), code)
+    want = model(train)
+    assert all((a == b).all() for a, b in zip(got.tables, want.tables))
+    raw, at, _ = ctxmix._layout(rows)
+    slots, symbol = ctxmix._slots(raw, at), code.symbol[raw[at]]
+    path = lambda s: [(int(code.node[s, d]), int(code.turn[s, d])) for d in range(int(code.length[s]))]
+    counts = [Counter((int(slot), *step) for slot, s in zip(z, symbol) for step in path(s)) for z in slots]
+    x, y, gates = [], [], []
+    for i, s in enumerate(symbol):
+        for d, (node, turn) in enumerate(path(s)):
+            own = [[c[int(z[i]), node, t] - (t == turn) for t in (0, 1)] for c, z in zip(counts, slots)]
+            often = [sum(sum(n) > k for k in (0, 2, 15)) for n in own]
+            x.append([*(np.clip(np.rint(4 * np.log((b + 0.4) / (a + 0.4))), -32, 31) / 4 for a, b in own), 1.0])
+            y.append(turn)
+            gates.append(16 * min(d, 5) + 4 * often[1] + often[2])
+    x, y, gates = np.array(x), np.array(y), np.array(gates)
+    for g in range(ctxmix.GATES):
+        z, t = x[gates == g], y[gates == g]
+        start = want.weights[g].astype(np.float64)
+        w = start.copy()
+        for _ in range(5):
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+            w = w + np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 5 * np.eye(4), z.T @ (t - p) - 5 * (w - start))
+        assert got.weights[g] == pytest.approx(np.clip(w, -2, 2), abs=1e-4)
+    assert not np.allclose(got.weights, want.weights)
