@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,15 +15,19 @@ from pyspark.sql import DataFrame, SparkSession
 from plumbline.session import ship
 
 _FALLBACK: dict[str, str] = {}
+_KEPT: list[bool] = []
 
 #: Text bytes that one vectorised step handles; a single longer text is a step of its own.
 SLICE_BYTES = 1 << 21
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir; a temporary one in local mode only, where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[|$)", master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         app = spark.sparkContext.applicationId
         root = _FALLBACK.setdefault(app, tempfile.mkdtemp(prefix="plumbline-"))
     return f"{root}/plumbline-{spark.sparkContext.applicationId}"
@@ -35,20 +41,44 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Bytes of an Arrow batch, unless the session says otherwise than Spark's default of 64 MB: texts come in small pieces.
+#: Bytes of an Arrow batch at most: texts come in small pieces.
 BATCH_BYTES = 4 << 20
-_SPARK_BATCH_BYTES = 64 << 20
+_UNITS = {"": 1, "b": 1, **{f"{u}{end}": 1 << 10 * k for k, u in enumerate("kmgtp", 1) for end in ("", "b")}}
+#: Numbers of malloc's settings (M_MMAP_THRESHOLD, M_TRIM_THRESHOLD): fixed values.
+_MMAP_THRESHOLD, _TRIM_THRESHOLD = -3, -1
+
+
+def size_of(text: str) -> int:
+    """The bytes of a Spark setting such as 64m or 4194304b."""
+    number, unit = re.fullmatch(r"\s*(\d+)\s*([a-z]*)\s*", text.lower()).groups()
+    return int(number) * _UNITS[unit]
+
+
+def _reuse_memory() -> None:
+    """Let malloc keep numpy's arrays of a few MB for the next ones, where the C library can be told so."""
+    if not _KEPT:
+        _KEPT.append(True)
+        mallopt = getattr(ctypes.CDLL(None), "mallopt", None)
+        if mallopt:
+            mallopt(_MMAP_THRESHOLD, 32 << 20)
+            mallopt(_TRIM_THRESHOLD, 128 << 20)
 
 
 def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """mapInArrow in small batches, with this package sent to the workers; memory is given back after each partition."""
+    """mapInArrow in batches of BATCH_BYTES or one row, with this package sent to the workers; memory is given back
+    after each partition.
+
+    Where the session's own bound on Arrow batches is higher, it is lowered for the session: Spark reads it when a plan
+    runs, so it can't be put back here.
+    """
     spark = df.sparkSession
     ship(spark)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key).rstrip("b")) == _SPARK_BATCH_BYTES:
+    if size_of(spark.conf.get(key)) > BATCH_BYTES:
         spark.conf.set(key, BATCH_BYTES)
 
     def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _reuse_memory()
         yield from work(batches)
         pa.default_memory_pool().release_unused()
 

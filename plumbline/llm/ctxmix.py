@@ -1,18 +1,33 @@
 """Language-model scores by online logistic mixing of hashed-context bit predictors, and an add-0.1 unigram base.
 
-Text is read as its words in lower case (A-Z only), one space between them and an end mark: the tokens of the base
-model, letter by letter. A byte is a path in a Huffman tree over the 63 most frequent bytes and an escape (8 further
-bits), built from the counts of the training text; a decision is one step on that path.
+Text is read as its words in lower case (A-Z only) and an end: the tokens of the base model. A token is coded in three
+parts, each given the ones before:
 
-Predictors. Three contexts are hashed to slots: the last 2 bytes, the last 3 bytes, and the part of the word so far.
-Each slot holds for every tree node the logit of its frozen training counts and how many there were. Counts come from all
-training documents.
+* its class: the last two bytes of the word, one of the 62 most frequent pairs, the end, or any other pair. A class is a
+  path in a Huffman tree; each step on it is a binary decision.
+* whether the word is in the lexicon (the most frequent words that training text holds twice or more), and then which:
+  plain shares of the training counts within the class.
+* if it is not, the letters of its stem (the whole word in the class of other pairs) and an end, again as decisions on
+  the path in a Huffman tree, over bytes.
+
+Predictors. A decision on a class sees three hashed contexts: the last two classes, the last three, and the last word.
+One on a letter sees the last two bytes, the last four, and the last two with the class. Each context's slot holds for
+every tree node the logit of its frozen training counts and how many there were. Tables grow with the number of
+distinct words up to `TABLE_BITS`, what a worker can hold.
 
 Mixing. A decision's logit is the sum of the predictors' logits times weights. The weights are the sum of a frozen set
-that a gate selects (depth in the tree, and how often the two longer contexts were seen), fitted by logistic regression on all
-decisions of the training text, each with its own occurrence taken out of the counts, and an offset of
-the text's own. The offset starts at zero and follows the gradient of the code length after every 64 decisions; it
-starts anew every 8,192 bytes, so that long texts neither take one worker long nor change the score of others.
+that a gate selects (depth in the tree, how often the two longer contexts were seen), fitted by logistic regression on
+all decisions of the training text, and an offset of the text's own, which follows the gradient of the code length
+after every 128 decisions.
+
+Passages. Texts are cut where the hash of two adjoining words says so, every 24 words or so. A passage's hash is the
+context for one more decision: whether the passage follows that followed it most often in the training text. If so, it
+costs that decision only; else the decision and its words. Shares of hits come from all training text, by how often the
+passage was followed by that one and by others. This table has a row for every distinct passage of the training text:
+it grows with the corpus, and texts meet it by a shuffle join.
+
+A decision on training text is always made with its own occurrence taken out of the counts, so that texts learned from
+and others are scored alike, and a text that occurs twice is told by its likeness to the other one.
 
 Base. Words are told apart by a 64-bit hash. Counts of the `HEAD` most frequent words, whatever the corpus, travel with
 the tasks; all other words are joined with the table of counts by shuffle.
@@ -24,23 +39,30 @@ import heapq
 import math
 import struct
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm._common import SLICE_BYTES, map_arrow, materialize, mix64, slices, span_hashes, text_buffer, word_spans
+from plumbline.llm._common import SLICE_BYTES, _powers, map_arrow, materialize, mix64, slices, span_hashes, word_spans
 
 SYMBOLS = 64
 END = 0x0A
-PAD = 3
-#: log2 of the slots of each context.
-SLOT_BITS = (16, 17, 17)
+SPACE = 0x20
+#: The pair of bytes that stands for the end of a text.
+END_PAIR = END << 8 | END
+#: log2 of the slots of the hashed contexts at most: what a worker holds.
+TABLE_BITS = 17
 CHUNK = 1 << 14
 #: The most frequent words, whose counts travel with the tasks: 16 bytes each.
 HEAD = 1 << 17
-STEP, SEGMENT, RATE = 64, 1 << 13, 0.004
+#: Words of a passage on average.
+PASSAGE = 24
+STEP, RATE = 128, 0.01
+#: Counts of a passage's followers are told apart up to this.
+MOST = 15
 _LOG10_2 = math.log10(2)
 
 
@@ -49,14 +71,15 @@ def normalise(text: bytes) -> bytes:
 
 
 class Code:
-    """A Huffman tree over the most frequent bytes and an escape: for each symbol its nodes and turns."""
+    """A Huffman tree over the most frequent ids and an escape: for each symbol its nodes and turns."""
 
-    def __init__(self, histogram: np.ndarray):
-        order = np.argsort(-histogram, kind="stable")[: SYMBOLS - 1]
-        kept = sorted({END, *order[histogram[order] > 0].tolist()} - ({int(order[-1])} if len(order) == SYMBOLS - 1 and END not in order else set()))[: SYMBOLS - 1]
-        self.symbol = np.full(256, len(kept), np.uint8)  # the escape
+    def __init__(self, histogram: np.ndarray, always: int):
+        seen = np.flatnonzero(histogram)
+        order = seen[np.argsort(-histogram[seen], kind="stable")]
+        kept = sorted([always, *order[order != always][: SYMBOLS - 2].tolist()])
+        self.symbol = np.full(len(histogram), len(kept), np.uint8)  # the escape
         self.symbol[kept] = np.arange(len(kept))
-        self.escape = len(kept)
+        self.escape, self.always = len(kept), int(self.symbol[always])
         weight = [max(1, int(histogram[b])) for b in kept] + [max(1, int(histogram.sum() - histogram[kept].sum()))]
         heap = [(w, i, i) for i, w in enumerate(weight)]
         heapq.heapify(heap)
@@ -66,7 +89,7 @@ class Code:
             children.append((x, y))
             heapq.heappush(heap, (a + b, SYMBOLS + len(children), -len(children)))
         paths: list[list[tuple[int, int]]] = [[] for _ in weight]
-        todo = [(-len(children), [])] if children else []
+        todo = [(-len(children), [])]
         while todo:
             at, path = todo.pop()
             if at >= 0:
@@ -75,8 +98,8 @@ class Code:
                 todo += [(child, [*path, (-at - 1, turn)]) for turn, child in enumerate(children[-at - 1])]
         deepest = max(map(len, paths))
         self.length = np.zeros(SYMBOLS, np.int64)
-        self.node = np.zeros((SYMBOLS, max(1, deepest)), np.uint8)
-        self.turn = np.zeros((SYMBOLS, max(1, deepest)), np.uint8)
+        self.node = np.zeros((SYMBOLS, deepest), np.uint8)
+        self.turn = np.zeros((SYMBOLS, deepest), np.uint8)
         self.through = np.zeros((SYMBOLS, SYMBOLS))  # symbol x node: passes the node
         self.right = np.zeros((SYMBOLS, SYMBOLS))  # symbol x node: turns to the second child
         for s, path in enumerate(paths):
@@ -86,20 +109,16 @@ class Code:
                 self.through[s, node] = 1
                 self.right[s, node] = turn
         # node, turn and 16 times the depth of each step in one number: 6 bits, 1 bit, the rest
-        depth = np.minimum(np.arange(max(1, deepest)), 5) * 16
+        depth = np.minimum(np.arange(deepest), 5) * 16
         self.packed = self.node.astype(np.int32) | self.turn.astype(np.int32) << 6 | depth.astype(np.int32) << 7
 
     def logits(self, counts: np.ndarray) -> np.ndarray:
-        """A byte for each of the tree's nodes and row of symbol counts: the logit in steps of 1/4 and, in the last two
+        """Three bytes for each of the tree's nodes and row of symbol counts: from all counts, from those without one
+        turn to the first child, without one to the second. A byte is the logit in steps of 1/4 and, in the last two
         bits, how often the node was passed (never, up to 2, up to 15, more often)."""
         total, second = counts @ self.through, counts @ self.right
-        return self._quantised(total - second, second)
-
-    def without(self, counts: np.ndarray) -> list[np.ndarray]:
-        """The same with one passage less: one that turns to the first child, and one that turns to the second."""
-        total, second = counts @ self.through, counts @ self.right
         first = total - second
-        return [self._quantised(np.maximum(first - 1, 0), second), self._quantised(first, np.maximum(second - 1, 0))]
+        return np.stack([self._quantised(first, second), self._quantised(np.maximum(first - 1, 0), second), self._quantised(first, np.maximum(second - 1, 0))])
 
     @staticmethod
     def _quantised(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -109,95 +128,176 @@ class Code:
         return np.clip(np.rint(4 * logit), -32, 31).astype(np.int8) * np.int8(4) + often.astype(np.int8)
 
 
-def _texts(column: pa.Array) -> list[bytes]:
-    return [normalise(t or b"") for t in column.cast(pa.binary()).to_pylist()]
+class Words:
+    """Counts of the most frequent words by hash, looked up in a table of 2^20 places."""
 
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.counts = keys[order], counts[order]
+        self.place = np.zeros(1 << 20, np.int32)
+        self.place[self._at(self.keys)] = np.arange(len(keys))
 
-def _layout(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes with three end marks before each text; positions of the texts' own bytes; the number of each text's."""
-    raw = np.frombuffer(b"".join(b"\n\n\n" + t for t in texts), np.uint8)
-    size = np.fromiter(map(len, texts), np.int64, len(texts))
-    ends = np.cumsum(size)
-    at = np.arange(ends[-1] if len(ends) else 0) + PAD * np.repeat(np.arange(1, len(texts) + 1), size)
-    return raw, at, size
+    @staticmethod
+    def _at(keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) >> np.uint64(44)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The count of each key; 0 if it is not among them."""
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64)
+        at = self.place[self._at(keys)]
+        rest = np.flatnonzero(self.keys[at] != keys)
+        at[rest] = np.minimum(np.searchsorted(self.keys, keys[rest]), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.counts[at], 0)
 
 
-def _slots(raw: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-    """The slot of each context for the bytes at `at`."""
-    wide = raw.astype(np.uint32)
-    last2 = wide[:-1] | wide[1:] << np.uint32(8)
-    two = last2[at - 2]
-    three = (two | wide[at - 3] << np.uint32(16)) * np.uint32(0x9E3779B1) >> np.uint32(32 - SLOT_BITS[1])
-    space = (raw == 0x20) | (raw == END)
-    index = np.arange(len(raw), dtype=np.int64)
-    begin = np.maximum.accumulate(np.where(space, index + 1, 0))[at - 1]
-    part = span_hashes(raw, begin, at) >> np.uint64(64 - SLOT_BITS[2])
-    return [two.astype(np.int32), three.astype(np.int32), part.astype(np.int32)]
+class Tokens:
+    """The tokens of some texts: for each its text, place there, hash and pair of bytes; words have `starts`, `stops`."""
+
+    def __init__(self, texts: list[bytes]):
+        self.raw = np.frombuffer(b"".join(texts), np.uint8)
+        bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))])
+        self.starts, self.stops, rows = word_spans(self.raw, bounds)
+        self.n = np.bincount(rows, minlength=len(texts)) + 1
+        self.ends = np.cumsum(self.n) - 1  # the end of each text
+        self.words = np.arange(len(rows)) + rows  # the token number of each word
+        self.text = np.repeat(np.arange(len(texts)), self.n)
+        self.place = np.arange(len(self.text)) - np.repeat(self.ends - self.n + 1, self.n)
+        self.key = np.zeros(len(self.text), np.int64)
+        self.key[self.words] = span_hashes(self.raw, self.starts, self.stops).view(np.int64)
+        self.pair = np.full(len(self.text), END_PAIR, np.int32)
+        if len(rows):
+            before = np.where(self.stops - self.starts > 1, self.raw[self.stops - 2], SPACE).astype(np.int32)
+            self.pair[self.words] = before << 8 | self.raw[self.stops - 1]
+
+    def passages(self) -> tuple[np.ndarray, np.ndarray]:
+        """(first token, hash) of each passage; a text's end is its last passage's."""
+        key = self.key.view(np.uint64)
+        both = mix64(key + np.uint64(3) * np.concatenate([key[:1], key[:-1]]))
+        last = (self.place > 0) & (both % np.uint64(PASSAGE) == 0)
+        last[self.ends] = True
+        stops = np.flatnonzero(last) + 1
+        first = np.concatenate([[0], stops[:-1]])
+        up, down = _powers(len(key) + 1)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((key | np.uint64(1)) * up[: len(key)])])
+        return first, mix64((total[stops] - total[first]) * down[first] + (stops - first).astype(np.uint64)).view(np.int64)
+
+
+def _hashed(x: np.ndarray, bits: int) -> np.ndarray:
+    """Numbers below 2^32 to slots."""
+    return (x.astype(np.uint32) * np.uint32(0x9E3779B1) >> np.uint32(32 - bits)).astype(np.int32)
+
+
+def _before(x: np.ndarray, place: np.ndarray, back: int, fill: int) -> np.ndarray:
+    """The values `back` places earlier in the same text or word."""
+    out = np.empty_like(x)
+    out[:back], out[back:] = fill, x[: max(0, len(x) - back)]
+    out[place < back] = fill
+    return out
+
+
+class Layout:
+    """What symbols and contexts are: two codes and the slots of six contexts."""
+
+    def __init__(self, pairs: np.ndarray, letters: np.ndarray, bits: int = TABLE_BITS):
+        self.codes = [Code(pairs, END_PAIR), Code(letters, SPACE)]
+        self.bits = bits
+        #: log2 of the slots of the contexts of either code
+        self.widths = [(12, bits - 1, bits - 1), (14, bits, 16)]
+        cells = [(1 << w) * SYMBOLS for of_code in self.widths for w in of_code]
+        self.offsets = np.concatenate([[0], np.cumsum(cells)])
+
+    def classes(self, t: Tokens) -> tuple[np.ndarray, list[np.ndarray]]:
+        """(symbol, slot in each context) of each token."""
+        code, bits = self.codes[0], self.bits - 1
+        symbol = code.symbol[t.pair].astype(np.int32)
+        one, two, three = (_before(symbol, t.place, k, code.always) for k in (1, 2, 3))
+        word = _before(t.key, t.place, 1, 0).view(np.uint64) >> np.uint64(64 - bits)
+        return symbol, [one | two << 6, _hashed((one | two << 6 | three << 12) + 1, bits), word.astype(np.int32)]
+
+    def letters(self, t: Tokens, symbol: np.ndarray, spelled: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """(symbol, token, slot in each context) of each letter of the words whose numbers are in `spelled`."""
+        start, token = t.starts[spelled], t.words[spelled]
+        cls = symbol[token]
+        stop = np.where(cls == self.codes[0].escape, t.stops[spelled], np.maximum(start, t.stops[spelled] - 2))
+        size = stop - start + 1
+        ends = np.cumsum(size)
+        place = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size, size)
+        byte = t.raw[np.minimum(np.repeat(start, size) + place, max(0, len(t.raw) - 1))].astype(np.uint32)
+        byte[ends - 1] = SPACE
+        own = np.repeat(cls, size).astype(np.uint32)
+        one, two, three, four = (_before(byte, place, k, SPACE) for k in (1, 2, 3, 4))
+        near = one | two << np.uint32(8)
+        far = near | three << np.uint32(16) | four << np.uint32(24)
+        slots = [_hashed(near + np.uint32(1), 14), _hashed(far + np.uint32(1), self.bits), _hashed(near << np.uint32(6) | own, 16)]
+        return self.codes[1].symbol[byte].astype(np.int32), np.repeat(token, size), slots
 
 
-def _offsets() -> np.ndarray:
-    return np.concatenate([[0], np.cumsum([(1 << b) * SYMBOLS for b in SLOT_BITS])])
+def _texts(column: pa.Array) -> list[bytes]:
+    return [normalise(t or b"") for t in column.cast(pa.binary()).to_pylist()]
 
 
-def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, place = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-    return keys, np.bincount(place, np.concatenate([n for _, n in held]), minlength=len(keys)).astype(np.int64)
+def _merged(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Rows (key, n, extra...) put together by key; extras go with the key."""
+    keys, first, place = np.unique(np.concatenate([x[0] for x in held]), return_index=True, return_inverse=True)
+    total = np.bincount(place, np.concatenate([x[1] for x in held]), minlength=len(keys)).astype(np.int64)
+    return keys, total, *(np.concatenate(c)[first] for c in list(zip(*held))[2:])
 
 
 def _count_words(batches: Iterator[pa.RecordBatch], most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
-    """(kind, key, n): counts of word hashes (kind 0) and of bytes (kind 1), put together for up to `most` words."""
-    found = np.zeros(256, np.int64)
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    """(kind, key, pair, n): counts of word hashes with their last bytes (kind 0), pairs of last bytes (kind 1) and bytes
+    (kind 2), put together for up to `most` words."""
+    pairs, letters = np.zeros(1 << 16, np.int64), np.zeros(256, np.int64)
+    held: list[tuple[np.ndarray, ...]] = []
 
-    def out(kind: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys), pa.array(n)], names=["kind", "key", "n"])
+    def out(kind: int, keys: np.ndarray, n: np.ndarray, pair: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys), pa.array(pair.astype(np.int32)), pa.array(n)], names=["kind", "key", "pair", "n"])
 
     for batch in batches:
         for part in slices(batch, "text"):
-            texts = _texts(part.column(0))
-            raw = np.frombuffer(b"".join(texts), np.uint8)
-            bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))])
-            starts, stops, _ = word_spans(raw, bounds)
-            held.append(np.unique(span_hashes(raw, starts, stops).view(np.int64), return_counts=True))
-            found += np.bincount(raw, minlength=256)
-            if sum(len(k) for k, _ in held) > most:
+            t = Tokens(_texts(part.column(0)))
+            keys, first, n = np.unique(t.key[t.words], return_index=True, return_counts=True)
+            held.append((keys, n, t.pair[t.words][first]))
+            pairs += np.bincount(t.pair, minlength=1 << 16)
+            letters += np.bincount(t.raw, minlength=256)
+            if sum(len(x[0]) for x in held) > most:
                 held = [_merged(held)]
                 if len(held[0][0]) > most // 2:
                     yield out(0, *held.pop())
     if held:
         yield out(0, *_merged(held))
-    used = np.flatnonzero(found)
-    yield out(1, used, found[used])
+    for kind, found in ((1, pairs), (2, letters)):
+        used = np.flatnonzero(found)
+        yield out(kind, used, found[used], used)
 
 
-def _count_contexts(batches: Iterator[pa.RecordBatch], code: Code) -> Iterator[pa.RecordBatch]:
-    """(chunk, cells): a task's counts of (context slot, symbol), as sparse stretches of the table of all slots."""
-    offsets = _offsets()
-    total = [np.zeros((1 << b) * SYMBOLS, np.uint32) for b in SLOT_BITS]
+def _count_contexts(batches: Iterator[pa.RecordBatch], layout: Layout, lexicon: Words) -> Iterator[pa.RecordBatch]:
+    """(chunk, cells): a task's counts of (context slot, symbol), as sparse stretches of the tables of all contexts."""
+    total = np.zeros(int(layout.offsets[-1]), np.uint32)
     for batch in batches:
-        for part in slices(batch, "text", SLICE_BYTES // 4):
-            raw, at, _ = _layout(_texts(part.column(0)))
-            symbol = code.symbol[raw[at]]
-            for table, slot in zip(total, _slots(raw, at)):
-                np.add.at(table, slot * SYMBOLS + symbol, np.uint32(1))
+        for part in slices(batch, "text", SLICE_BYTES // 2):
+            t = Tokens(_texts(part.column(0)))
+            symbol, slots = layout.classes(t)
+            letter, _, more = layout.letters(t, symbol, np.flatnonzero(lexicon.find(t.key[t.words]) == 0))
+            for offset, slot, s in zip(layout.offsets, [*slots, *more], [symbol] * 3 + [letter] * 3):
+                np.add.at(total, offset + slot.astype(np.int64) * SYMBOLS + s, np.uint32(1))
     chunks, cells = [], []
-    for table, offset in zip(total, offsets):
-        for a in range(0, len(table), CHUNK):
-            used = np.flatnonzero(table[a : a + CHUNK])
-            if len(used):
-                chunks.append((offset + a) // CHUNK)
-                cells.append(struct.pack("<I", len(used)) + used.astype("<u2").tobytes() + table[a : a + CHUNK][used].astype("<u4").tobytes())
+    for a in range(0, len(total), CHUNK):
+        used = np.flatnonzero(total[a : a + CHUNK])
+        if len(used):
+            chunks.append(a // CHUNK)
+            cells.append(struct.pack("<I", len(used)) + used.astype("<u2").tobytes() + total[a : a + CHUNK][used].astype("<u4").tobytes())
     yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array(cells, pa.binary())], names=["chunk", "cells"])
 
 
-def _add_up(batches: Iterator[pa.RecordBatch], code: Code) -> Iterator[pa.RecordBatch]:
-    """(chunk, logits, without) from rows sorted by chunk; the last holds the logits less a first and less a second turn."""
+def _add_up(batches: Iterator[pa.RecordBatch], layout: Layout) -> Iterator[pa.RecordBatch]:
+    """(chunk, logits) from rows sorted by chunk; all logits, those less a first turn, those less a second."""
     held, total = None, np.zeros(CHUNK, np.int64)
 
     def out() -> pa.RecordBatch:
-        counts = total.reshape(-1, SYMBOLS).astype(np.float64)
-        logits, without = code.logits(counts), np.stack(code.without(counts))
-        return pa.RecordBatch.from_arrays([pa.array([held], pa.int64()), pa.array([logits.tobytes()], pa.binary()), pa.array([without.tobytes()], pa.binary())], names=["chunk", "logits", "without"])
+        code = layout.codes[int(held * CHUNK >= layout.offsets[3])]
+        logits = code.logits(total.reshape(-1, SYMBOLS).astype(np.float64))
+        return pa.RecordBatch.from_arrays([pa.array([held], pa.int64()), pa.array([logits.tobytes()], pa.binary())], names=["chunk", "logits"])
 
     for batch in batches:
         for chunk, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -211,63 +311,77 @@ def _add_up(batches: Iterator[pa.RecordBatch], code: Code) -> Iterator[pa.Record
         yield out()
 
 
+#: Gates of a code, and of both.
 GATES = 6 * 4 * 4
 #: The logit of each byte of a table, in the order of the bytes as unsigned numbers.
 _LOGIT = (np.arange(256, dtype=np.uint8).view(np.int8) >> 2).astype(np.float32) / 4
 
 
 class Mixer:
-    """The frozen model: code, logit tables and gate weights."""
-
-    def __init__(self, code: Code, tables: list[np.ndarray], weights: np.ndarray | None = None):
-        self.code, self.tables = code, tables
-        start = np.array([0.2, 0.4, 0.5, 0.0], np.float32)
-        self.weights = np.tile(start, (GATES, 1)) if weights is None else weights
-
-    def decisions(self, texts: list[bytes], without: list[np.ndarray] | None = None) -> dict[str, np.ndarray]:
-        """All decisions of the texts in order: quantised logits of each context, turn, gate; and steps of each byte.
-
-        `without` holds for each context a table less a first turn and one less a second turn: the texts are training
-        text then, and each decision is left out of its own counts.
-        """
-        raw, at, size = _layout(texts)
-        symbol = self.code.symbol[raw[at]].astype(np.int32)
-        steps = self.code.length[symbol]
+    """The frozen model: layout, logit tables (three rows, as of Code.logits), lexicon and its shares, gate weights."""
+
+    def __init__(self, layout: Layout, tables: np.ndarray, lexicon: Words, spelled: np.ndarray, known: np.ndarray):
+        self.layout, self.tables, self.lexicon = layout, tables, lexicon
+        #: by class: bits for a word that is not in the lexicon, and for one that is; words of the lexicon
+        share = (spelled + 0.5) / (spelled + known + 1)
+        self.out_bits, self.in_bits, self.known = -np.log2(share), -np.log2(1 - share), known
+        self.weights = np.tile(np.array([0.2, 0.4, 0.5, 0.0], np.float32), (2 * GATES, 1))
+
+    def decisions(self, k: int, symbol: np.ndarray, slots: list[np.ndarray], own: np.ndarray) -> dict[str, np.ndarray]:
+        """The decisions of code k: quantised logits of each context, turn, gate; and the steps of each symbol. `own`
+        says which symbols are training text: these are left out of their own counts."""
+        code = self.layout.codes[k]
+        steps = code.length[symbol]
         run = np.cumsum(steps)
         total = int(run[-1]) if len(run) else 0
-        width = np.int32(self.code.node.shape[1])
-        path = np.repeat(symbol * width - (run - steps).astype(np.int32), steps)
+        path = np.repeat(symbol * np.int32(code.node.shape[1]) - (run - steps).astype(np.int32), steps)
         path += np.arange(total, dtype=np.int32)
-        packed = self.code.packed.ravel()[path]
-        node = packed & 63
-        logits = []
-        turn = (packed >> 6 & 1).astype(np.int8)
-        for k, (table, slot) in enumerate(zip(self.tables, _slots(raw, at))):
-            cell = np.repeat(slot * np.int32(SYMBOLS), steps)
-            cell += node
-            logits.append(table[cell] if without is None else without[k].ravel()[cell + turn * np.int32(len(table))])
+        packed = code.packed.ravel()[path]
+        turn = packed >> 6 & 1
+        cell = packed & 63
+        if own.any():  # the rows of the tables: all counts, less a first turn, less a second
+            row = (turn + np.int32(1)) * np.int32(self.tables.shape[1])
+            cell += row if own.all() else np.where(np.repeat(own, steps), row, 0)
+        flat, logits = self.tables.ravel(), []
+        for offset, slot in zip(self.layout.offsets[3 * k :].tolist(), slots):
+            logits.append(flat[np.repeat(slot * np.int32(SYMBOLS) + np.int32(offset), steps) + cell])
         gate = (packed >> 7).astype(np.uint8)
         gate |= (logits[1] & np.int8(3)).view(np.uint8) << 2
         gate |= (logits[2] & np.int8(3)).view(np.uint8)
-        return {"logits": logits, "turn": turn, "gate": gate, "steps": steps, "size": size, "escapes": symbol == self.code.escape}
-
-    def tally(self, texts: list[bytes], without: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Decisions counted by all that the regression knows of them: gate, three quantised logits and turn."""
-        got = self.decisions(texts, without)
-        key = got["gate"].astype(np.int32)
-        for q in got["logits"]:
-            key = key << 6 | (q.view(np.uint8) >> 2)
-        return np.unique(key << 1 | got["turn"], return_counts=True)
+        gate += np.uint8(GATES * k)
+        return {"logits": logits, "turn": turn.astype(np.int8), "gate": gate, "steps": steps}
+
+    def _both(self, t: Tokens, own: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, dict]]:
+        """(code, symbol, token, decisions) of classes and of letters; own: which texts are training text."""
+        symbol, slots = self.layout.classes(t)
+        mine = own[t.text]
+        yield 0, symbol, np.arange(len(symbol)), self.decisions(0, symbol, slots, mine)
+        letter, token, slots = self.layout.letters(t, symbol, np.flatnonzero(self.lexicon.find(t.key[t.words]) == 0))
+        yield 1, letter, token, self.decisions(1, letter, slots, mine[token])
+
+    def tally(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Decisions of training text counted by what the regression knows of them: gate, three logits in steps of 1/2,
+        turn."""
+        t, keys = Tokens(texts), []
+        for _, _, _, got in self._both(t, np.ones(len(texts), bool)):
+            key = got["gate"].astype(np.int32)
+            for q in got["logits"]:
+                key = key << 5 | (q.view(np.uint8) >> 3)
+            keys.append(key << 1 | got["turn"])
+        every = np.concatenate(keys)
+        every.sort()
+        heads = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.empty(0, np.int64)
+        return every[heads], np.diff(np.append(heads, len(every)))
 
     @staticmethod
     def pulls(keys: np.ndarray, n: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """Gradient and, row by row, curvature of the log likelihood for each gate, from a tally."""
-        gate, y = keys >> 19, keys & 1
-        x = [*(_LOGIT[(keys >> shift & 63) << 2] for shift in (13, 7, 1)), np.ones(len(keys))]
+        gate, y = keys >> 16, keys & 1
+        x = [*(_LOGIT[(keys >> shift & 31) << 3] + 0.125 for shift in (11, 6, 1)), np.ones(len(keys))]
         p = 1 / (1 + np.exp(-np.clip(sum(z * weights[gate, k] for k, z in enumerate(x)), -30, 30)))
         miss, bend = n * (y - p), n * p * (1 - p)
         terms = [miss * z for z in x] + [bend * a * b for a in x for b in x]
-        return np.stack([np.bincount(gate, t, minlength=GATES) for t in terms], axis=1)
+        return np.stack([np.bincount(gate, t, minlength=2 * GATES) for t in terms], axis=1)
 
     def newton(self, pulls, rounds: int = 5) -> None:
         """Gate weights by regularised logistic regression; pulls(weights) sums up a tally."""
@@ -279,28 +393,32 @@ class Mixer:
             w = w + np.linalg.solve(bend, pull[:, :, None])[:, :, 0]
         self.weights = np.clip(w, -2, 2).astype(np.float32)
 
-    def fit(self, texts: list[bytes], rounds: int = 5) -> None:
-        """Gate weights from texts that are not among the counted ones."""
-        if texts:
-            keys, n = self.tally(texts)
-            self.newton(lambda w: self.pulls(keys, n, w), rounds)
-
-    def bits(self, texts: list[bytes]) -> np.ndarray:
-        """Total bits of each text."""
-        if not texts:
-            return np.empty(0)
-        got = self.decisions(texts)
+    def bits(self, t: Tokens, own: np.ndarray) -> np.ndarray:
+        """Bits of each token."""
+        (_, symbol, _, first), (_, letter, token, second) = self._both(t, own)
+        both = {k: np.concatenate([first[k], second[k]]) for k in ("turn", "gate", "steps")}
+        both["logits"] = [np.concatenate(q) for q in zip(first["logits"], second["logits"])]
+        cost = self._mixed(both, np.concatenate([t.n, np.bincount(t.text[token], minlength=len(t.n))]))
+        out, spelling = cost[: len(symbol)], cost[len(symbol) :] + 8 * (letter == self.layout.codes[1].escape)
+        out += np.bincount(token, spelling, minlength=len(out))
+        count = self.lexicon.find(t.key[t.words])
+        cls, mine = symbol[t.words], own[t.text[t.words]]
+        share = np.maximum(count - mine, 1) / np.maximum(self.known[cls] - mine, 1)
+        out[t.words] += np.where(count > 0, self.in_bits[cls] - np.log2(share), self.out_bits[cls])
+        return out
+
+    def _mixed(self, got: dict[str, np.ndarray], size: np.ndarray) -> np.ndarray:
+        """Bits of each symbol. A lane is a text's classes or its letters; size: symbols of each lane, in order. Each has
+        an offset of the weights of its own."""
         # weight times logit, for every gate and quantised logit; the last column of the weights is a constant
         gate = got["gate"].astype(np.int32) << 8
         fixed = np.zeros(len(gate), np.float32)
         for k, q in enumerate(got["logits"]):
             products = self.weights[:, k, None] * _LOGIT + (self.weights[:, 3, None] if k == 0 else 0)
             fixed += products.astype(np.float32).ravel()[gate + q.view(np.uint8)]
-        # lanes: stretches of SEGMENT bytes of a text; a lane goes on by STEP decisions a step, padded at its end
-        per_text = np.maximum(1, -(-got["size"] // SEGMENT))
-        first_byte = np.repeat(np.cumsum(got["size"]) - got["size"], per_text)
-        nth = np.arange(per_text.sum()) - np.repeat(np.cumsum(per_text) - per_text, per_text)
-        begin = np.concatenate([[0], np.cumsum(got["steps"])])[np.append(first_byte + nth * SEGMENT, got["size"].sum())]
+        # a lane goes on by STEP decisions a step, padded at its end
+        run = np.concatenate([[0], np.cumsum(got["steps"])])
+        begin = run[np.concatenate([[0], np.cumsum(size)])]
         count = np.diff(begin)
         chunks = -(-count // STEP)
         # all lanes' first chunks, then all second ones: the longest lanes first, so that a step is one stretch of rows
@@ -312,59 +430,36 @@ class Mixer:
         lane = np.repeat(np.arange(len(chunks)), chunks)
         step = np.arange(len(lane)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
         inside = np.minimum(count[lane] - step * STEP, STEP)  # decisions of a chunk
-        shift = (row[step] + rank[lane]) * STEP - (begin[lane] + step * STEP)
-        place = np.repeat(shift, inside)
+        place = np.repeat((row[step] + rank[lane]) * STEP - (begin[lane] + step * STEP), inside)
         place += np.arange(begin[-1])
         n = len(lane)
 
         def spread(values: np.ndarray) -> np.ndarray:
             out = np.zeros(n * STEP, values.dtype)
             out[place] = values
-            return out.reshape(n, STEP).astype(np.float32)
+            return out.reshape(n, STEP)
 
         sign = spread(got["turn"] * np.int8(2) - np.int8(1))  # 0 where padded
         mixed = spread(fixed)
-        inputs = [spread(q >> 2) * np.float32(1 / 4) for q in got["logits"]]
+        inputs = [spread(q >> 2) for q in got["logits"]]  # in steps of 1/4
         offset = np.zeros((len(inputs), len(order), 1), np.float32)
         with np.errstate(over="ignore"):
-            for s, live in enumerate(active):
+            for s, live in enumerate(active.tolist()):
                 rows = slice(row[s], row[s + 1])
-                x, own = [z[rows] for z in inputs], offset[:, :live]
-                logit = mixed[rows]
-                for z, w in zip(x, own):
-                    logit += z * w
-                wrong = sign[rows] / (1 + np.exp(sign[rows] * logit))  # 0 where padded
-                for z, w in zip(x, own):
-                    w[:, 0] += np.float32(RATE) * np.einsum("ij,ij->i", wrong, z)
+                logit, own = mixed[rows], offset[:, :live]
+                x = [z[rows].astype(np.float32) for z in inputs]
+                if s:  # the offset is zero until then
+                    for z, w in zip(x, own):
+                        logit += z * w
+                if s + 1 < len(active):
+                    side = sign[rows]
+                    wrong = side / (1 + np.exp(side * logit))  # 0 where padded
+                    for z, w in zip(x, own):
+                        w[:, 0] += np.float32(RATE / 16) * np.einsum("ij,ij->i", wrong, z)
             mixed *= sign
-            cost = np.log(1 + np.exp(-mixed)) - np.float32(math.log(2)) * (sign == 0)
-        text = np.repeat(np.arange(len(texts)), per_text)
-        total = np.bincount(text[lane], cost.sum(axis=1, dtype=np.float64)[row[step] + rank[lane]], minlength=len(texts)) / math.log(2)
-        byte_text = np.repeat(np.arange(len(texts)), got["size"])
-        return total + 8 * np.bincount(byte_text[got["escapes"]], minlength=len(texts))
-
-
-class Words:
-    """Counts of the most frequent words by hash, looked up in a table of 2^20 places."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        order = np.argsort(keys)
-        self.keys, self.counts = keys[order], counts[order]
-        self.place = np.zeros(1 << 20, np.int32)
-        self.place[self._at(self.keys)] = np.arange(len(keys))
-
-    @staticmethod
-    def _at(keys: np.ndarray) -> np.ndarray:
-        return (keys.view(np.uint64) >> np.uint64(44)).astype(np.int64)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The count of each key; 0 if it is not among them."""
-        if not len(self.keys):
-            return np.zeros(len(keys), np.int64)
-        at = self.place[self._at(keys)]
-        rest = np.flatnonzero(self.keys[at] != keys)
-        at[rest] = np.minimum(np.searchsorted(self.keys, keys[rest]), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.counts[at], 0)
+            cost = np.log1p(np.exp(-mixed)).ravel()[place]
+        total = np.concatenate([[0.0], np.cumsum(cost, dtype=np.float64)])
+        return np.diff(total[run]) / math.log(2)
 
 
 def held_out(id_col: str, parts: int = 10) -> Column:
@@ -372,12 +467,12 @@ def held_out(id_col: str, parts: int = 10) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % parts == 0
 
 
-def _tally(batches: Iterator[pa.RecordBatch], mixer: Mixer, without: list[np.ndarray], most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+def _tally(batches: Iterator[pa.RecordBatch], mixer: Mixer, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """(key, n): a task's decisions on training text, put together for up to `most` keys."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
     for batch in batches:
-        for part in slices(batch, "text", SLICE_BYTES // 4):
-            held.append(mixer.tally(_texts(part.column(0)), without))
+        for part in slices(batch, "text", SLICE_BYTES // 2):
+            held.append(mixer.tally(_texts(part.column(0))))
             if sum(len(k) for k, _ in held) > most:
                 held = [_merged(held)]
                 if len(held[0][0]) > most // 2:
@@ -387,38 +482,63 @@ def _tally(batches: Iterator[pa.RecordBatch], mixer: Mixer, without: list[np.nda
 
 
 def _pulls(batches: Iterator[pa.RecordBatch], weights: np.ndarray) -> Iterator[pa.RecordBatch]:
-    total = np.zeros((GATES, 20))
+    total = np.zeros((2 * GATES, 20))
     for batch in batches:
         total += Mixer.pulls(batch.column(0).to_numpy(), batch.column(1).to_numpy(), weights)
     yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
 
-def learn(train: DataFrame, code: Code) -> Mixer:
+def learn(train: DataFrame, layout: Layout, lexicon: Words, spelled: np.ndarray, known: np.ndarray) -> Mixer:
     """Tables from all texts of train, and gates from all their decisions, each left out of its own counts."""
     spark = train.sparkSession
-    shared_code = spark.sparkContext.broadcast(code)
-    sparse = map_arrow(train, lambda it: _count_contexts(it, shared_code.value), "chunk long, cells binary")
-    summed = map_arrow(sparse.repartition("chunk").sortWithinPartitions("chunk"), lambda it: _add_up(it, shared_code.value), "chunk long, logits binary, without binary")
-    ends = _offsets()
-    flat, less = np.zeros(int(ends[-1]), np.int8), np.zeros((2, int(ends[-1])), np.int8)
-    for r in summed.toLocalIterator():  # the tables have a fixed size of 20 MB, three times
-        at = slice(r.chunk * CHUNK, (r.chunk + 1) * CHUNK)
-        flat[at] = np.frombuffer(r.logits, np.int8)
-        less[:, at] = np.frombuffer(r.without, np.int8).reshape(2, CHUNK)
-    mixer = Mixer(code, np.split(flat, ends[1:-1]))
-    shared = spark.sparkContext.broadcast((mixer, [np.ascontiguousarray(t) for t in np.split(less, ends[1:-1], axis=1)]))
-    tally = materialize(map_arrow(train, lambda it: _tally(it, *shared.value), "key int, n long").groupBy("key").agg(F.sum("n").alias("n")))
-    shared.unpersist()
+    shared = spark.sparkContext.broadcast((layout, lexicon))
+    sparse = map_arrow(train, lambda it: _count_contexts(it, *shared.value), "chunk long, cells binary")
+    summed = map_arrow(sparse.repartition("chunk").sortWithinPartitions("chunk"), lambda it: _add_up(it, shared.value[0]), "chunk long, logits binary")
+    nothing = np.array([layout.codes[0].logits(np.zeros((1, SYMBOLS)))[0, 0, 0]], np.int8)
+    tables = np.full((3, int(layout.offsets[-1])), nothing[0], np.int8)
+    for r in summed.toLocalIterator():  # at most 22 MB three times, by TABLE_BITS
+        tables[:, r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.logits, np.int8).reshape(3, CHUNK)
+    mixer = Mixer(layout, tables, lexicon, spelled, known)
+    frozen = spark.sparkContext.broadcast(mixer)
+    tally = materialize(map_arrow(train, lambda it: _tally(it, frozen.value), "key int, n long").groupBy("key").agg(F.sum("n").alias("n")))
 
     def pulls(weights: np.ndarray) -> np.ndarray:
         rows = map_arrow(tally, lambda it: _pulls(it, weights), "sums binary").collect()  # a row a task
-        return sum((np.frombuffer(r.sums).reshape(GATES, 20) for r in rows), np.zeros((GATES, 20)))
+        return sum((np.frombuffer(r.sums).reshape(2 * GATES, 20) for r in rows), np.zeros((2 * GATES, 20)))
 
     mixer.newton(pulls)
     return mixer
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _savings(scored: DataFrame) -> DataFrame:
+    """(row, saved): bits that the decisions on following passages save, for rows where there are any."""
+    follows = scored.select("row", F.col("held_out").alias("out"), F.explode(F.arrays_zip("before", "after", "cost")).alias("p")).select("row", "out", "p.before", "p.after", "p.cost")
+    pairs = follows.where(~F.col("out")).groupBy("before", "after").agg(F.count("*").alias("n"))
+    best = pairs.groupBy("before").agg(F.sum("n").alias("m"), F.max(F.struct("n", "after")).alias("best"))
+    table = materialize(best.select("before", "m", F.col("best.n").alias("n"), F.col("best.after").alias("next")))
+    # passages met so often that there are 2^14 of them at most are broadcast, the others are no hot keys
+    passages = table.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    hot = F.col("m") >= max(1024, passages >> 14)
+    near = follows.join(F.broadcast(table.where(hot)), "before")
+    far = follows.join(F.broadcast(table.where(hot).select("before")), "before", "left_anti").join(table.where(~hot), "before")
+    own = (~F.col("out")).cast("int")
+    hit = F.col("after") == F.col("next")
+    n, m = F.col("n") - own * hit.cast("int"), F.col("m") - own
+    met = near.unionByName(far).where(m > 0)
+    met = materialize(met.select("row", "out", "cost", hit.alias("hit"), n.cast("int").alias("n"), m.cast("int").alias("m")))
+    state = F.least("n", F.lit(MOST)) * (MOST + 1) + F.least(F.col("m") - F.col("n"), F.lit(MOST))
+    share = {(a, b): 2 * (a + 0.4) / (a + b + 0.8) for a in range(MOST + 1) for b in range(MOST + 1)}
+    seen = dict.fromkeys(share, 2.0)
+    # by state, of which there are 256
+    for r in met.where(~F.col("out")).groupBy(state.alias("state")).agg(F.count("*").alias("all"), F.count(F.when(F.col("hit"), 1)).alias("hits")).collect():
+        share[divmod(r.state, MOST + 1)] += r.hits
+        seen[divmod(r.state, MOST + 1)] += r["all"]
+    chance = F.element_at(F.array(*(F.lit(share[x] / seen[x]) for x in sorted(share))), state + 1)
+    saved = F.when(F.col("hit"), F.col("cost") + F.log2(chance)).otherwise(F.log2(1 - chance))
+    return met.groupBy("row").agg(F.sum(saved).alias("saved"))
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table_bits: int = TABLE_BITS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs.
 
     score and base_score are log10 probabilities of the whole text; score / (log10(2) * -bytes) gives bits a byte.
@@ -429,13 +549,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     train = docs.where(~held_out(id_col)).select(text.alias("text"))
 
-    counts = materialize(map_arrow(train, _count_words, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
-    histogram = np.zeros(256, np.int64)
-    for r in counts.where("kind = 1").collect():  # 256 rows at most
-        histogram[r.key] = r.n
-    words = counts.where("kind = 0").select("key", "n")
+    counts = materialize(map_arrow(train, _count_words, "kind int, key long, pair int, n long").groupBy("kind", "key", "pair").agg(F.sum("n").alias("n")))
+    pairs, letters = np.zeros(1 << 16, np.int64), np.zeros(256, np.int64)
+    for r in counts.where("kind > 0").collect():  # 2^16 + 256 rows at most
+        (pairs if r.kind == 1 else letters)[r.key] = r.n
+    words = counts.where("kind = 0").select("key", "pair", "n")
     n_words, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    texts = int(histogram[END])
+    texts = int(pairs[END_PAIR])
     tokens, distinct = n_words + texts, distinct + (texts > 0)
     # by the logarithm of its count, a word belongs to the head if all words as frequent fit in; HEAD rows at most come here
     level = F.floor(8 * F.log2("n")).cast("int")
@@ -446,50 +566,64 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             break
         least = r.level
     head_rows = words.where(level >= least).toPandas()
-    head = Words(head_rows["key"].to_numpy(np.int64), head_rows["n"].to_numpy(np.int64))
-
-    mixer = learn(train, Code(histogram))
+    key, n = head_rows["key"].to_numpy(np.int64), head_rows["n"].to_numpy(np.int64)
+    head, often = Words(key, n), n > 1
+    letters[SPACE] += texts
+    letters[END] = 0
+    layout = Layout(pairs, letters, min(table_bits, max(12, distinct.bit_length())))
+    cls = layout.codes[0].symbol
+    known = np.bincount(cls[head_rows["pair"].to_numpy(np.int64)[often]], n[often], minlength=SYMBOLS)
+    spelled = np.bincount(cls, pairs, minlength=SYMBOLS) - known
+    spelled[layout.codes[0].always] = 0
+    mixer = learn(train, layout, Words(key[often], n[often]), spelled, known)
     shared = spark.sparkContext.broadcast((mixer, head))
 
-    kind = "doc_id long, held_out boolean, row long, n_tokens long, known long, base double, score double, tail array<long>"
-    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("row", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("tail", pa.list_(pa.int64()))])
+    kind = "doc_id long, held_out boolean, row long, n_tokens long, known long, base double, bits double, tail array<long>, before array<long>, after array<long>, cost array<float>"
+    schema = pa.schema(
+        [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("row", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("bits", pa.float64())]
+        + [("tail", pa.list_(pa.int64())), ("before", pa.list_(pa.int64())), ("after", pa.list_(pa.int64())), ("cost", pa.list_(pa.float32()))]
+    )
     scale = tokens + 0.1 * (distinct + 1)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mixer, head = shared.value
         for batch in batches:
-            for part in slices(batch, "text", SLICE_BYTES // 4):
-                texts_ = _texts(part.column(3))
-                raw = np.frombuffer(b"".join(texts_), np.uint8)
-                bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts_), np.int64, len(texts_)))])
-                starts, stops, rows = word_spans(raw, bounds)
-                keys = span_hashes(raw, starts, stops).view(np.int64)
+            for part in slices(batch, "text", SLICE_BYTES // 2):
+                t = Tokens(_texts(part.column(3)))
+                keys, rows = t.key[t.words], t.text[t.words]
                 count = head.find(keys)
                 found = count > 0
-                n = np.bincount(rows, minlength=len(texts_)) + 1
-                base = np.bincount(rows[found], np.log10((count[found] + 0.1) / scale), minlength=len(texts_))
+                base = np.bincount(rows[found], np.log10((count[found] + 0.1) / scale), minlength=len(t.n))
                 base = base + math.log10((texts + 0.1) / scale)
-                known = np.bincount(rows[found], minlength=len(texts_)) + (texts > 0)
+                known = np.bincount(rows[found], minlength=len(t.n)) + (texts > 0)
                 rest = ~found
-                ends = np.concatenate([[0], np.cumsum(np.bincount(rows[rest], minlength=len(texts_)))])
-                tail = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(keys[rest]))
-                model = -_LOG10_2 * mixer.bits(texts_)
-                columns = [*part.columns[:3], pa.array(n), pa.array(known.astype(np.int64)), pa.array(base), pa.array(model), tail]
+                bits = mixer.bits(t, ~part.column(1).to_numpy(zero_copy_only=False))
+                first, passage = t.passages()
+                cost = np.add.reduceat(bits, first) if len(first) else bits
+                after = np.flatnonzero(t.place[first] > 0)  # passages with one before them in their text
+
+                def listed(of: np.ndarray, values: np.ndarray, n: int = len(t.n)) -> pa.Array:
+                    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(of, minlength=n))]).astype(np.int32)), pa.array(values))
+
+                of = t.text[first][after]
+                columns = [*part.columns[:3], pa.array(t.n), pa.array(known.astype(np.int64)), pa.array(base), pa.array(np.bincount(t.text, bits, minlength=len(t.n)))]
+                columns += [listed(rows[rest], keys[rest]), listed(of, passage[after - 1]), listed(of, passage[after]), listed(of, cost[after].astype(np.float32))]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.monotonically_increasing_id().alias("row"), text.alias("text"))
     scored = materialize(map_arrow(source, work, kind))
     # words that are not among the most frequent: no word is hot here
     tail = scored.select("row", F.explode("tail").alias("key")).groupBy("row", "key").agg(F.count("*").alias("times"))
-    joined = tail.join(words, "key", "left")
+    joined = tail.join(words.select("key", "n"), "key", "left")
     term = F.log10((F.coalesce("n", F.lit(0)) + 0.1) / F.lit(scale))
     terms = joined.groupBy("row").agg(F.sum(F.col("times") * term).alias("tail_base"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("tail_known"))
-    return scored.drop("tail").join(terms, "row", "left").select(
+    rows = scored.select("row", "doc_id", "held_out", "n_tokens", "known", "base", "bits")
+    return reduce(lambda a, b: a.join(b, "row", "left"), [terms, _savings(scored)], rows).select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("tail_base", F.lit(0.0))).alias("base_score"),
-        "score",
+        ((F.coalesce("saved", F.lit(0.0)) - F.col("bits")) * _LOG10_2).alias("score"),
     )
