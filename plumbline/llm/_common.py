@@ -61,7 +61,7 @@ def _reuse_memory() -> None:
         mallopt = getattr(ctypes.CDLL(None), "mallopt", None)
         if mallopt:
             mallopt(_MMAP_THRESHOLD, 32 << 20)
-            mallopt(_TRIM_THRESHOLD, 128 << 20)
+            mallopt(_TRIM_THRESHOLD, 64 << 20)
 
 
 def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:

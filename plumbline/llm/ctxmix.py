@@ -275,7 +275,7 @@ def _count_contexts(batches: Iterator[pa.RecordBatch], layout: Layout, lexicon:
     """(chunk, cells): a task's counts of (context slot, symbol), as sparse stretches of the tables of all contexts."""
     total = np.zeros(int(layout.offsets[-1]), np.uint32)
     for batch in batches:
-        for part in slices(batch, "text", SLICE_BYTES // 2):
+        for part in slices(batch, "text", SLICE_BYTES // 4):
             t = Tokens(_texts(part.column(0)))
             symbol, slots = layout.classes(t)
             letter, _, more = layout.letters(t, symbol, np.flatnonzero(lexicon.find(t.key[t.words]) == 0))
@@ -467,11 +467,11 @@ def held_out(id_col: str, parts: int = 10) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % parts == 0
 
 
-def _tally(batches: Iterator[pa.RecordBatch], mixer: Mixer, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+def _tally(batches: Iterator[pa.RecordBatch], mixer: Mixer, most: int = 500_000) -> Iterator[pa.RecordBatch]:
     """(key, n): a task's decisions on training text, put together for up to `most` keys."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
     for batch in batches:
-        for part in slices(batch, "text", SLICE_BYTES // 2):
+        for part in slices(batch, "text", SLICE_BYTES // 4):
             held.append(mixer.tally(_texts(part.column(0))))
             if sum(len(k) for k, _ in held) > most:
                 held = [_merged(held)]
@@ -501,6 +501,8 @@ def learn(train: DataFrame, layout: Layout, lexicon: Words, spelled: np.ndarray,
     mixer = Mixer(layout, tables, lexicon, spelled, known)
     frozen = spark.sparkContext.broadcast(mixer)
     tally = materialize(map_arrow(train, lambda it: _tally(it, frozen.value), "key int, n long").groupBy("key").agg(F.sum("n").alias("n")))
+    frozen.destroy()  # the driver keeps a copy of a broadcast until then
+    shared.destroy()
 
     def pulls(weights: np.ndarray) -> np.ndarray:
         rows = map_arrow(tally, lambda it: _pulls(it, weights), "sums binary").collect()  # a row a task
@@ -588,7 +590,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mixer, head = shared.value
         for batch in batches:
-            for part in slices(batch, "text", SLICE_BYTES // 2):
+            for part in slices(batch, "text", SLICE_BYTES // 4):
                 t = Tokens(_texts(part.column(3)))
                 keys, rows = t.key[t.words], t.text[t.words]
                 count = head.find(keys)
@@ -612,6 +614,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.monotonically_increasing_id().alias("row"), text.alias("text"))
     scored = materialize(map_arrow(source, work, kind))
+    shared.destroy()
     # words that are not among the most frequent: no word is hot here
     tail = scored.select("row", F.explode("tail").alias("key")).groupBy("row", "key").agg(F.count("*").alias("times"))
     joined = tail.join(words.select("key", "n"), "key", "left")
