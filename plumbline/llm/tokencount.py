@@ -6,8 +6,9 @@ a number of steps linear in its length, and its count is the sum of the popped n
 go through the automaton side by side, one byte a step.
 
 A word `[^\\x20\\x09-\\x0D]+`, A-Z in lower case, is matched from the left; at each place the longest vocabulary entry
-wins. Its end is a symbol of its own, which entries for word ends contain. A word that can't be covered counts as one
-unknown token, as in word-piece tokenizers.
+wins. Its end is a symbol of its own, which entries for word ends contain; where the last entry found holds no end, the
+end is left over and counts nothing. So a word whose bytes are all entries is always covered. A word that can't be
+covered counts as one unknown token, as in word-piece tokenizers.
 """
 
 from __future__ import annotations
@@ -57,6 +58,10 @@ class Automaton:
                     is_piece.append(False)
                 at = children[at][symbol]
             is_piece[at] = at > 0
+        alone = children[0].setdefault(END, len(children))  # an end that no entry took
+        if alone == len(children):
+            children.append({})
+            is_piece.append(True)
         n = len(children)
         fail, popped = [-1] * n, [0] * n
         todo = deque([0])
@@ -65,7 +70,7 @@ class Automaton:
             for symbol, child in children[node].items():
                 todo.append(child)
                 if is_piece[child]:
-                    fail[child], popped[child] = 0, 1
+                    fail[child], popped[child] = 0, int(child != alone)
                     continue
                 back, count = fail[node], popped[node]
                 while back >= 0 and symbol not in children[back]:

@@ -16,7 +16,7 @@ def greedy(word, pieces, longest):
                 symbols, n = symbols[k:], n + 1
                 break
         else:
-            return -1
+            return n if symbols == (256,) else -1
     return n
 
 
@@ -44,6 +44,17 @@ def test_small_vocabularies(monkeypatch, long_word):
         assert got.tolist() == [greedy(w, table, 6) for w in words]
 
 
+def test_no_word_is_unknown_whose_bytes_are_entries():
+    import numpy as np
+
+    pieces = tokencount.byte_level_pieces(SPEC)
+    words = [w.encode() for w in ("thre", "für", "ç", "the", "日本", "x")]
+    raw = np.frombuffer(b" ".join(words), np.uint8)
+    stops = np.cumsum([len(w) + 1 for w in words]) - 1
+    got = tokencount.Automaton(pieces).count(raw, stops - [len(w) for w in words], stops).tolist()
+    assert min(got) > 0 and got[3] == got[5] == 1
+
+
 def test_query(spark):
     pieces = tokencount.byte_level_pieces(SPEC)
     assert len(pieces) > 49_000
