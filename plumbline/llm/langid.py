@@ -21,13 +21,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm._common import SLICE_BYTES, map_arrow, slices, text_buffer
+from plumbline.llm._common import SLICE_BYTES, map_arrow, materialize, slices, text_buffer
 
 ORDER = 3
-#: Bytes of labelled text that a language is learned from at most: the bound of the sample.
+#: Bytes of labelled text that a language is learned from at most, and all languages: the bounds of the sample.
 SAMPLE_BYTES = 1_000_000
-#: Characters of one text that are learned from at most.
-TEXT_CHARS = 20_000
+TOTAL_BYTES = 64_000_000
+#: Characters of the passages that texts are cut into for the sample.
+PASSAGE_CHARS = 2_000
 UNDETERMINED = "und"
 
 
@@ -178,27 +179,31 @@ def held_out(id_col: str, parts: int = 5) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % parts == 0
 
 
-def learn(docs: DataFrame, text_col: str, lang_col: str, sample_bytes: int = SAMPLE_BYTES, text_chars: int = TEXT_CHARS) -> ContextTrees:
-    """Trees from a bounded sample: for each language, texts in the order of a hash, up to sample_bytes.
+def learn(docs: DataFrame, text_col: str, lang_col: str, sample_bytes: int = SAMPLE_BYTES, total_bytes: int = TOTAL_BYTES) -> ContextTrees:
+    """Trees from a bounded sample: for each language, passages in the order of a hash, up to sample_bytes.
 
-    Of a text the first text_chars characters are learned from; the last text is cut at the bound. The sample is the
-    same for any partitioning of the rows, and the driver never holds more than the bound for a language.
+    Whole texts are cut into passages, so that any part of a text is as likely to be learned from; equal passages count
+    once. With many languages each has an equal part of total_bytes. The sample is the same for any partitioning of the
+    rows, and the driver never holds more than these bounds. Null and empty texts and null languages teach nothing; an
+    empty table gives trees of no language.
     """
-    rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.substring(F.col(text_col).cast("string"), 1, text_chars).alias("text"))
+    rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     rows = rows.where("lang is not null and text is not null and text != ''")
-    rows = rows.select("lang", F.octet_length("text").alias("n"), F.xxhash64("text").alias("place"), "text")
-    sizes = rows.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).collect()
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
     if not sizes:
         return ContextTrees({})
-    # by the hash, about twice the share that is needed comes to the driver, row by row
-    shares = {r.lang: min(1.0, 2 * sample_bytes / r.n + 40 / r.rows) for r in sizes}
+    most = min(sample_bytes, total_bytes // len(sizes))
+    # by the hash, about twice the share that is needed is written, and read back in order
+    shares = {lang: min(1.0, (2 * most + 40 * PASSAGE_CHARS) / n) for lang, n in sizes.items()}
     bounds = [x for lang, share in shares.items() for x in (F.lit(lang), F.lit(min((1 << 63) - 1, int((share * 2 - 1) * 2**63))))]
-    chosen = rows.where(F.col("place") <= F.create_map(*bounds)[F.col("lang")]).orderBy("lang", "place", "text")
-    samples = {r.lang: bytearray() for r in sizes}
-    for r in chosen.select("lang", "place", "text").toLocalIterator():
-        if len(samples[r.lang]) < sample_bytes:
+    passages = rows.select("lang", F.explode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PASSAGE_CHARS}}}"), F.lit(0))).alias("text"))
+    placed = passages.select("lang", F.xxhash64("text").alias("place"), "text")
+    chosen = materialize(placed.where(F.col("place") <= F.create_map(*bounds)[F.col("lang")]).distinct())
+    samples = {lang: bytearray() for lang in sizes}
+    for r in chosen.orderBy("lang", "place", "text").toLocalIterator():
+        if len(samples[r.lang]) < most:
             samples[r.lang] += r.text.encode("utf-8", "surrogatepass") + b"\n"
-    return ContextTrees({lang: bytes(x[:sample_bytes]) for lang, x in samples.items() if x})
+    return ContextTrees({lang: bytes(x[:most]) for lang, x in samples.items() if x})
 
 
 def identify(docs: DataFrame, trees: ContextTrees, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -221,7 +226,11 @@ def identify(docs: DataFrame, trees: ContextTrees, id_col: str = "doc_id", text_
 
 
 def keep_identified(docs: DataFrame, trees: ContextTrees, text_col: str = "text", most_bits: float = 6.0) -> DataFrame:
-    """The rows whose language is determined and whose text takes at most most_bits a byte in it, all columns kept."""
+    """The rows whose language is determined and whose text takes at most most_bits a byte in it, all columns kept.
+
+    Null, empty and letterless texts go, as all do if nothing was learned. Repeated rows each keep a row; an empty table
+    gives an empty table.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(trees)
     at = docs.columns.index(text_col)
 

@@ -79,3 +79,13 @@ def test_nothing_to_learn_from(spark):
     assert langid.identify(df.limit(0), trees).collect() == [] and langid.learn(df.limit(0), "text", "lang").languages == []
     assert np.isfinite(trees.code_lengths(pa.array(["a"]))).all()
     assert df.where(F.lit(True)).count() == 1
+
+
+def test_any_part_of_a_text_can_be_learned_from(spark):
+    tail = {"aa": "qwxz " * 9_000, "bb": "jkvy " * 9_000}
+    rows = [(lang, "same words at first " * 3_000 + end) for lang, end in tail.items()] + [(None, "x"), ("cc", None), ("dd", "")]
+    trees = langid.learn(spark.createDataFrame(rows, "lang string, text string"), "text", "lang")
+    assert trees.languages == ["aa", "bb"]
+    assert trees.predict(pa.array(["qwxz qwxz", "jkvy"]))[0] == ["aa", "bb"]
+    many = spark.createDataFrame([(f"l{i:03}", f"t{i} " * 3_000) for i in range(60)], "lang string, text string")
+    assert len(langid.learn(many, "text", "lang", total_bytes=60_000).languages) == 60
