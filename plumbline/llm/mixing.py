@@ -23,6 +23,8 @@ from pyspark.sql.window import Window
 from plumbline.llm._common import map_arrow, materialize
 
 MAX_REPEATS = 3
+#: Patterns whose rules are broadcast to the documents; more are joined by shuffle.
+BROADCAST_PATTERNS = 1 << 14
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -43,16 +45,24 @@ def water_fill(sizes: Sequence[float], weights: Sequence[float], limit: float =
 
 
 def route(capacity: Sequence[float], members: Sequence[Sequence[int]], quota: Sequence[float], repeats: int = MAX_REPEATS) -> list[dict[int, float]]:
-    """flow[pattern][source] of a min-cost flow: as much of the quotas as can be met, with the least repetition cost."""
+    """flow[pattern][source] of a min-cost flow: as much of the quotas as can be met, with the least repetition cost.
+
+    A source that one pattern holds, and that pattern no other source, has one path only; the others are searched.
+    """
     flow: list[dict[int, float]] = [dict.fromkeys(m, 0.0) for m in members]
     need = list(map(float, quota))
     holders = defaultdict(list)
     for p, m in enumerate(members):
         for s in m:
             holders[s].append(p)
+    capacity = list(map(float, capacity))
+    for p, m in enumerate(members):
+        if len(m) == 1 and len(holders[m[0]]) == 1:
+            flow[p][m[0]] = min(need[m[0]], repeats * capacity[p])
+            need[m[0]] = capacity[p] = 0.0
     tiny = 1e-9 * max(1.0, sum(need))
     for _ in range(repeats):
-        spare = list(map(float, capacity))
+        spare = list(capacity)
         while True:
             came: dict[tuple[str, int], tuple[str, int] | None] = {("p", p): None for p, c in enumerate(spare) if c > tiny}
             todo, end = deque(came), None
@@ -84,7 +94,7 @@ def route(capacity: Sequence[float], members: Sequence[Sequence[int]], quota: Se
     return flow
 
 
-def mix(docs: DataFrame, id_col: str, size_col: str, members_col: str, weights: Sequence[float] = (5, 2, 1), seed: int = 42, repeats: int = MAX_REPEATS, max_patterns: int = 100_000) -> DataFrame:
+def mix(docs: DataFrame, id_col: str, size_col: str, members_col: str, weights: Sequence[float] = (5, 2, 1), seed: int = 42, repeats: int = MAX_REPEATS) -> DataFrame:
     """(doc_id, size, members, source_size, target, copies, routed) for each row of docs.
 
     members_col is an array of source names (null is a source, sorted last); weights go round over the sources in code
@@ -92,9 +102,9 @@ def mix(docs: DataFrame, id_col: str, size_col: str, members_col: str, weights:
     that went to each. copies is at most `repeats`. Sums over any number of rows are exact; the order is a hash of
     seed, id and size, so that reruns agree. A null size counts as 0; a row without members is never taken; repeated
     rows are rows of their own. An empty table gives an empty table.
-    One row a pattern comes to the driver, `max_patterns` at most.
+    A row a pattern, some 300 bytes, comes to the driver and goes to the tasks, however many there are.
     """
-    lined, starts, plan = _planned(docs, id_col, size_col, members_col, weights, seed, repeats, max_patterns)
+    lined, starts, plan = _planned(docs, id_col, size_col, members_col, weights, seed, repeats)
     shared = docs.sparkSession.sparkContext.broadcast((starts, plan))
     return map_arrow(
         lined,
@@ -103,7 +113,7 @@ def mix(docs: DataFrame, id_col: str, size_col: str, members_col: str, weights:
     )
 
 
-def _planned(docs: DataFrame, id_col: str, size_col: str, members_col: str, weights: Sequence[float], seed: int, repeats: int, max_patterns: int) -> tuple[DataFrame, dict, dict[tuple, _Plan]]:
+def _planned(docs: DataFrame, id_col: str, size_col: str, members_col: str, weights: Sequence[float], seed: int, repeats: int) -> tuple[DataFrame, dict, dict[tuple, _Plan]]:
     """The rows along their patterns' lines, where each pattern starts in each part, and what is taken of each pattern."""
     order = lambda x: (x is None, x or "")
     rows = docs.select(
@@ -112,9 +122,7 @@ def _planned(docs: DataFrame, id_col: str, size_col: str, members_col: str, weig
         F.array_sort(F.array_distinct(F.coalesce(F.col(members_col).cast("array<string>"), F.array().cast("array<string>")))).alias("members"),
     )
     rows = materialize(rows.withColumn("place", F.xxhash64(F.lit(seed), "doc_id", "size")))
-    found = rows.groupBy("members").agg(F.sum("size").alias("size")).limit(max_patterns + 1).collect()
-    if len(found) > max_patterns:
-        raise ValueError(f"over {max_patterns} membership patterns")
+    found = rows.groupBy("members").agg(F.sum("size").alias("size")).toLocalIterator()
     patterns = sorted(((tuple(r.members), r.size) for r in found), key=lambda x: [order(m) for m in x[0]])
     sources = sorted({m for p, _ in patterns for m in p}, key=order)
     number = {s: i for i, s in enumerate(sources)}
@@ -246,26 +254,31 @@ def mix_documents(docs: DataFrame, id_col: str, size: Column, members: Column, w
     """The rows of docs as often as the mix takes them, all columns kept.
 
     A pattern's rows have two numbers of copies. The larger one holds for rows up to some size before some row of its
-    seeded order, for a few such pairs, and for a single row; these (some tens a pattern, `max_patterns` patterns at
-    most) are broadcast and decide all, so the documents themselves are not shuffled. Rows that agree in id and size
-    are taken alike.
+    seeded order, for a few such pairs, and for a single row; these (some tens a pattern) decide all, so where they are
+    few the documents themselves are not shuffled. Rows that agree in id and size are taken alike. Null sizes are 0;
+    extra columns are kept; an empty table gives an empty table.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), size.alias("size"), members.alias("members"))
+    # the size is counted once a row: what a Generate makes is never put in place of its name
+    counted = f"__size_{len(docs.columns)}"
+    sized, size = docs.select("*", F.explode(F.array(size)).alias(counted)), F.coalesce(F.col(counted), F.lit(0))
     spot = lambda doc_id, n: F.struct(F.xxhash64(F.lit(seed), doc_id, n).alias("place"), doc_id.isNotNull().alias("some"), doc_id.alias("doc_id"), n.alias("size"))
-    _, _, plan = _planned(rows, "doc_id", "size", "members", weights, seed, repeats, 100_000)
+    _, _, plan = _planned(rows, "doc_id", "size", "members", weights, seed, repeats)
     rules = [(list(key), p.full, [(float(most), row) for (most, _), row in zip(p.takes, p.stops)], p.last) for key, p in plan.items()]
     row = "struct<doc_id: long, size: long>"
     rule = spark.createDataFrame(rules, f"__members array<string>, __full int, takes array<struct<most: double, stop: {row}>>, last {row}")
     at = lambda r: F.when(r.isNotNull(), spot(r["doc_id"], r["size"]))
     takes = F.transform("takes", lambda t: F.struct(t["most"].alias("most"), at(t["stop"]).alias("stop")))
-    rule = F.broadcast(rule.select("__members", "__full", takes.alias("__takes"), at(F.col("last")).alias("__last")))
+    rule = rule.select("__members", "__full", takes.alias("__takes"), at(F.col("last")).alias("__last"))
+    if len(plan) <= BROADCAST_PATTERNS:
+        rule = F.broadcast(rule)
     own = spot(F.col(id_col).cast("long"), size)
-    joined = docs.alias("d").join(rule, F.array_sort(F.array_distinct(members)) == F.col("__members")).withColumn("__own", own)
+    joined = sized.alias("d").join(rule, F.array_sort(F.array_distinct(members)) == F.col("__members")).withColumn("__own", own)
     within = F.exists("__takes", lambda t: (F.col("__own.size") <= t["most"]) & (t["stop"].isNull() | (F.col("__own") < t["stop"])))
     larger = within | (F.col("__last").isNotNull() & F.col("__own").eqNullSafe(F.col("__last")))
     copies = F.when(F.col("__own.size") > 0, F.col("__full") + larger.cast("int")).otherwise(F.lit(0)).cast("int")
-    return joined.select("d.*", F.explode(F.array_repeat(F.lit(0), copies)).alias("__copy")).drop("__copy")
+    return joined.select("d.*", F.explode(F.array_repeat(F.lit(0), copies)).alias("__copy")).select(*(f"`{c}`" for c in docs.columns))
 
 
 def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

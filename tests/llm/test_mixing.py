@@ -108,3 +108,21 @@ def test_a_long_document_leaves_no_gap(spark, share):
     assert abs(sum(r.copies * r["size"] for r in got if r.members == ["a"]) - target) <= 150
     again = mixing.mix_documents(df, "id", F.col("size").cast("long"), F.col("m"), weights=(1, 2)).groupBy("id").count().collect()
     assert {r.id: r["count"] for r in again} == {r.doc_id: r.copies for r in got if r.copies}
+
+
+def test_many_sources_take_one_path_each():
+    n = 150_000
+    flow = mixing.route([2.0] * n + [5.0, 1.0], [[i] for i in range(n)] + [[n, n + 1], [n + 1]], [i % 9 for i in range(n)] + [3.0, 3.0])
+    assert [flow[i][i] for i in range(n)] == [min(i % 9, 6.0) for i in range(n)]
+    assert flow[n][n] == 3 and flow[n][n + 1] + flow[n + 1][n + 1] == pytest.approx(3)
+
+
+def test_documents_of_an_empty_table_and_of_many_sources(spark, monkeypatch):
+    kind = "doc_id long, text string, source string, size int"
+    rows = [(i, "a b c", f"s{i % 30}", 7) for i in range(90)] + [(90, None, None, 1)]
+    df = spark.createDataFrame(rows, kind)
+    run = lambda d: mixing.mix_documents(d, "doc_id", mixing.word_count("text"), F.array("source"))
+    assert run(df.limit(0)).collect() == []
+    few = sorted(map(str, run(df).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_PATTERNS", 5)
+    assert sorted(map(str, run(df).collect())) == few and run(df).columns == df.columns
