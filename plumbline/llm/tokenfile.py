@@ -19,10 +19,10 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -152,7 +152,8 @@ def read_block(data: bytes, k: int) -> np.ndarray:
 class _Words(dict):
     """word -> number; a word that is not there yet gets the next number and waits to be encoded."""
 
-    def __init__(self):
+    def __init__(self, known=()):
+        super().__init__(known)
         self.waiting: list[bytes] = []
 
     def __missing__(self, word: bytes) -> int:
@@ -161,31 +162,52 @@ class _Words(dict):
         return number
 
 
+class _Pieces(dict):
+    """piece of a word -> its ids as bytes, from the library's model; a space stands between words."""
+
+    GAP = 2**32 - 1
+
+    def __init__(self, model):
+        super().__init__({" ": self.GAP.to_bytes(4, "little")})
+        self.model = model
+        # the byte-level alphabet: bytes that show stand for themselves, the others for 256, 257, ...
+        shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+        hidden = iter(range(256, 512))
+        self.letters = [chr(b if b in shown else next(hidden)) for b in range(256)]
+
+    def __missing__(self, piece: str) -> bytes:
+        mapped = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
+        out = self[piece] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(mapped)])
+        return out
+
+
 class WordEncoder:
     """Exact ids of whole texts through a tokenizers file, with a bounded cache of words.
 
     Words between ASCII white space are encoded apart where that provably gives the ids of the whole text: the file's
     normaliser works on each character or on runs without white space, its pre-tokeniser never matches across white
     space, and its model is called for each piece. Of the words not met before, those of printable ASCII and the
-    letters U+00C0 to U+017F are cut into pieces here and go to the library's model in one call; every other word goes
-    through the library whole. A file built otherwise is used on whole texts only.
+    letters U+00C0 to U+017F are cut into pieces here, and pieces not met before go to the library's model; every other
+    word goes through the library whole. A file built otherwise is used on whole texts only.
+
+    A slice of texts is cut into words and each different word looked up once. When there are more words than
+    `cache_words`, those met once since the last time are forgotten, and the least used ones beyond half of the room.
     """
 
-    #: The only structure that the word path is proved for: fixed value.
+    #: The only structure that the word path is proved for: fixed values.
+    _REPLACE = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
     _PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
-    def __init__(self, spec: str, cache_words: int = 150_000):
+    def __init__(self, spec: str, cache_words: int = 300_000):
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.library = Tokenizer.from_str(spec)
         self.cache_words = cache_words
-        self._clear()
         tree = json.loads(spec)
-        kinds = [x.get("type") for x in (tree.get("normalizer") or {}).get("normalizers", [])]
+        steps = (tree.get("normalizer") or {}).get("normalizers", [])
         split, *byte_level = (tree.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
         self.by_word = (
-            kinds == ["NFC", "Replace", "Lowercase"]
+            steps == [{"type": "NFC"}, self._REPLACE, {"type": "Lowercase"}]
             and (split.get("pattern") or {}).get("Regex") == self._PATTERN
             and split.get("behavior") == "Removed"
             and split.get("invert") is True
@@ -198,21 +220,22 @@ class WordEncoder:
         letters = "a-zß-öø-ıĳ-ňŊ-ſ"
         self._plain_words = re.compile(r"[ -~À-ÖØ-öø-įıĳ-ňŊ-ſ]+")
         self._pieces = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[0-9]|[^ 0-9{letters}]+| ")
-        # the byte-level alphabet: bytes that show stand for themselves, the others for 256, 257, ...
-        shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-        hidden = iter(range(256, 512))
-        self._mapped = np.array([b if b in shown else next(hidden) for b in range(256)], "<u4")
-        self._mapped[0x20] = 0x20  # separates the pieces
-        self.model = Tokenizer(self.library.model)
-        self.model.pre_tokenizer = CharDelimiterSplit(" ")
-        self._closes = np.zeros(self.library.get_vocab_size() + 1, bool)
-        self._closes[[i for token, i in self.library.get_vocab().items() if token.endswith("</w>")]] = True
-
-    def _clear(self) -> None:
-        self.words = _Words()
-        self.first, self.count = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.pieces = _Pieces(self.library.model)
+        self.words = _Words({b"": 0})
+        self.first, self.count, self.used = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64)
         self.ids = np.empty(0, np.uint32)
 
+    def _forget(self) -> None:
+        """Keep the words met twice or more, at most half as many as there is room for, by how often they were met."""
+        kept = np.argsort(-self.used, kind="stable")[: self.cache_words // 2]
+        kept = np.sort(kept[self.used[kept] > 1])
+        kept = np.concatenate([[0], kept[kept > 0]])
+        names, first, count, used, ids = list(self.words), self.first[kept], self.count[kept], self.used[kept], self.ids
+        self.words = _Words(zip([names[i] for i in kept.tolist()], range(len(kept))))
+        run = np.cumsum(count)
+        self.first, self.count, self.used = run - count, count, used // 2
+        self.ids = ids[np.repeat(first - run + count, count) + np.arange(run[-1])]
+
     def _whole(self, text: bytes) -> np.ndarray:
         return np.array(self.library.encode(text.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids, np.uint32)
 
@@ -230,42 +253,46 @@ class WordEncoder:
                 plain.append(bool(self._plain_words.fullmatch(t)) and not any(s in t for s in self.special))
                 if plain[-1]:
                     known.append(t)
-        pieces = self._pieces.findall(" ".join(known).lower())
-        marks = np.fromiter((p == " " for p in pieces), bool, len(pieces))
-        raw = " ".join(p for p in pieces if p != " ").encode()
-        sent = self._mapped[np.frombuffer(raw, np.uint8)].tobytes().decode("utf-32-le")
-        got = np.array(self.model.encode_batch_fast([sent], add_special_tokens=False)[0].ids if sent else [], np.uint32)
-        ends = np.flatnonzero(self._closes[got]) + 1
-        per_word = np.bincount(np.cumsum(marks)[~marks], minlength=sum(plain)) if len(pieces) else np.zeros(0, np.int64)
-        if len(ends) != per_word.sum() or len(per_word) != sum(plain):
-            plain = [False] * len(words)
-            ends, per_word, got = np.empty(0, np.int64), np.empty(0, np.int64), got[:0]
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(per_word)])]
+        if len(self.pieces) > 2 * self.cache_words:
+            self.pieces = _Pieces(self.library.model)
+        found = self._pieces.findall(" ".join([*known, ""]).lower())
+        got = np.frombuffer(b"".join(map(self.pieces.__getitem__, found)), "<u4")
+        gaps = np.flatnonzero(got == self.pieces.GAP)
+        bounds = np.concatenate([[0], gaps - np.arange(len(gaps))])
+        got = got[got != self.pieces.GAP]
+        if len(gaps) != sum(plain):
+            plain, got, bounds = [False] * len(words), got[:0], bounds[:1]
         if all(plain):
             return got, np.diff(bounds)
         known = iter(np.split(got, bounds[1:-1]) if len(bounds) > 1 else ())
         each = [next(known) if ok else self._whole(w) for w, ok in zip(words, plain)]
         return np.concatenate(each), np.array([len(x) for x in each], np.int64)
 
-    def encode_all(self, texts: list[bytes]) -> list[np.ndarray]:
-        """The ids of each text, unsigned 32-bit."""
+    def encode_all(self, texts: list[bytes] | pa.Array) -> list[np.ndarray]:
+        """The ids of each text, unsigned 32-bit; null is an empty text."""
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.binary()).cast(pa.string())
         if not self.by_word:
-            return [self._whole(t) for t in texts]
+            return [self._whole(t or b"") for t in column.cast(pa.binary()).to_pylist()]
         if len(self.words) > self.cache_words:
-            self._clear()
-        split = [t.split() for t in texts]
-        sizes = np.fromiter(map(len, split), np.int64, len(split))
-        numbers = np.fromiter(map(self.words.__getitem__, chain.from_iterable(split)), np.int64, sizes.sum())
+            self._forget()
+        split = pc.ascii_split_whitespace(column.fill_null(""))
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.cast(pa.binary()).to_pylist()
+        numbers = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
         if self.words.waiting:
             ids, count = self._learn(self.words.waiting)
             self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(count) - count])
             self.count = np.concatenate([self.count, count])
+            self.used = np.concatenate([self.used, np.zeros(len(count), np.int64)])
             self.ids = np.concatenate([self.ids, ids])
             self.words.waiting = []
+        numbers = numbers[coded.indices.to_numpy()]
+        self.used += np.bincount(numbers, minlength=len(self.used))
         count = self.count[numbers]
         run = np.cumsum(count)
         ids = self.ids[np.repeat(self.first[numbers] - run + count, count) + np.arange(run[-1] if len(run) else 0)]
-        return np.split(ids, np.concatenate([[0], run])[np.cumsum(sizes)][:-1]) if texts else []
+        ends = np.concatenate([[0], run])[split.offsets.to_numpy()[1:] - split.offsets[0].as_py()] if len(column) else run
+        return np.split(ids, ends[:-1]) if len(column) else []
 
 
 _ENCODERS: dict[int, WordEncoder] = {}
@@ -308,8 +335,7 @@ def write_token_files(
         for batch in batches:
             part = batch.column(2)[0].as_py() if batch.num_rows else part
             for piece in slices(batch, "text"):
-                texts = [t or b"" for t in piece.column(1).cast(pa.binary()).to_pylist()]
-                for doc, ids in zip(piece.column(0).to_pylist(), enc.encode_all(texts)):
+                for doc, ids in zip(piece.column(0).to_pylist(), enc.encode_all(piece.column(1))):
                     ids = np.concatenate([ids, tail])
                     held.append((doc, ids))
                     count += len(ids)
@@ -320,7 +346,8 @@ def write_token_files(
             yield out()
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ranges = source.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # rows that share an id, or have none, are split by how their text begins
+    ranges = source.repartitionByRange("doc_id", F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
     files = map_arrow(ranges.withColumn("part", F.spark_partition_id()), work, "part int, first long, n_ids long, file binary")
     return materialize(files)
 
