@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from plumbline.session import ship
 
@@ -41,6 +42,18 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_unique(rows: DataFrame, table: DataFrame, key: str, times: str, total: int) -> DataFrame:
+    """Inner join of rows with a table that has one row a key, whatever share of the rows a key has.
+
+    `times` is the table's column of how many of the `total` rows have the key. Keys of at least one row in 2^14 (so
+    2^14 keys at most) and 1,024 rows are joined by broadcast, where the rows stay; the others by shuffle.
+    """
+    hot = F.col(times) >= max(1024, total >> 14)
+    near = rows.join(F.broadcast(table.where(hot)), key)
+    far = rows.join(F.broadcast(table.where(hot).select(key)), key, "left_anti").join(table.where(~hot), key)
+    return near.unionByName(far)
+
+
 #: Bytes of an Arrow batch at most: texts come in small pieces.
 BATCH_BYTES = 4 << 20
 _UNITS = {"": 1, "b": 1, **{f"{u}{end}": 1 << 10 * k for k, u in enumerate("kmgtp", 1) for end in ("", "b")}}

@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm._common import SLICE_BYTES, _powers, map_arrow, materialize, mix64, slices, span_hashes, word_spans
+from plumbline.llm._common import SLICE_BYTES, _powers, join_unique, map_arrow, materialize, mix64, slices, span_hashes, word_spans
 
 SYMBOLS = 64
 END = 0x0A
@@ -518,15 +518,11 @@ def _savings(scored: DataFrame) -> DataFrame:
     pairs = follows.where(~F.col("out")).groupBy("before", "after").agg(F.count("*").alias("n"))
     best = pairs.groupBy("before").agg(F.sum("n").alias("m"), F.max(F.struct("n", "after")).alias("best"))
     table = materialize(best.select("before", "m", F.col("best.n").alias("n"), F.col("best.after").alias("next")))
-    # passages met so often that there are 2^14 of them at most are broadcast, the others are no hot keys
     passages = table.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
-    hot = F.col("m") >= max(1024, passages >> 14)
-    near = follows.join(F.broadcast(table.where(hot)), "before")
-    far = follows.join(F.broadcast(table.where(hot).select("before")), "before", "left_anti").join(table.where(~hot), "before")
     own = (~F.col("out")).cast("int")
     hit = F.col("after") == F.col("next")
     n, m = F.col("n") - own * hit.cast("int"), F.col("m") - own
-    met = near.unionByName(far).where(m > 0)
+    met = join_unique(follows, table, "before", "m", passages).where(m > 0)
     met = materialize(met.select("row", "out", "cost", hit.alias("hit"), n.cast("int").alias("n"), m.cast("int").alias("m")))
     state = F.least("n", F.lit(MOST)) * (MOST + 1) + F.least(F.col("m") - F.col("n"), F.lit(MOST))
     share = {(a, b): 2 * (a + 0.4) / (a + b + 0.8) for a in range(MOST + 1) for b in range(MOST + 1)}

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm._common import map_arrow, materialize, slices
+from plumbline.llm._common import join_unique, map_arrow, materialize, slices
 from plumbline.llm.components import components
 
 RADIUS = 3
@@ -208,17 +208,19 @@ def near_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 def _grouped(docs: DataFrame, id_col: str, text_col: str, radius: int) -> DataFrame:
     """(doc_id, k1, k2, fp, group_fp, component_id) for each row; group_fp is the group's least fingerprint."""
     fps = materialize(fingerprints(docs, id_col, text_col))
-    least = fps.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
+    least = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("rows")))
     comps = materialize(components(near_links(fps, radius)))
     rooted = least.join(comps, least.fp == comps.node).select("fp", "root", "least_id")
     grouped = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     linked = rooted.join(grouped, "root").select(F.col("fp").alias("linked_fp"), "root", "component_id")
     classes = least.join(linked, F.col("fp") == F.col("linked_fp"), "left").select(
-        F.col("fp").alias("class_fp"),
+        "fp",
+        "rows",
         F.coalesce("root", "fp").alias("group_fp"),
         F.when(F.col("root").isNull(), F.col("least_id")).otherwise(F.col("component_id")).alias("component_id"),
     )
-    return fps.join(classes, F.col("fp") == F.col("class_fp")).drop("class_fp")
+    total = least.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    return join_unique(fps, materialize(classes), "fp", "rows", total).select("doc_id", "k1", "k2", "fp", "group_fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -235,7 +237,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """One row of each group, with all columns of docs: the one with the least id (null last), then the least key.
 
-    The choice is made on ids and hashes; the documents themselves are shuffled once.
+    Null and word-less texts are one group. Of repeated rows one stays. An empty table gives an empty table. The choice is made on ids and hashes; the documents themselves are shuffled once.
     """
     choice = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
     keep = _grouped(docs, id_col, text_col, radius).groupBy("group_fp").agg(F.min(choice).alias("kept")).select("kept.k1", "kept.k2")
