@@ -26,7 +26,8 @@ def to_many(v, kind: str) -> Column:
 
 
 def to_variant(x) -> Column:
-    return F.to_variant_object(col(x))
+    """Of any value: Spark turns lists and structs alone into a variant, so it goes in a struct and is taken out again."""
+    return F.variant_get(F.to_variant_object(F.struct(col(x).alias("v"))), "$.v", "variant")
 
 
 def to_json(v) -> Column:

@@ -6,6 +6,7 @@ of a row (`lambda r: r.price > 3`), where `r.name` is the column.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -170,7 +171,7 @@ class Rel:
         static = [c for c in self.df.columns if c not in on and c not in using]
         df = self.df.withColumn("__key", key).where(F.col("__key").isNotNull())
         if values is None:
-            values = [r[0] for r in df.select("__key").distinct().orderBy("__key").limit(10_000).collect()]
+            values = [r[0] for r in df.select("__key").distinct().orderBy("__key").collect()]  # a column each
         else:
             values = [SEPARATOR.join(map(str, v)) if isinstance(v, tuple) else str(v) for v in values]
             df = df.where(F.col("__key").isin(list(values)))
@@ -203,9 +204,9 @@ class Rel:
         return Rel(self.df.join(other.df, list(keys), kind.lower()))
 
     def cross(self, other: Rel, prefix: str | None = None) -> Rel:
-        """Every pair; the right side must be small enough to broadcast, which Spark checks as it runs."""
+        """Every pair; Spark broadcasts a side that it has sized as small and deals out both otherwise."""
         left, right = self._sides(other, prefix)
-        return Rel(left.crossJoin(F.broadcast(right)))
+        return Rel(left.crossJoin(right))
 
     def semi(self, other: Rel, condition: Callable[[Row, Row], Column]) -> Rel:
         """Rows for which the other side has a match (exists, isNotEmpty)."""
@@ -242,7 +243,8 @@ class Rel:
         r_rows = r_rows.where(F.col("__t").isNotNull())
         rows = l_rows.unionByName(r_rows, allowMissingColumns=True)
         time = F.col("__t").asc_nulls_first() if backward else F.col("__t").desc_nulls_first()
-        tie = F.to_json("__r")  # among right rows of one time, a fixed one
+        sortable = not re.search(r"\b(?:map<|variant)", dict(rows.dtypes)["__r"])
+        tie = F.col("__r") if sortable else F.to_json("__r")  # among right rows of one time, a fixed one
         parts: list = [*names]
         if slots is not None:
             number = F.col("__t").cast("timestamp").cast("double") if "timestamp" in dict(rows.dtypes)["__t"] else F.col("__t").cast("double")
@@ -283,13 +285,17 @@ class Rel:
             return self.df.sparkSession.read.format(format).load(path).count()
         return self.df.count()
 
-    def to_csv(self, limit: int = 1000) -> str:
-        rows = self.df.limit(limit).collect()
+    def _shown(self, limit: int | None):
+        return (self.df if limit is None else self.df.limit(limit)).toLocalIterator()
+
+    def to_csv(self, limit: int | None = None) -> str:
+        """All rows as one text on the driver, or as many as the caller asks for; `write` is for large relations."""
+        rows = self._shown(limit)
         show = lambda v: "" if v is None else str(v)
         return "\n".join([",".join(self.df.columns), *(",".join(map(show, r)) for r in rows)]) + "\n"
 
-    def to_text(self, limit: int = 1000) -> str:
-        rows = self.df.limit(limit).collect()
+    def to_text(self, limit: int | None = None) -> str:
+        rows = self._shown(limit)
         show = lambda v: "null" if v is None else str(v)
         return "\n".join(["#TDS", "   " + ",".join(self.df.columns), *("   " + ",".join(map(show, r)) for r in rows), "#"])
 

@@ -2,7 +2,7 @@
 
 Text is parsed to nested tuples and these are evaluated straight to DataFrame plans. What is covered: table accessors,
 class extents (`Person.all()`), the relation functions, window and aggregate columns, every scalar and list function by
-its name, lambdas, `if`, enumerations, dates. Errors carry the place in the text.
+its name, lambdas, `let`, `if`, enumerations, dates, graph fetch trees. Errors carry the place in the text.
 """
 
 from __future__ import annotations
@@ -19,12 +19,13 @@ from plumbline.functions.dates import DateLiteral
 from plumbline.functions.nulls import col
 from plumbline.operators import aggs, windows
 from plumbline.operators.relation import Rel, Row
+from plumbline.plans import graph
 from plumbline.plans.model import Extent, Model
 
 _TOKEN = re.compile(
-    r"""\s*(?:(?P<table>\#>\{[^}]*\}\#)|(?P<latest>%latest)|(?P<date>%\d{4}(?:-\d\d){0,2}(?:T[\d:.]+(?:[+-]\d{4})?)?)|(?P<number>\d+(?:\.\d+)?(?:[eE][-+]?\d+)?[dD]?)
-    |(?P<string>'(?:[^'\\]|\\.)*')|(?P<name>[A-Za-z_][A-Za-z_0-9]*(?:::[A-Za-z_][A-Za-z_0-9]*)*)|(?P<op>->|==|!=|<=|>=|&&|\|\||[-+*/<>!$~.,:|(){}\[\]]))""",
-    re.X,
+    r"""\s*(?:(?P<table>\#>\{[^}]*\}\#)|(?P<tree>\#\{.*?\}\#)|(?P<latest>%latest)|(?P<date>%\d{4}(?:-\d\d){0,2}(?:T[\d:.]+(?:[+-]\d{4})?)?)|(?P<number>\d+(?:\.\d+)?(?:[eE][-+]?\d+)?[dD]?)
+    |(?P<string>'(?:[^'\\]|\\.)*')|(?P<name>[A-Za-z_][A-Za-z_0-9]*(?:::[A-Za-z_][A-Za-z_0-9]*)*)|(?P<op>->|==|!=|<=|>=|&&|\|\||[-+*/<>!$~.,:;=|(){}\[\]]))""",
+    re.X | re.S,
 )
 _LEVELS = (("||",), ("&&",), ("==", "!="), ("<", "<=", ">", ">="), ("+", "-"), ("*", "/"))
 
@@ -52,11 +53,29 @@ class Parser:
         return text
 
     def parse(self) -> tuple:
-        out = self.expression()
+        out = self.statements()
         if self.peek()[0] != "end":
             raise SyntaxError(f"unexpected {self.peek()[1]!r} at {self.peek()[2]}")
         return out
 
+    def statements(self) -> tuple:
+        """`let a = 1; $a + 1`: the last one is the value."""
+        out = [self.statement()]
+        while self.peek()[1] == ";":
+            self.take()
+            if self.peek()[0] == "end" or self.peek()[1] in ("}", ")"):
+                break
+            out.append(self.statement())
+        return out[0] if len(out) == 1 else ("block", out)
+
+    def statement(self) -> tuple:
+        if self.peek()[1] != "let" or self.peek(1)[0] != "name":
+            return self.expression()
+        self.take()
+        name = self.take()
+        self.take("=")
+        return ("let", name, self.expression())
+
     def expression(self, level: int = 0) -> tuple:
         if level == len(_LEVELS):
             return self.unary()
@@ -98,7 +117,7 @@ class Parser:
             if self.peek()[1] == ",":
                 self.take()
         self.take("|")
-        return ("lambda", names, self.expression())
+        return ("lambda", names, self.statements())
 
     def primary(self) -> tuple:
         kind, text, where = self.peek()
@@ -107,6 +126,8 @@ class Parser:
         self.at += 1
         if kind == "table":
             return ("table", text[3:-2].strip().rpartition(".")[2])
+        if kind == "tree":
+            return ("tree", *_tree(text[2:-2], where))
         if kind == "number":
             return ("value", float(text.rstrip("dD")) if re.search(r"[.eEdD]", text) else int(text))
         if kind == "string":
@@ -154,11 +175,54 @@ class Parser:
         return (name, *parts)
 
 
+def _tree(text: str, where: int) -> tuple[str, dict[str, Any]]:
+    """Class and properties of `Person{name, firm{legalName}}`; a property without a tree maps to None."""
+    words = re.findall(r"[\w:$]+|[{},]", text)
+    if re.sub(r"\s", "", text) != "".join(words) or len(words) < 3:
+        raise SyntaxError(f"can't read the tree {text!r} at {where}")
+    at = 1
+
+    def level() -> dict[str, Any]:
+        nonlocal at
+        out: dict[str, Any] = {}
+        at += 1
+        while at < len(words) and words[at] != "}":
+            name = words[at]
+            at += 1
+            out[name] = level() if at < len(words) and words[at] == "{" else None
+            at += at < len(words) and words[at] == ","
+        if at >= len(words):
+            raise SyntaxError(f"the tree {text!r} at {where} isn't closed")
+        at += 1
+        return out
+
+    return words[0], level()
+
+
 class _Group:
-    """The values of a group inside a reducing lambda."""
+    """The values of a group inside a reducing lambda; name: the column, where it is one as it is."""
+
+    def __init__(self, column: Column | None, whole_row: bool = False, name: str | None = None):
+        self.column, self.whole_row, self.distinct, self.key, self.name = column, whole_row, False, None, name
+
+
+class _Outer(Row):
+    """The row around a lateral query."""
+
+    def __init__(self, outer):
+        object.__setattr__(self, "_outer", outer)
+
+    def __getattr__(self, name: str) -> Column:
+        return self._outer(name)
 
-    def __init__(self, column: Column | None, whole_row: bool = False):
-        self.column, self.whole_row, self.distinct, self.key = column, whole_row, False, None
+    __getitem__ = __getattr__
+
+
+class _Fetched:
+    """The frame of a graph fetch."""
+
+    def __init__(self, df):
+        self.df = df
 
 
 class _Partition:
@@ -206,7 +270,7 @@ class Engine:
         out = self.value(Parser(text).parse(), {})
         if isinstance(out, Rel):
             return out.df
-        if isinstance(out, Extent):
+        if isinstance(out, (Extent, _Fetched)):
             return out.df
         return self.model.database.spark.range(1).select(self.column(out).alias("value"))
 
@@ -224,6 +288,20 @@ class Engine:
     def value(self, e: tuple, env: dict[str, Any]) -> Any:
         return getattr(self, f"_{e[0]}")(e, env)
 
+    def _block(self, e, env):
+        env = dict(env)
+        for part in e[1]:
+            out = self.value(part, env)
+            if part[0] == "let":
+                env[part[1]] = out
+        return out
+
+    def _let(self, e, env):
+        return self.value(e[2], env)
+
+    def _tree(self, e, env):
+        return e
+
     def _value(self, e, env):
         return e[1]
 
@@ -307,6 +385,10 @@ class Engine:
             return nulls.if_(self.column(condition), self.column(then), self.column(other))
         owner = self.value(args[0], env) if args else None
         rest = args[1:]
+        if isinstance(owner, tuple) and owner and owner[0] == "lambda" and name == "eval":
+            return self.apply(owner, *(self.value(a, env) for a in rest), env=env)
+        if isinstance(owner, _Fetched) and name in ("serialize", "graphFetch", "graphFetchChecked"):
+            return Rel(graph.serialize(owner.df)) if name == "serialize" else owner
         if isinstance(owner, Rel):
             return self.relation(owner, name, rest, env)
         if isinstance(owner, Extent):
@@ -365,7 +447,12 @@ class Engine:
         if name in ("count", "size"):
             return aggs.count_distinct(g.column) if g.distinct else aggs.count(None if g.whole_row else g.column)
         if name == "percentile":
-            raise NotImplementedError("percentile needs the Python form: aggs.percentile")
+            p, ascending, continuous = (*args, True, True)[:3] if len(args) < 3 else args[:3]
+            if continuous:
+                return F.percentile(g.column, F.lit(p if ascending else 1 - p))
+            if g.name is None:
+                raise NameError("a discrete percentile is of a column as it is")
+            return aggs.percentile(g.name, p, ascending, False)
         for spelled in (python_name(name), python_name(name) + "_"):
             if hasattr(aggs, spelled):
                 return getattr(aggs, spelled)(g.column, *args)
@@ -384,7 +471,9 @@ class Engine:
         """name: map : reduce"""
         mapped = self.apply(spec[1], row)
         whole = isinstance(mapped, (Row, _Start))
-        return self.column(self.apply(spec[2], _Group(None if whole else self.column(mapped), whole)))
+        body = spec[1][2]
+        name = body[2] if body[0] == "get" and body[1] == ("var", spec[1][1][0]) and isinstance(row, Row) else None
+        return self.column(self.apply(spec[2], _Group(None if whole else self.column(mapped), whole, name)))
 
     def _names(self, e: tuple, env) -> list[str]:
         v = self.value(e, env)
@@ -412,6 +501,10 @@ class Engine:
             keys = [value(i) for i in range(len(rest))]
             flat = [k for v in keys for x in (v if isinstance(v, list) else [v]) for k in (x if isinstance(x, list) else [x])]
             return r.sort(*(k if isinstance(k[0], str) and k[0] != "columns" else k[1][0][0] for k in flat))
+        if name in ("sortBy", "sortByReversed"):
+            return getattr(r, python_name(name))(one(value(0)))
+        if name == "lateral":
+            return r.lateral(lambda outer: self.apply(value(0), _Outer(outer), env=env).df)
         if name == "concatenate":
             return r.concatenate(value(0))
         if name == "extend":
@@ -496,6 +589,23 @@ class Engine:
             return Rel(start.extent.df.groupBy(*keys).agg(*made))
         if name in ("limit", "take"):
             return x.limit(value(0))
+        if name in ("drop", "slice"):
+            rows = Rel(x.df)
+            return x._with(getattr(rows, name)(*(value(i) for i in range(len(rest)))).df)
+        if name in ("first", "head"):
+            return x.limit(1)
+        if name in ("size", "count"):
+            return Rel(x.df).size()
+        if name in ("sortBy", "sortByReversed"):
+            start = _Start(x)
+            key = self.column(self.apply(value(0), start, env=env))
+            # a later sort comes first, and keeps the order of the one before
+            keys = [key.desc_nulls_first() if name == "sortByReversed" else key.asc_nulls_last(), *getattr(x, "order", ())]
+            out = start.extent._with(start.extent.df.orderBy(*keys))
+            out.order = keys
+            return out
+        if name in ("graphFetch", "graphFetchChecked"):
+            return _Fetched(getattr(graph, python_name(name))(x, value(0)[2]))
         if name == "subType":
             return x.sub_type(value(0))
         raise NameError(f"no function {name!r} of a class")

@@ -51,7 +51,11 @@ class Temporal:
         return (start < d) & (end >= d) if self.thru_inclusive else (start <= d) & (end > d)
 
     def within(self, first: Date, last: Date) -> Column:
-        return (F.col(f"`{self.start}`") <= _date(last)) & (F.col(f"`{self.end}`") > _date(first))
+        """Versions that hold at some time from first to last, both included."""
+        if self.snapshot:
+            return F.col(f"`{self.snapshot}`").between(_date(first).cast("date"), _date(last).cast("date"))
+        start, end = F.col(f"`{self.start}`"), F.col(f"`{self.end}`")
+        return (start < _date(last)) & (end >= _date(first)) if self.thru_inclusive else (start <= _date(last)) & (end > _date(first))
 
 
 def _date(d: Date) -> Column:
@@ -137,14 +141,17 @@ class Model:
 
     # extents
 
-    def _frame(self, name: str, when: Callable[[Mapping], list[Column]]) -> DataFrame:
-        frames = []
+    def _frame(self, name: str, when: Callable[[Mapping], list[Column]], each: DataFrame | None = None) -> DataFrame:
+        """each: a frame of a few dates, `$date`; every row then stands beside those for which its conditions hold."""
+        frames, more = [], [] if each is None else ["$date"]
         for m in self.mappings.get(name, []):
             if isinstance(m.source, tuple):
-                rel = Rel(self._frame(m.source[1], when))
+                rel = Rel(self._frame(m.source[1], when, each))
             else:
                 rel = self.database.table(m.source) if isinstance(m.source, str) else m.source(self.database)
             df = rel.df
+            if each is not None and "$date" not in df.columns:
+                df = df.crossJoin(F.broadcast(each))  # the caller's list of dates
             for condition in when(m):
                 df = df.where(condition)
             if m.filter:
@@ -154,13 +161,13 @@ class Model:
             for n, codes in m.enums.items():
                 columns[n] = decode(columns[n], codes)
             if m.group_by:
-                df = df.groupBy(*m.group_by).agg(*(c.alias(n) for n, c in columns.items() if n not in m.group_by))
+                df = df.groupBy(*m.group_by, *more).agg(*(c.alias(n) for n, c in columns.items() if n not in m.group_by))
                 columns = {n: F.col(f"`{n}`") for n in columns}
-            df = df.select(*(c.alias(n) for n, c in columns.items()), *([F.lit(m.sub_class).alias("$class")] if m.sub_class else []))
+            df = df.select(*(c.alias(n) for n, c in columns.items()), *([F.lit(m.sub_class).alias("$class")] if m.sub_class else []), *more)
             frames.append(df.distinct() if m.distinct else df)
         if not self.mappings.get(name):
             for sub in self.sub_classes(name):
-                df = self._frame(sub, when)
+                df = self._frame(sub, when, each)
                 frames.append(df if "$class" in df.columns else df.withColumn("$class", F.lit(sub)))
         if not frames:
             raise KeyError(f"{name} is not mapped")
@@ -168,6 +175,9 @@ class Model:
 
     def all(self, name: str, *dates: Date) -> Extent:
         """The extent, at a date for temporal classes: (business) or (processing) or (processing, business)."""
+        return Extent(self, name, self._frame(name, self._when(name, dates)), dates)
+
+    def _when(self, name: str, dates: tuple[Date, ...]) -> Callable[[Mapping], list[Column]]:
         kind = self.classes[name].temporal if name in self.classes else ""
         if kind == "bitemporal" and len(dates) == 1:
             raise ValueError("a bitemporal class takes a processing and a business date")
@@ -182,7 +192,7 @@ class Model:
                 out.append(m.processing.at(processing))
             return out
 
-        return Extent(self, name, self._frame(name, when), dates)
+        return when
 
     def all_versions(self, name: str) -> Extent:
         return Extent(self, name, self._frame(name, lambda m: []), ())
@@ -191,9 +201,9 @@ class Model:
         return Extent(self, name, self._frame(name, lambda m: [t.within(first, last) for t in (m.business or m.processing,) if t]), ())
 
     def all_for_each_date(self, name: str, dates: Sequence[Date]) -> DataFrame:
-        """The extents at each of a list of dates, with the date as column `$date`."""
-        frames = [self.all(name, d).df.withColumn("$date", _date(d)) for d in dates]
-        return reduce(lambda a, b: a.unionByName(b), frames)
+        """The extents at each of a list of dates, with the date as column `$date`: one scan, whatever their number."""
+        each = self.database.spark.range(1).select(F.explode(F.array_distinct(F.array(*map(_date, dates)))).alias("$date"))
+        return self._frame(name, self._when(name, (F.col("`$date`"),)), each)
 
     def violations(self, name: str, *dates: Date) -> DataFrame:
         """Rows that break a constraint, with the names of those broken."""

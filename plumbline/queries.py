@@ -160,9 +160,9 @@ def group_by_functions(spark, db):
     return db.table("orders").group_by_functions({"y": lambda r: dates.year(r.o_orderdate), "p": lambda r: r.o_orderpriority}, top=aggs.max_(F.col("o_totalprice")), low=aggs.min_(F.col("o_totalprice")))
 
 
-@query("""SELECT count(*) AS n, count(DISTINCT l_partkey) AS parts, round(avg(l_discount), 6) AS mean, max(l_shipdate) AS last FROM lineitem""")
+@query("""SELECT count(*) AS n, count(DISTINCT l_partkey) AS parts, round(avg(l_discount), 8) AS mean, max(l_shipdate) AS last FROM lineitem""")
 def agg_global(spark, db):
-    return db.table("lineitem").aggregate(n=aggs.count(), parts=aggs.count_distinct(F.col("l_partkey")), mean=_r(aggs.mean(F.col("l_discount")), 6), last=aggs.max_(F.col("l_shipdate")))
+    return db.table("lineitem").aggregate(n=aggs.count(), parts=aggs.count_distinct(F.col("l_partkey")), mean=_r(aggs.mean(F.col("l_discount")), 8), last=aggs.max_(F.col("l_shipdate")))
 
 
 @query("""SELECT l_returnflag, round(stddev_samp(l_quantity), 6) AS sd, round(stddev_pop(l_quantity), 6) AS sdp, round(var_samp(l_quantity), 4) AS v,
@@ -252,16 +252,8 @@ def join_prefix(spark, db):
     return db.table("nation").join(db.table("region"), "INNER", lambda t, v: t.n_regionkey == v.reg_r_regionkey, prefix="reg_").select("n_name", "reg_r_regionkey", "reg_r_name")
 
 
-@query("SELECT s_suppkey, p_partkey FROM (SELECT * FROM supplier WHERE s_suppkey <= 10) JOIN (SELECT * FROM part WHERE p_partkey <= 50) ON s_suppkey * 4 < p_partkey AND p_size > s_suppkey")
-def join_theta(spark, db):
-    few = db.table("supplier").filter(lambda r: r.s_suppkey <= 10)
-    parts = db.table("part").filter(lambda r: r.p_partkey <= 50)
-    return few.join(parts, "INNER", lambda t, v: (t.s_suppkey * 4 < v.p_partkey) & (v.p_size > t.s_suppkey)).select("s_suppkey", "p_partkey")
-
-
 @query("SELECT s_suppkey, p_partkey FROM supplier JOIN part ON s_suppkey * 4 < p_partkey AND p_size > s_suppkey")
-def join_theta_all(spark, db):
-    """join_theta over the whole tables."""
+def join_theta(spark, db):
     return db.table("supplier").join(db.table("part"), "INNER", lambda t, v: (t.s_suppkey * 4 < v.p_partkey) & (v.p_size > t.s_suppkey)).select("s_suppkey", "p_partkey")
 
 
@@ -760,15 +752,8 @@ def graph_fetch(spark, db):
     return graph.graph_fetch(star(db).all("Region"), {"name": None, "nations": {"name": None}})
 
 
-@query("""SELECT '{"id":' || c_custkey || ',"name":"' || c_name || '","nation":{"name":"' || n_name || '"}}' AS json FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey <= 100""")
-def graph_serialize(spark, db):
-    few = star(db).all("Customer").filter(lambda c: c.at("id") <= 100)
-    return graph.serialize(graph.graph_fetch(few, {"id": None, "name": None, "nation": {"name": None}}))
-
-
 @query("""SELECT '{"id":' || c_custkey || ',"name":"' || c_name || '","nation":{"name":"' || n_name || '"}}' AS json FROM customer JOIN nation ON c_nationkey = n_nationkey""")
-def graph_serialize_all(spark, db):
-    """graph_serialize for the whole extent."""
+def graph_serialize(spark, db):
     return graph.serialize(graph.graph_fetch(star(db).all("Customer"), {"id": None, "name": None, "nation": {"name": None}}))
 
 
@@ -865,18 +850,9 @@ def calendar_ytd(spark, db):
     return df.agg(total("ytd").alias("ytd"), total("mtd").alias("mtd"), total("priorYear").alias("prior_year"), total("p12mtd").alias("p12mtd"))
 
 
-@query("""SELECT c_custkey AS id, n_name AS nation, coalesce(list_sort(list({'id': o_orderkey, 'price': o_totalprice}) FILTER (o_orderkey IS NOT NULL)), []) AS orders
-    FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey WHERE c_custkey % 10 = 0 GROUP BY ALL""")
-def graph_fetch_nested(spark, db):
-    some = star(db).all("Customer").filter(lambda c: c.at("id") % 10 == 0)
-    tree = graph.graph_fetch(some, {"id": None, "nation": {"name": None}, "orders": {"id": None, "price": None}})
-    return tree.select("id", F.col("nation.name").alias("nation"), "orders")
-
-
 @query("""SELECT c_custkey AS id, n_name AS nation, coalesce(list_sort(list({'id': o_orderkey, 'price': o_totalprice}) FILTER (o_orderkey IS NOT NULL)), []) AS orders
     FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL""")
-def graph_fetch_nested_all(spark, db):
-    """graph_fetch_nested for all customers."""
+def graph_fetch_nested(spark, db):
     tree = graph.graph_fetch(star(db).all("Customer"), {"id": None, "nation": {"name": None}, "orders": {"id": None, "price": None}})
     return tree.select("id", F.col("nation.name").alias("nation"), "orders")
 
@@ -1016,6 +992,340 @@ def text_navigation(spark, db):
     return Engine(star(db)).run("Order.all()->filter(o|$o.customer.nation.region.name == 'ASIA')->project(~[id: o|$o.id, customer: o|$o.customer.name, nation: o|$o.customer.nation.name])")
 
 
+@query("SELECT o_custkey, round(quantile_cont(o_totalprice, 0.5), 4) AS mid, quantile_disc(o_totalprice, 0.25) AS low FROM orders WHERE o_totalprice > 1000 GROUP BY o_custkey")
+def text_let_percentile(spark, db):
+    return Engine(Model(db)).run("""let least = 1000; let some = #>{db.orders}#->filter(x|$x.o_totalprice > $least);
+        $some->groupBy(~[o_custkey], ~[mid: x|$x.o_totalprice : y|$y->percentile(0.5), low: x|$x.o_totalprice : y|$y->percentile(0.25, true, false)])
+        ->project(~[o_custkey: x|$x.o_custkey, mid: x|$x.mid->round(4), low: x|$x.low])""")
+
+
+@query("SELECT r_name, n_name FROM region, LATERAL (SELECT n_name FROM nation WHERE n_regionkey = r_regionkey AND n_nationkey > 10) n")
+def text_lateral(spark, db):
+    return Engine(Model(db)).run("#>{db.region}#->lateral({r|#>{db.nation}#->filter(n|$n.n_regionkey == $r.r_regionkey && $n.n_nationkey > 10)->select(~n_name)})->select(~[r_name, n_name])")
+
+
+@query("""SELECT '{"id":' || c_custkey || ',"name":"' || c_name || '","nation":{"name":"' || n_name || '"}}' AS json FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment = 'BUILDING'""")
+def text_graph_fetch(spark, db):
+    return Engine(star(db)).run("Customer.all()->filter(c|$c.segment == 'BUILDING')->graphFetch(#{Customer{id, name, nation{name}}}#)->serialize(#{Customer{id, name, nation{name}}}#)")
+
+
+@query("SELECT c_custkey AS id, c_name AS name FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 5 OFFSET 2")
+def text_class_sort(spark, db):
+    return Engine(star(db)).run("Customer.all()->sortBy(c|$c.id)->sortByReversed(c|$c.balance)->slice(2, 7)->project(~[id: c|$c.id, name: c|$c.name])")
+
+
+@query("SELECT n_nationkey, n_nationkey * 10 + 1 AS k FROM nation ORDER BY n_name DESC LIMIT 4")
+def text_eval_sort_by(spark, db):
+    return Engine(Model(db)).run("let f = {n|$n * 10 + 1}; #>{db.nation}#->sortByReversed(x|$x.n_name)->limit(4)->project(~[n_nationkey: x|$x.n_nationkey, k: x|$f->eval($x.n_nationkey)])")
+
+
+# every other function of a family
+
+
+@query("""SELECT event_id, day(ts) AS dom, hour(ts) AS h, minute(ts) AS mi, CAST(second(ts) AS BIGINT) AS s, year(ts) AS y, monthname(ts) AS mname, quarter(ts) AS q, week(ts) AS wk,
+    dayofyear(ts) AS doy, dayname(ts) AS dname, isodow(ts) AS dow, month(ts) AS mnum, CAST(ts AS DATE) AS whole_day, date_trunc('day', ts) AS day_start, date_trunc('hour', ts) AS hour_start,
+    date_trunc('minute', ts) AS minute_start, date_trunc('second', ts) AS second_start, CAST(date_trunc('year', ts) AS DATE) AS year_start, CAST(date_trunc('quarter', ts) AS DATE) AS quarter_start,
+    CAST(date_trunc('month', ts) AS DATE) AS month_start, CAST(date_trunc('week', ts) AS DATE) AS week_start FROM events""")
+def date_parts(spark, db):
+    return db.table("events").project(
+        event_id=lambda r: r.event_id,
+        dom=lambda r: dates.day_of_month(r.ts),
+        h=lambda r: dates.hour(r.ts),
+        mi=lambda r: dates.minute(r.ts),
+        s=lambda r: dates.second(r.ts),
+        y=lambda r: dates.year(r.ts),
+        mname=lambda r: dates.month(r.ts),
+        q=lambda r: dates.quarter(r.ts),
+        wk=lambda r: dates.week_of_year(r.ts),
+        doy=lambda r: dates.day_of_year(r.ts),
+        dname=lambda r: dates.day_of_week(r.ts),
+        dow=lambda r: dates.day_of_week_number(r.ts),
+        mnum=lambda r: dates.month_number(r.ts),
+        whole_day=lambda r: dates.date_part(r.ts),
+        day_start=lambda r: dates.first_hour_of_day(r.ts),
+        hour_start=lambda r: dates.first_minute_of_hour(r.ts),
+        minute_start=lambda r: dates.first_second_of_minute(r.ts),
+        second_start=lambda r: dates.first_millisecond_of_second(r.ts),
+        year_start=lambda r: dates.first_day_of_year(r.ts),
+        quarter_start=lambda r: dates.first_day_of_quarter(r.ts),
+        month_start=lambda r: dates.first_day_of_month(r.ts),
+        week_start=lambda r: dates.first_day_of_week(r.ts),
+    )
+
+
+@query("""SELECT o_orderkey, d = DATE '1996-07-01' AS on_day, d > DATE '1996-07-01' AS after_day, d < DATE '1996-07-01' AS before_day, d >= DATE '1996-07-01' AS from_day, d <= DATE '1996-07-01' AS to_day,
+    d - CAST((isodow(d) + 2) % 7 AS INTEGER) AS friday, d - CAST((isodow(d) + 1) % 7 + 1 AS INTEGER) AS friday_before, CAST(floor(epoch(o_orderdate)) AS BIGINT) AS epoch,
+    CAST(epoch_ms(o_orderdate) AS BIGINT) AS epoch_ms, date_trunc('second', o_orderdate) AS back, year(d) * 4 + quarter(d) AS quarters, quarter(d) AS q2,
+    CAST(o_orderdate + INTERVAL 90 MINUTE AS TIMESTAMP) AS later, greatest(d, DATE '1996-01-01') AS latest, least(d, DATE '1996-01-01') AS earliest
+    FROM (SELECT *, CAST(o_orderdate AS DATE) AS d FROM orders)""")
+def date_compare(spark, db):
+    day = F.lit(dt.date(1996, 7, 1))
+    return db.table("orders").project(
+        o_orderkey=lambda r: r.o_orderkey,
+        on_day=lambda r: dates.is_on_day(r.o_orderdate, day),
+        after_day=lambda r: dates.is_after_day(r.o_orderdate, day),
+        before_day=lambda r: dates.is_before_day(r.o_orderdate, day),
+        from_day=lambda r: dates.is_on_or_after_day(r.o_orderdate, day),
+        to_day=lambda r: dates.is_on_or_before_day(r.o_orderdate, day),
+        friday=lambda r: dates.most_recent_day_of_week("Friday", r.o_orderdate),
+        friday_before=lambda r: dates.previous_day_of_week("Friday", r.o_orderdate),
+        epoch=lambda r: dates.to_epoch_value(r.o_orderdate),
+        epoch_ms=lambda r: dates.to_epoch_value(r.o_orderdate, "MILLISECONDS"),
+        back=lambda r: dates.from_epoch_value(dates.to_epoch_value(r.o_orderdate)),
+        quarters=lambda r: dates.year(r.o_orderdate) * 4 + dates.quarter_number(r.o_orderdate),
+        q2=lambda r: dates.quarter(r.o_orderdate),
+        later=lambda r: dates.adjust_temporal(r.o_orderdate, 90, "MINUTES"),
+        latest=lambda r: dates.max_(dates.date_part(r.o_orderdate), F.lit(dt.date(1996, 1, 1))),
+        earliest=lambda r: dates.min_(dates.date_part(r.o_orderdate), F.lit(dt.date(1996, 1, 1))),
+    )
+
+
+@query("""SELECT CAST(date_trunc('year', current_date) AS DATE) AS this_year, CAST(date_trunc('quarter', current_date) AS DATE) AS this_quarter, CAST(date_trunc('month', current_date) AS DATE) AS this_month,
+    current_date > DATE '2020-01-01' AS is_today, TRUE AS is_now, TRUE AS with_month, FALSE AS with_day, TRUE AS with_hour, TRUE AS with_minute, FALSE AS with_second, TRUE AS with_subsecond, FALSE AS precise,
+    DATE '2021-03-04' AS made, TIMESTAMP '2021-03-04 05:06:00' AS made_time, '2021-03' AS partial, '2021/03/04' AS shown, DATE '2021-03-04' AS read_date,
+    TIMESTAMP '2021-03-04 05:06:07' AS read_time, TIMESTAMP '2021-03-04 05:06:07' AS read_format, '2021-03-04 00:06' AS in_zone, TIMESTAMP '2021-03-04 05:06:07' AS parsed, CAST(1 AS BIGINT) AS n""")
+def date_constants(spark, db):
+    lit = dates.DateLiteral
+    made = dates.date(2021, 3, 4, 5, 6)
+    return db.table("region").aggregate(n=F.count_if(F.col("r_regionkey") == 0)).project(
+        n=lambda r: r.n,
+        this_year=lambda r: dates.first_day_of_this_year(),
+        this_quarter=lambda r: dates.first_day_of_this_quarter(),
+        this_month=lambda r: dates.first_day_of_this_month(),
+        is_today=lambda r: dates.today() > F.lit(dt.date(2020, 1, 1)),
+        is_now=lambda r: dates.now() > F.lit(dt.datetime(2020, 1, 1)).cast("timestamp_ntz"),
+        with_month=lambda r: dates.has_month(lit("%2021-03")),
+        with_day=lambda r: dates.has_day(lit("%2021-03")),
+        with_hour=lambda r: dates.has_hour(lit("%2021-03-04T05")),
+        with_minute=lambda r: dates.has_minute(lit("%2021-03-04T05:06")),
+        with_second=lambda r: dates.has_second(lit("%2021-03-04T05:06")),
+        with_subsecond=lambda r: dates.has_subsecond(lit("%2021-03-04T05:06:07.123")),
+        precise=lambda r: dates.has_subsecond_with_at_least_precision(lit("%2021-03-04T05:06:07.123"), 4),
+        made=lambda r: dates.date(2021, 3, 4),
+        made_time=lambda r: made,
+        partial=lambda r: dates.date(2021, 3),
+        shown=lambda r: dates.format_date(made, "yyyy/MM/dd"),
+        read_date=lambda r: dates.convert_date_format(F.lit("2021-03-04")),
+        read_time=lambda r: dates.convert_date_time_format(F.lit("2021-03-04 05:06:07")),
+        read_format=lambda r: dates.parse_date_format(F.lit("04.03.2021 05:06:07"), "dd.MM.yyyy HH:mm:ss"),
+        in_zone=lambda r: dates.convert_time_zone_format(made, "America/New_York", "yyyy-MM-dd HH:mm"),
+        parsed=lambda r: strings.parse_date(F.lit("2021-03-04T05:06:07")),
+    )
+
+
+@query("""SELECT l_orderkey, l_linenumber, abs(l_discount - 0.05) AS a, round(acos(l_tax), 8) AS ac, round(asin(l_tax), 8) AS asn, round(atan(l_tax), 8) AS at, round(atan2(l_tax, l_quantity), 8) AS at2,
+    round(cbrt(l_quantity), 8) AS cb, round(cos(l_tax), 8) AS co, round(cosh(l_tax), 8) AS ch, round(cot(l_quantity), 6) AS ct, round(sinh(l_tax), 8) AS sh, round(tan(l_tax), 8) AS tn, round(tanh(l_tax), 8) AS th,
+    round(log10(l_quantity), 8) AS lg, round(pi(), 8) AS p, round(radians(l_quantity), 8) AS rad, l_linenumber | 8 AS bo, ~l_linenumber AS bn, CAST(l_linenumber AS BIGINT) << 3 AS bl, CAST(l_linenumber AS BIGINT) >> 1 AS br,
+    l_linenumber % 3 AS rm, l_quantity + l_tax + 1 AS pl, l_quantity - l_tax AS mi, -l_quantity AS neg, l_quantity * 2 * l_linenumber AS ti, CAST(l_linenumber AS DOUBLE) AS fl, l_linenumber - 1 AS sb,
+    CAST(l_linenumber AS DECIMAL(38,0)) = l_linenumber AS de, least(l_tax, l_discount) AS low, round(l_quantity / 8, 3) AS dr FROM lineitem""")
+def math_more(spark, db):
+    return db.table("lineitem").project(
+        l_orderkey=lambda r: r.l_orderkey,
+        l_linenumber=lambda r: r.l_linenumber,
+        a=lambda r: maths.abs_(r.l_discount - 0.05),
+        ac=lambda r: _r(maths.acos(r.l_tax), 8),
+        asn=lambda r: _r(maths.asin(r.l_tax), 8),
+        at=lambda r: _r(maths.atan(r.l_tax), 8),
+        at2=lambda r: _r(maths.atan2(r.l_tax, r.l_quantity), 8),
+        cb=lambda r: _r(maths.cbrt(r.l_quantity), 8),
+        co=lambda r: _r(maths.cos(r.l_tax), 8),
+        ch=lambda r: _r(maths.cosh(r.l_tax), 8),
+        ct=lambda r: _r(maths.cot(r.l_quantity), 6),
+        sh=lambda r: _r(maths.sinh(r.l_tax), 8),
+        tn=lambda r: _r(maths.tan(r.l_tax), 8),
+        th=lambda r: _r(maths.tanh(r.l_tax), 8),
+        lg=lambda r: _r(maths.log10(r.l_quantity), 8),
+        p=lambda r: _r(maths.pi(), 8),
+        rad=lambda r: _r(maths.to_radians(r.l_quantity), 8),
+        bo=lambda r: maths.bit_or(r.l_linenumber, F.lit(8)),
+        bn=lambda r: maths.bit_not(r.l_linenumber),
+        bl=lambda r: maths.bit_shift_left(r.l_linenumber, 3),
+        br=lambda r: maths.bit_shift_right(r.l_linenumber, 1),
+        rm=lambda r: maths.rem(r.l_linenumber, 3).cast("int"),
+        pl=lambda r: maths.plus(r.l_quantity, r.l_tax, 1),
+        mi=lambda r: maths.minus(r.l_quantity, r.l_tax),
+        neg=lambda r: maths.minus(r.l_quantity),
+        ti=lambda r: maths.times(r.l_quantity, 2, r.l_linenumber),
+        fl=lambda r: maths.to_float(r.l_linenumber),
+        sb=lambda r: maths.sub(r.l_linenumber, 1),
+        de=lambda r: maths.to_decimal(r.l_linenumber, True) == r.l_linenumber,
+        low=lambda r: maths.min_(r.l_tax, r.l_discount),
+        dr=lambda r: maths.divide_round(r.l_quantity, 8, 3),
+    )
+
+
+@query("""SELECT p_partkey, lower(p_name) AS low, trim('  ' || p_brand || ' ') AS t, ltrim('  ' || p_brand) AS lt, rtrim(p_brand || '  ') AS rt, rpad(p_brand, 12, '*') AS rp, ends_with(p_brand, '1') AS ends,
+    CAST(from_base64(base64(encode(p_brand))) AS VARCHAR) AS decoded, chr(65 + p_size % 26) AS c, p_brand = 'Brand#11' AS b, CAST(p_size AS DOUBLE) / 2 AS f, CAST(p_size || '.25' AS DECIMAL(5,2)) AS de,
+    regexp_matches(p_name, '[aeiou]{2}') AS two, CAST(instr(p_brand, '#') - 1 AS BIGINT) AS place, '''' || p_brand || '''' AS shown, '[' || p_brand || ',' || p_size || ']' AS listed,
+    upper(p_brand) = lower(p_brand) AS numeric, right(p_brand, 2) AS tail, left(p_name, 3) AS head, ['Brand', substr(p_brand, 6)] AS pieces, CAST(3 AS BIGINT) AS n_chunks, TRUE AS guid FROM part""")
+def string_more(spark, db):
+    return db.table("part").project(
+        p_partkey=lambda r: r.p_partkey,
+        low=lambda r: strings.to_lower(r.p_name),
+        t=lambda r: strings.trim(F.concat(F.lit("  "), r.p_brand, F.lit(" "))),
+        lt=lambda r: strings.ltrim(F.concat(F.lit("  "), r.p_brand)),
+        rt=lambda r: strings.rtrim(F.concat(r.p_brand, F.lit("  "))),
+        rp=lambda r: strings.rpad(r.p_brand, 12, "*"),
+        ends=lambda r: strings.ends_with(r.p_brand, "1"),
+        decoded=lambda r: strings.decode_base64(strings.encode_base64(r.p_brand)),
+        c=lambda r: strings.char(r.p_size % 26 + 65),
+        b=lambda r: strings.parse_boolean((r.p_brand == "Brand#11").cast("string")),
+        f=lambda r: strings.parse_float(r.p_size.cast("string")) / 2,
+        de=lambda r: strings.parse_decimal(F.concat(r.p_size.cast("string"), F.lit(".25D"))),
+        two=lambda r: strings.regexp_like(r.p_name, "[aeiou]{2}"),
+        place=lambda r: strings.regexp_index_of(r.p_brand, "#"),
+        shown=lambda r: strings.to_representation(r.p_brand),
+        listed=lambda r: strings.make_string(F.array(r.p_brand, r.p_size.cast("string")), "[", ",", "]"),
+        numeric=lambda r: strings.is_numeric(r.p_brand),
+        tail=lambda r: strings.right(r.p_brand, 2),
+        head=lambda r: strings.left(r.p_name, 3),
+        pieces=lambda r: F.transform(strings.split(r.p_brand, "#"), lambda x, i: F.when(i == 0, x).otherwise(F.concat(F.lit("#"), x))),
+        n_chunks=lambda r: lists.size(strings.chunk(F.left(r.p_brand, F.lit(8)), 3)),
+        guid=lambda r: strings.length(strings.generate_guid()) == 36,
+    )
+
+
+@query("""WITH t AS (SELECT n_nationkey, [n_nationkey, n_regionkey, 7] AS c FROM nation) SELECT n_nationkey, list_concat(c, [9]) AS added, c[1:2] AS init, c[2:] AS tail, c[1] AS head, c[3:] AS dropped, c[2:2] AS sliced,
+    list_distinct([c[1], c[1]]) AS once, list_filter(c, lambda x: x <> 7) AS without, c[1] AS found, [c[1] % 2 = 0] AS evens, CAST(list_min(c) AS INTEGER) AS least, list_contains(c, 3) AS has3,
+    c[1] > 2 OR c[2] > 2 AS some, c[1] > 2 AND c[2] > 2 AS every, len(list_distinct(c)) = 3 AS different, list_reverse(list_sort(c)) AS down, [c[1]] AS firsts, CAST(n_nationkey AS INTEGER) AS val, n_nationkey * 3 AS put_all,
+    CAST(3 AS BIGINT) AS n, FALSE AS nothing, TRUE AS something, CAST(7 AS INTEGER) AS unique_value, list_avg([CAST(c[1] AS DOUBLE), CAST(c[2] AS DOUBLE)]) AS mean, list_max(c) AS top FROM t""")
+def list_more(spark, db):
+    rows = db.table("nation").project(n_nationkey=lambda r: r.n_nationkey, c=lambda r: lists.list_(r.n_nationkey, r.n_regionkey, 7))
+    two = lambda r: F.slice(r.c, 1, 2)
+    m = lambda r: lists.put_all(F.create_map(F.lit("a"), r.n_nationkey), F.array(lists.pair("b", r.n_nationkey * 3)))
+    return rows.project(
+        n_nationkey=lambda r: r.n_nationkey,
+        added=lambda r: lists.add(r.c, F.lit(9)),
+        init=lambda r: lists.init(r.c),
+        tail=lambda r: lists.tail(r.c),
+        head=lambda r: lists.head(r.c),
+        dropped=lambda r: lists.drop(r.c, 2),
+        sliced=lambda r: lists.slice_(r.c, 1, 2),
+        once=lambda r: lists.remove_duplicates(F.array(lists.at(r.c, 0), lists.first(r.c))),
+        without=lambda r: lists.remove_all_optimized(r.c, F.array(F.lit(7))),
+        found=lambda r: lists.find(r.c, lambda x: x == r.n_nationkey),
+        evens=lambda r: lists.map_(lists.limit(r.c, 1), lambda x: x % 2 == 0),
+        least=lambda r: lists.least(r.c),
+        has3=lambda r: lists.contains(r.c, lambda x: x == 3),
+        some=lambda r: lists.or_(F.transform(two(r), lambda x: x > 2)),
+        every=lambda r: lists.and_(F.transform(two(r), lambda x: x > 2)),
+        different=lambda r: lists.is_distinct(r.c),
+        down=lambda r: lists.sort_by_reversed(r.c, lambda x: x),
+        firsts=lambda r: F.transform(lists.zip_(r.c, F.array(F.lit("x"))), lambda p: p["first"]),
+        val=lambda r: lists.first(lists.values(lists.new_map(F.array(lists.pair("k", r.n_nationkey))))),
+        put_all=lambda r: lists.get(m(r), "b"),
+        n=lambda r: lists.count(r.c),
+        nothing=lambda r: lists.is_empty(r.c),
+        something=lambda r: lists.is_not_empty(r.c),
+        unique_value=lambda r: lists.unique_value_only(F.array(F.lit(7), F.lit(7))),
+        mean=lambda r: lists.average(two(r)),
+        top=lambda r: lists.max_(r.c),
+    )
+
+
+@query("""SELECT p_partkey, p_size = 5 AS eq, p_size = 5 AS same, p_size >= 25 AS ge, p_size < 25 AS lt, p_size <= 25 AS le, p_size > 25 AS gt, NOT (p_size > 25) AS neg, p_name IS NOT NULL AS there, p_name IS NULL AS missing,
+    (p_size > 25) <> (p_size < 40) AS one_of, p_size <> 5 AS ne, p_size AS one, coalesce(nullif(p_brand, 'Brand#11'), 'none') AS some, [p_size] AS many, p_size AS trusted, p_name AS evaluated, 'RED' AS red, TRUE AS yes, FALSE AS no,
+    CAST(NULL AS INTEGER) AS nothing, TRUE AS someone FROM part""")
+def null_and_flow(spark, db):
+    return db.table("part").project(
+        p_partkey=lambda r: r.p_partkey,
+        eq=lambda r: nulls.eq(r.p_size, 5),
+        same=lambda r: nulls.is_(r.p_size, 5),
+        ge=lambda r: nulls.greater_than_equal(r.p_size, 25),
+        lt=lambda r: nulls.less_than(r.p_size, 25),
+        le=lambda r: nulls.less_than_equal(r.p_size, 25),
+        gt=lambda r: nulls.greater_than(r.p_size, 25),
+        neg=lambda r: nulls.not_(r.p_size > 25),
+        there=lambda r: nulls.is_not_empty(r.p_name),
+        missing=lambda r: nulls.is_empty(r.p_name),
+        one_of=lambda r: nulls.xor(r.p_size > 25, r.p_size < 40),
+        ne=lambda r: nulls.not_equal_ansi(r.p_size, 5),
+        one=lambda r: nulls.to_one(r.p_size),
+        some=lambda r: nulls.coalesce(F.nullif(r.p_brand, F.lit("Brand#11")), "none"),
+        many=lambda r: nulls.to_one_many(F.array(r.p_size)),
+        trusted=lambda r: nulls.trust_one(r.p_size),
+        evaluated=lambda r: nulls.evaluate_and_deactivate(r.p_name),
+        red=lambda r: nulls.extract_enum_value("RED", ["RED", "BLUE"]),
+        yes=lambda r: nulls.sql_true(),
+        no=lambda r: nulls.sql_false(),
+        nothing=lambda r: nulls.sql_null().cast("int"),
+        someone=lambda r: strings.length(nulls.current_user_id()) > 0,
+    )
+
+
+@query("""SELECT l_returnflag, round(stddev_samp(l_quantity), 6) AS sds, round(var_samp(l_quantity), 4) AS vs, round(var_pop(l_quantity), 4) AS vp, CAST(sum(l_linenumber) AS BIGINT) AS total,
+    round(sum(l_tax * l_quantity) / sum(l_quantity), 8) AS w, min(l_linenumber) AS low, count(*) > 0 AS hashed, round(avg(l_quantity), 4) AS mean, count(*) AS rows FROM lineitem GROUP BY l_returnflag""")
+def agg_more(spark, db):
+    q = F.col("l_quantity")
+    return db.table("lineitem").group_by(
+        ["l_returnflag"],
+        sds=_r(aggs.std_dev_sample(q), 6),
+        vs=_r(aggs.variance_sample(q)),
+        vp=_r(aggs.variance_population(q)),
+        total=aggs.plus(F.col("l_linenumber")),
+        w=_r(aggs.wavg(F.col("l_tax"), q), 8),
+        low=aggs.min_(F.col("l_linenumber")),
+        hashed=aggs.hash_code(F.col("l_orderkey")).isNotNull(),
+        mean=_r(aggs.average(q)),
+        rows=aggs.size(),
+    )
+
+
+@query("""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, [CAST(json_extract(props, '$.k') AS BIGINT), 1] AS many, event_type AS kind FROM events""")
+def variant_more(spark, db):
+    made = lambda r: variant.to_variant(F.array(variant.to(variant.get(variant.from_json(r.props), "k"), "bigint"), F.lit(1).cast("bigint")))
+    return db.table("events").project(
+        event_id=lambda r: r.event_id,
+        k=lambda r: variant.to(variant.get(made(r), 0), "bigint"),
+        many=lambda r: variant.to_many(made(r), "bigint"),
+        kind=lambda r: variant.to(variant.to_variant(r.event_type), "string"),
+    )
+
+
+_CALENDAR_REST = """WITH o AS (SELECT CAST(o_orderdate AS DATE) AS d FROM orders), e AS (SELECT DATE '1996-08-15' AS e),
+    t AS (SELECT d, e, floor((dayofyear(d) - 1) / 7) + 1 AS wd, floor((dayofyear(e) - 1) / 7) + 1 AS we FROM o, e)
+    SELECT count(*) FILTER (d = e)::DOUBLE AS "reportEndDay", count(*) FILTER (year(d) = 1996 AND wd = we AND d <= e)::DOUBLE AS wtd,
+    count(*) FILTER (year(d) = 1996 AND month(d) = 8 AND d <= e)::DOUBLE AS mtd, count(*) FILTER (date_trunc('week', d) = date_trunc('week', e))::DOUBLE AS cw_fm,
+    count(*) FILTER (date_trunc('week', d) = date_trunc('week', e) - INTERVAL 7 DAY)::DOUBLE AS pw_fm,
+    count(*) FILTER (date_trunc('week', d) = date_trunc('week', e) - INTERVAL 7 DAY AND isodow(d) <= isodow(e))::DOUBLE AS pwtd,
+    count(*) FILTER (year(d) = 1996 AND quarter(d) = 2 AND d - DATE '1996-04-01' <= e - DATE '1996-07-01')::DOUBLE AS pqtd,
+    count(*) FILTER (year(d) = 1995 AND wd = we AND isodow(d) <= isodow(e))::DOUBLE AS pywtd,
+    count(*) FILTER (year(d) = 1995 AND quarter(d) = 3 AND d - DATE '1995-07-01' <= e - DATE '1996-07-01')::DOUBLE AS pyqtd,
+    count(*) FILTER (year(d) = 1995)::DOUBLE AS "priorYear", count(*) FILTER (year(d) = 1993)::DOUBLE AS "CYMinus3",
+    count(*) FILTER (d >= e - 28 AND d <= e)::DOUBLE AS p4wtd, count(*) FILTER (d >= e - 84 AND d <= e)::DOUBLE AS p12wtd, count(*) FILTER (d >= e - 364 AND d <= e)::DOUBLE AS p52wtd,
+    round(count(*) FILTER (d >= e - 84 AND d <= e) / 12, 6) AS p12wa, round(count(*) FILTER (d >= e - 364 AND d <= e) / 52, 6) AS p52wa,
+    count(*) FILTER (d > e - INTERVAL 12 MONTH AND d <= e)::DOUBLE AS p12mtd, round(count(*) FILTER (year(d) = 1996 AND month(d) = 8) / (dayofyear(max(e)) / 31), 6) AS cme,
+    round(count(*) FILTER (year(d) = 1996 AND dayofyear(d) <= dayofyear(e) - isodow(e)) / (dayofyear(max(e)) - isodow(max(e))) * 5, 6) AS pwa, 0.0::DOUBLE AS pywa,
+    count(*) FILTER (year(d) = 1996 AND d <= e)::DOUBLE AS ytd FROM t"""
+
+
+@query(_CALENDAR_REST)
+def calendar_rest(spark, db):
+    calendar = calendars.plain_calendar(spark, dt.date(1990, 1, 1), dt.date(2026, 12, 31))
+    df = calendars.with_calendar(db.table("orders").df, calendar, F.col("o_orderdate"), F.lit(dt.date(1996, 8, 15)))
+    names = "reportEndDay wtd mtd cw_fm pw_fm pwtd pqtd pywtd pyqtd priorYear CYMinus3 p4wtd p12wtd p52wtd p12wa p52wa p12mtd cme pwa pywa ytd".split()
+    return df.agg(*(_r(F.coalesce(F.sum(calendars.value(n, F.lit(1))), F.lit(0.0)), 6).alias(n) for n in names))
+
+
+@query("""SELECT c_custkey, first_value(c_acctbal) OVER x AS f, last_value(c_acctbal) OVER (PARTITION BY c_nationkey ORDER BY c_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS l,
+    lead(c_acctbal) OVER x AS after, dense_rank() OVER x AS d, round(percent_rank() OVER x, 8) AS p, round(cume_dist() OVER x, 8) AS cd FROM customer WINDOW x AS (PARTITION BY c_nationkey ORDER BY c_custkey)""")
+def win_more(spark, db):
+    x = w.over("c_nationkey", "c_custkey")
+    whole = w.over("c_nationkey", "c_custkey", w.rows(w.unbounded(), w.unbounded()))
+    rows = db.table("customer").extend_over(x, f=lambda o: w.first(o, "c_acctbal"), after=lambda o: w.lead(o, "c_acctbal"), d=lambda o: w.dense_rank(o), p=lambda o: _r(w.percent_rank(o), 8), cd=lambda o: _r(w.cumulative_distribution(o), 8))
+    return rows.extend_over(whole, l=lambda o: w.last(o, "c_acctbal")).select("c_custkey", "f", "l", "after", "d", "p", "cd")
+
+
+@query("SELECT c_custkey FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 1")
+def relation_first(spark, db):
+    return db.table("customer").sort(descending("c_acctbal"), ascending("c_custkey")).first().select("c_custkey")
+
+
+@query("SELECT c_custkey, c_name FROM customer ORDER BY -c_custkey LIMIT 7")
+def relation_sort_by(spark, db):
+    return db.table("customer").sort_by_reversed(lambda r: r.c_custkey).head().concatenate(db.table("customer").sort_by(lambda r: -r.c_custkey).slice(1, 7)).select("c_custkey", "c_name")
+
+
 # extension: event time
 
 

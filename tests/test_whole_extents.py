@@ -13,23 +13,23 @@ def whole(spark, name, tables, folder):
     return queries.queries()[name](spark, str(folder)).collect()
 
 
-def test_join_theta_all(spark, tmp_path):
+def test_join_theta(spark, tmp_path):
     suppliers, parts = [(k,) for k in range(1, 31)], [(k, k % 50 + 1) for k in range(1, 401)]
-    got = whole(spark, "join_theta_all", {"supplier": (suppliers, "s_suppkey long"), "part": (parts, "p_partkey long, p_size long")}, tmp_path)
+    got = whole(spark, "join_theta", {"supplier": (suppliers, "s_suppkey long"), "part": (parts, "p_partkey long, p_size long")}, tmp_path)
     want = sorted((s, p) for (s,) in suppliers for p, size in parts if s * 4 < p and size > s)
     assert sorted(map(tuple, got)) == want and max(s for s, _ in want) > 10 and max(p for _, p in want) > 50
 
 
-def test_graph_fetch_nested_all(spark):
+def test_graph_fetch_nested(spark):
     folder = "/root/testdata/sf0.001"
-    got = {r.id: sorted(map(tuple, r.orders)) for r in queries.queries()["graph_fetch_nested_all"](spark, folder).collect()}
+    got = {r.id: sorted(map(tuple, r.orders)) for r in queries.queries()["graph_fetch_nested"](spark, folder).collect()}
     want = {r.c_custkey: [] for r in spark.read.parquet(f"{folder}/customer.parquet").collect()}
     for r in spark.read.parquet(f"{folder}/orders.parquet").collect():
         want[r.o_custkey].append((r.o_orderkey, r.o_totalprice))
     assert got == {k: sorted(v) for k, v in want.items()} and any(k % 10 for k in got)
 
 
-def test_graph_serialize_all(spark):
+def test_graph_serialize(spark):
     folder = "/root/testdata/sf0.001"
-    got = sorted(json.loads(r.json)["id"] for r in queries.queries()["graph_serialize_all"](spark, folder).collect())
+    got = sorted(json.loads(r.json)["id"] for r in queries.queries()["graph_serialize"](spark, folder).collect())
     assert got == sorted(r.c_custkey for r in spark.read.parquet(f"{folder}/customer.parquet").collect()) and got[-1] > 100
