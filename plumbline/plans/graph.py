@@ -1,7 +1,9 @@
 """Graph fetch: a tree of properties as nested structs, and as JSON.
 
 Children are grouped by their keys and joined to their parents, from the leaves up: no correlated subquery, and one
-shuffle a level. The value of an empty to-many property is an empty list.
+shuffle a level. The value of an empty to-many property is an empty list. An embedded child is made of the row's own
+columns; a list of plain values is an association to a class of which one property is wanted; the properties in a branch
+`@Sub` are null for rows of other classes.
 """
 
 from __future__ import annotations
@@ -21,13 +23,24 @@ Tree = dict[str, "Tree | None"]
 def _columns(extent: Extent, tree: Tree) -> tuple[DataFrame, list[Column]]:
     df, out = extent.df, []
     for name, sub in tree.items():
-        if sub is None:
+        if name.startswith("@"):
+            names = list(sub or {})
+            df, columns = _columns(extent._with(df, cls=name[1:]), sub or {})
+            out += [F.when(F.col("`$class`") == name[1:], c).alias(n) for n, c in zip(names, columns)]
+            continue
+        if sub is None and name in df.columns:
             out.append(F.col(f"`{name}`").alias(name))
             continue
+        own = [c for c in df.columns if c.startswith(f"{name}.")]
+        if sub is not None and own and name not in extent.joined:
+            out.append(_embedded(own, f"{name}.", sub).alias(name))
+            continue
         step = extent.model.step(extent.cls, name)
-        child, columns = _columns(extent._target(step), sub)
+        if sub is None and not step.value:
+            raise KeyError(f"{name} is no plain property of {extent.cls}")
+        child, columns = _columns(extent._target(step), sub or {step.value: None})
         keys = [f"__{name}_{i}" for i in range(len(step.keys))]
-        node = F.struct(*columns)
+        node = F.struct(*columns) if sub is not None else columns[0]
         value = F.sort_array(F.collect_list(node)) if step.many else F.any_value(node)
         grouped = child.groupBy(*(F.col(f"`{b}`").alias(k) for k, (_, b) in zip(keys, step.keys))).agg(value.alias(f"__{name}"))
         on = reduce(lambda a, b: a & b, (F.col(f"`{a}`") == F.col(k) for k, (a, _) in zip(keys, step.keys)))
@@ -37,6 +50,13 @@ def _columns(extent: Extent, tree: Tree) -> tuple[DataFrame, list[Column]]:
     return df, out
 
 
+def _embedded(columns: list[str], prefix: str, tree: Tree) -> Column:
+    """A struct of the row's own columns; null where all of them are."""
+    fields = [(_embedded(columns, f"{prefix}{n}.", sub) if sub else F.col(f"`{prefix}{n}`")).alias(n) for n, sub in tree.items()]
+    some = reduce(lambda a, b: a | b, (F.col(f"`{c}`").isNotNull() for c in columns if c.startswith(prefix)))
+    return F.when(some, F.struct(*fields))
+
+
 def graph_fetch(extent: Extent, tree: Tree) -> DataFrame:
     """A column for each entry of the tree."""
     df, columns = _columns(extent, tree)

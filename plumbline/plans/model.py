@@ -98,6 +98,7 @@ class Association:
     many: bool
     keys: Sequence[tuple[str, str]]  # (source column, target column)
     condition: Callable[[Row, Row], Column] | None = None
+    value: str = ""  # the target's property, where the property holds plain values
 
 
 class Model:
@@ -115,8 +116,8 @@ class Model:
         """Several mappings of one class are a union."""
         self.mappings.setdefault(name, []).extend(mappings)
 
-    def associate(self, source: str, property: str, target: str, many: bool, keys: Sequence[tuple[str, str]], back: str = "", back_many: bool = True, condition: Callable[[Row, Row], Column] | None = None) -> None:
-        self.associations[source, property] = Association(source, property, target, many, keys, condition)
+    def associate(self, source: str, property: str, target: str, many: bool, keys: Sequence[tuple[str, str]], back: str = "", back_many: bool = True, condition: Callable[[Row, Row], Column] | None = None, value: str = "") -> None:
+        self.associations[source, property] = Association(source, property, target, many, keys, condition, value)
         if back:
             reverse = (lambda a, b: condition(b, a)) if condition else None
             self.associations[target, back] = Association(target, back, source, back_many, [(b, a) for a, b in keys], reverse)
@@ -226,6 +227,18 @@ def encoded(code: Column, codes: dict[str, Sequence], name: str) -> Column:
     return code.isin(list(codes[name]))
 
 
+def embed(prefix: str, inner: Mapping) -> dict[str, str | Callable[[Row], Column]]:
+    """The properties of another class's mapping on the same table, to be inlined under a property."""
+    return {f"{prefix}.{n}": f for n, f in inner.properties.items()}
+
+
+def extend(base: Mapping, **changes) -> Mapping:
+    """A mapping that takes over another one's properties, keys and enumerations, with its own in front."""
+    for name in ("properties", "keys", "enums"):
+        changes[name] = getattr(base, name) | changes.get(name, {})
+    return replace(base, **changes)
+
+
 class Extent:
     """A class extent with the paths that have been joined to it."""
 

@@ -13,7 +13,7 @@ from plumbline.operators import aggs, windows as w
 from plumbline.operators.relation import Rel, ascending, descending
 from plumbline.plans import graph
 from plumbline.plans.language import Engine
-from plumbline.plans.model import Mapping, Model, Temporal
+from plumbline.plans.model import Mapping, Model, Temporal, embed, extend
 from plumbline.session import ship
 from plumbline.sources import readers
 from plumbline.streaming import windows as streams
@@ -948,6 +948,44 @@ def calendar_functions(spark, db):
     return df.agg(*(_r(F.coalesce(F.sum(calendars.value(n, F.lit(1))), F.lit(0.0)), 6).alias(n) for n in names))
 
 
+@query("""SELECT p_partkey AS id, {'brand': p_brand, 'size': {'number': p_size}} AS item, {'text': p_type} AS kind FROM part""")
+def graph_embedded(spark, db):
+    """Embedded children: one from the mapping's own columns, one inlined from another class's mapping."""
+    m = Model(db)
+    m.add_class("Part", id="Integer")
+    kind = Mapping("part", {"text": "p_type"})
+    m.map("Part", Mapping("part", {"id": "p_partkey", "item.brand": "p_brand", "item.size.number": "p_size", **embed("kind", kind)}))
+    return graph.graph_fetch(m.all("Part"), {"id": None, "item": {"brand": None, "size": {"number": None}}, "kind": {"text": None}})
+
+
+@query("SELECT r_name AS name, coalesce(list_sort(list(n_name)), []) AS nations FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY ALL")
+def graph_value_list(spark, db):
+    """A list of plain values, which live in another table."""
+    m = star(db)
+    m.associate("Region", "names", "Nation", True, [("$id", "$region")], value="name")
+    return graph.graph_fetch(m.all("Region"), {"name": None, "names": None}).withColumnRenamed("names", "nations")
+
+
+@query("SELECT c_name AS name, c_mktsegment AS segment, NULL::DOUBLE AS balance FROM customer UNION ALL SELECT s_name, NULL, s_acctbal FROM supplier")
+def graph_sub_types(spark, db):
+    m = Model(db)
+    m.add_class("Party", name="String")
+    m.add_class("Client", segment="String").supers = ("Party",)
+    m.add_class("Vendor", balance="Float").supers = ("Party",)
+    m.map("Client", Mapping("customer", {"name": "c_name", "segment": "c_mktsegment"}))
+    m.map("Vendor", Mapping("supplier", {"name": "s_name", "balance": "s_acctbal"}))
+    return graph.graph_fetch(m.all("Party"), {"name": None, "@Client": {"segment": None}, "@Vendor": {"balance": None}})
+
+
+@query("SELECT c_name AS name, c_acctbal AS balance, upper(c_mktsegment) AS segment FROM customer WHERE c_acctbal > 0")
+def mapping_extends(spark, db):
+    m = Model(db)
+    m.add_class("Client", name="String")
+    base = Mapping("customer", {"name": "c_name", "segment": "c_mktsegment"}, filter=lambda r: r.c_acctbal > 0)
+    m.map("Client", extend(base, properties={"balance": "c_acctbal", "segment": lambda r: strings.to_upper(r.c_mktsegment)}))
+    return m.all("Client").project(name="name", balance="balance", segment="segment")
+
+
 # sources
 
 

@@ -123,3 +123,18 @@ def test_version_rules(spark):
     m.add_class("B").temporal = "bitemporal"
     with pytest.raises(ValueError):
         m.all("B", day)
+
+
+def test_ranges_of_versions(spark):
+    at = lambda d: dt.datetime(2020, 1, d)
+    versions = spark.createDataFrame([(1, at(1), at(5)), (2, at(5), at(9)), (3, at(9), at(20))], "id int, a timestamp_ntz, b timestamp_ntz")
+    m = Model(Database(spark, {"v": versions, "s": spark.createDataFrame([(d, dt.date(2020, 1, d)) for d in range(1, 9)], "id int, d date")}))
+    for name, temporal in (("From", Temporal("a", "b")), ("Thru", Temporal("a", "b", thru_inclusive=True))):
+        m.add_class(name, id="Integer").temporal = "business"
+        m.map(name, Mapping("v", {"id": "id"}, business=temporal))
+    m.add_class("Day", id="Integer").temporal = "business"
+    m.map("Day", Mapping("s", {"id": "id"}, business=Temporal(snapshot="d")))
+    ids = lambda name, *d: sorted(r.id for r in m.all_versions_in_range(name, *map(at, d)).df.collect())
+    assert ids("From", 5, 9) == [2, 3] and ids("Thru", 5, 9) == [1, 2] and ids("Day", 3, 5) == [3, 4, 5]
+    each = m.all_for_each_date("From", [at(2), at(9), at(9), at(25)]).collect()
+    assert sorted((r.id, r["$date"]) for r in each) == [(1, at(2)), (3, at(9))]
