@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from plumbline.session import ship
 
 _FALLBACK: dict[str, str] = {}
-_KEPT: list[bool] = []
+_LIBC: list = []
 
 #: Text bytes that one vectorised step handles; a single longer text is a step of its own.
 SLICE_BYTES = 1 << 21
@@ -69,12 +69,18 @@ def size_of(text: str) -> int:
 
 def _reuse_memory() -> None:
     """Let malloc keep numpy's arrays of a few MB for the next ones, where the C library can be told so."""
-    if not _KEPT:
-        _KEPT.append(True)
-        mallopt = getattr(ctypes.CDLL(None), "mallopt", None)
-        if mallopt:
-            mallopt(_MMAP_THRESHOLD, 32 << 20)
-            mallopt(_TRIM_THRESHOLD, 64 << 20)
+    if not _LIBC:
+        _LIBC.append(ctypes.CDLL(None))
+        if hasattr(_LIBC[0], "mallopt"):
+            _LIBC[0].mallopt(_MMAP_THRESHOLD, 8 << 20)
+            _LIBC[0].mallopt(_TRIM_THRESHOLD, 64 << 20)
+
+
+def _give_back() -> None:
+    """Free memory to the system: a worker process lives on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC[0], "malloc_trim"):
+        _LIBC[0].malloc_trim(0)
 
 
 def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
@@ -93,7 +99,7 @@ def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator
     def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _reuse_memory()
         yield from work(batches)
-        pa.default_memory_pool().release_unused()
+        _give_back()
 
     return df.mapInArrow(tidy, schema)
 

@@ -54,7 +54,7 @@ SPACE = 0x20
 #: The pair of bytes that stands for the end of a text.
 END_PAIR = END << 8 | END
 #: log2 of the slots of the hashed contexts at most: what a worker holds.
-TABLE_BITS = 17
+TABLE_BITS = 16
 CHUNK = 1 << 14
 #: The most frequent words, whose counts travel with the tasks: 16 bytes each.
 HEAD = 1 << 17
@@ -239,12 +239,15 @@ def _texts(column: pa.Array) -> list[bytes]:
 
 def _merged(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     """Rows (key, n, extra...) put together by key; extras go with the key."""
-    keys, first, place = np.unique(np.concatenate([x[0] for x in held]), return_index=True, return_inverse=True)
-    total = np.bincount(place, np.concatenate([x[1] for x in held]), minlength=len(keys)).astype(np.int64)
-    return keys, total, *(np.concatenate(c)[first] for c in list(zip(*held))[2:])
+    keys, *rest = (np.concatenate(c) for c in zip(*held))
+    order = np.argsort(keys)
+    keys = keys[order]
+    heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else order
+    total = np.add.reduceat(rest[0][order], heads).astype(np.int64) if len(keys) else np.empty(0, np.int64)
+    return keys[heads], total, *(c[order[heads]] for c in rest[1:])
 
 
-def _count_words(batches: Iterator[pa.RecordBatch], most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+def _count_words(batches: Iterator[pa.RecordBatch], most: int = 500_000) -> Iterator[pa.RecordBatch]:
     """(kind, key, pair, n): counts of word hashes with their last bytes (kind 0), pairs of last bytes (kind 1) and bytes
     (kind 2), put together for up to `most` words."""
     pairs, letters = np.zeros(1 << 16, np.int64), np.zeros(256, np.int64)
@@ -496,7 +499,7 @@ def learn(train: DataFrame, layout: Layout, lexicon: Words, spelled: np.ndarray,
     summed = map_arrow(sparse.repartition("chunk").sortWithinPartitions("chunk"), lambda it: _add_up(it, shared.value[0]), "chunk long, logits binary")
     nothing = np.array([layout.codes[0].logits(np.zeros((1, SYMBOLS)))[0, 0, 0]], np.int8)
     tables = np.full((3, int(layout.offsets[-1])), nothing[0], np.int8)
-    for r in summed.toLocalIterator():  # at most 22 MB three times, by TABLE_BITS
+    for r in summed.toLocalIterator():  # at most 13 MB three times, by TABLE_BITS
         tables[:, r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.logits, np.int8).reshape(3, CHUNK)
     mixer = Mixer(layout, tables, lexicon, spelled, known)
     frozen = spark.sparkContext.broadcast(mixer)
