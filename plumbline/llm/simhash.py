@@ -5,10 +5,11 @@ within 3 bits of exactly one word of the perfect binary Golay code. The keys of
 the segment and of all words one bit away: 1 key, or 6 where the segment is 3 bits from its codeword. Segments that
 differ in at most one bit share a key.
 
-Pigeonhole for a radius of 3: with errors (a, b, c), either a and b are both at most 1, or one of them is at least 2
-and the other segments hold one error at most, so that one of those is equal. Hence three kinds of keys:
-fuzzy(0) x fuzzy(1); exact(1) x fuzzy(2) and exact(2) x fuzzy(1); exact(0) x fuzzy(2) and exact(2) x fuzzy(0):
-60 keys at most. All rows of a key are verified by the exact Hamming distance; within a key a spanning forest of the
+Pigeonhole for a radius of 3: with errors (a, b, c), either one segment is equal and another one holds one error at
+most, or all three hold exactly one. Hence exact(i) x fuzzy(j) for the six ordered pairs, of 30 or 35 bits, and for the
+last case fuzzy(0) x half of segment 1 x half of segment 2, as one error leaves a half of its segment equal: four keys of
+32 or 33 bits for each codeword index. These are 60 keys at most, and every kind has at least 2^30 values, so that
+unrelated fingerprints seldom meet. All rows of a key are verified by the exact Hamming distance; within a key a spanning forest of the
 verified links is emitted instead of all pairs.
 """
 
@@ -16,7 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import combinations, repeat
+from itertools import combinations, permutations, product, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -116,10 +117,11 @@ def link_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows.append(row)
         keys.append((np.int64(tag) << 48 | wide << 16 | narrow)[keep])
 
-    a, b = fuzzy[0][:, :, None], fuzzy[1][:, None, :]
-    add(0, a, b, (a >= 0) & (b >= 0))
-    for tag, (i, j) in enumerate(((1, 2), (2, 1), (0, 2), (2, 0)), 1):
+    for tag, (i, j) in enumerate(permutations(range(3), 2)):
         add(tag, exact[i][:, None], fuzzy[j], fuzzy[j] >= 0)
+    halves = [(x >> n // 2, x & (1 << n // 2) - 1) for x, (_, n) in zip(exact, _SEGMENTS)]
+    for tag, (x, y) in enumerate(product(halves[1], halves[2]), 6):
+        add(tag, fuzzy[0] << 12 | x[:, None], y[:, None], fuzzy[0] >= 0)
     return np.concatenate(rows), np.concatenate(keys)
 
 
