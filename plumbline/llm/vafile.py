@@ -11,6 +11,7 @@ rows for each query and task.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm._common import map_arrow, materialize
+from plumbline.llm._common import map_arrow, materialize, shared_dir
 
 #: Bits of a cell number, and vectors in a block.
 BITS = 6
@@ -52,7 +53,7 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     """The written index over floor(scale * component): a row for each block.
 
     Vectors that are null, hold null or non-finite components, or have a null id take no part. Vectors of several
-    lengths go to blocks of their own. Columns: dims, low (least component), step (width of a cell), ids, cells,
+    lengths go to blocks of their own. Other columns are ignored, an empty table gives an empty index. Columns: dims, low (least component), step (width of a cell), ids, cells,
     exact (components as doubles, which hold the floor of a scaled double exactly).
     """
     schema = pa.schema([("dims", pa.int32()), ("low", pa.float64()), ("step", pa.float64()), ("ids", pa.binary()), ("cells", pa.binary()), ("exact", pa.binary())])
@@ -131,16 +132,20 @@ def search(index: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_
 
     The score is the inner product of the whole numbers floor(scale * component), saturated to the range of a long.
     Ties go to the smaller id. Rows with a query's own id are no candidates for it; only vectors of the query's length
-    are. Equal query rows are one query. Queries come to the driver slice_bytes at a time, each slice is a pass.
+    are. Equal query rows are one query; rows of one id with different vectors are several. Other columns are ignored, an
+    empty table gives an empty one. Queries come to the driver slice_bytes at a time; each slice is a pass over the index,
+    whose k rows a query are written before the next slice is read, so one slice is held at a time.
     """
     spark = index.sparkSession
     source = queries.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"))
     rows = source.where("vec_id is not null and embedding is not null").distinct()
     kind = "number long, query_id long, vec_id long, score long"
-    found = spark.createDataFrame([], kind)
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    spark.createDataFrame([], kind).write.parquet(path)
     first, held, size = 0, [], 0
+    by_query = Window.partitionBy("number").orderBy(F.desc("score"), "vec_id")
 
-    def one_pass(first: int, held: list) -> DataFrame:
+    def one_pass(first: int, held: list) -> None:
         ids = pa.array([r[0] for r in held], pa.int64())
         groups: dict[int, tuple[list[int], np.ndarray, np.ndarray]] = {}
         for dims in {len(r[1]) for r in held}:
@@ -163,16 +168,17 @@ def search(index: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["number", "query_id", "vec_id", "score"])
 
-        return map_arrow(index, work, kind)
+        ranked = map_arrow(index, work, kind).withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)
+        ranked.select("number", "query_id", "vec_id", "score").write.mode("append").parquet(path)
+        shared.destroy()
 
     for r in rows.toLocalIterator():
         held.append((r.vec_id, r.embedding))
         size += 8 * len(r.embedding) + 32
         if size >= slice_bytes:
-            found = found.union(one_pass(first, held))
+            one_pass(first, held)
             first, held, size = first + len(held), [], 0
     if held:
-        found = found.union(one_pass(first, held))
-    by_query = Window.partitionBy("number").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)
+        one_pass(first, held)
+    ranked = spark.read.schema(kind).parquet(path).withColumn("rank", F.row_number().over(by_query))
     return ranked.select("query_id", "rank", "vec_id", "score")
