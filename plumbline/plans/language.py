@@ -266,8 +266,12 @@ class Engine:
     def __init__(self, model: Model):
         self.model = model
 
-    def run(self, text: str):
-        out = self.value(Parser(text).parse(), {})
+    def run(self, text: str, **parameters: Any):
+        """parameters: values for the text's `$name`s: numbers, texts, booleans, dates, lists of these, relations, null.
+
+        They are bound as values and never become part of the text.
+        """
+        out = self.value(Parser(text).parse(), {name: self._parameter(v) for name, v in parameters.items()})
         if isinstance(out, Rel):
             return out.df
         if isinstance(out, (Extent, _Fetched)):
@@ -276,6 +280,13 @@ class Engine:
 
     # values
 
+    def _parameter(self, v: Any) -> Any:
+        if isinstance(v, (list, tuple)):
+            return [self._parameter(x) for x in v]
+        if isinstance(v, dt.datetime):
+            return F.lit(v).cast("timestamp_ntz")
+        return F.lit(v) if v is None or isinstance(v, dt.date) else v
+
     def column(self, x: Any) -> Column:
         if isinstance(x, _Path):
             return x.column()

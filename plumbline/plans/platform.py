@@ -15,8 +15,8 @@ from plumbline.plans.language import Engine
 from plumbline.plans.model import Mapping, Model
 
 
-def execute(model: Model, text: str) -> DataFrame:
-    return Engine(model).run(text)
+def execute(model: Model, text: str, **parameters: Any) -> DataFrame:
+    return Engine(model).run(text, **parameters)
 
 
 def execution_plan(rel: Rel | DataFrame, formatted: bool = True) -> str:
@@ -29,6 +29,32 @@ def execution_plan(rel: Rel | DataFrame, formatted: bool = True) -> str:
 plan_to_string = execution_plan
 
 
+def _scans(df: DataFrame) -> list:
+    """The leaves of the plan that Spark has chosen, before any is run."""
+    leaves = df._jdf.queryExecution().sparkPlan().collectLeaves()
+    return [leaves.apply(i) for i in range(leaves.size())]
+
+
+def scan_columns(rel: Rel | DataFrame) -> dict[str, list[str]]:
+    """The columns that a query reads of each source, join keys and conditions included; what is pruned is not listed.
+
+    A source is the file or folder that is scanned, or the leaf's kind where there is none (`LocalTableScan`, `Range`).
+    """
+    out: dict[str, set[str]] = {}
+    for leaf in _scans(rel.df if isinstance(rel, Rel) else rel):
+        columns = leaf.output()
+        paths = leaf.relation().location().rootPaths() if leaf.getClass().getSimpleName() == "FileSourceScanExec" else None
+        sources = [paths.apply(i).toString() for i in range(paths.size())] if paths else [leaf.nodeName()]
+        for source in sources:
+            out.setdefault(source, set()).update(columns.apply(i).name() for i in range(columns.size()))
+    return {source: sorted(names) for source, names in sorted(out.items())}
+
+
+def scan_relations(rel: Rel | DataFrame) -> list[str]:
+    """The sources that a query reads."""
+    return list(scan_columns(rel))
+
+
 def concatenate_temporal_queries(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.union, frames)
 

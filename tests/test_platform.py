@@ -1,3 +1,5 @@
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -25,3 +27,31 @@ def test_platform(spark):
     for bad in (lambda: platform.fail("x"), lambda: platform.assert_(False), lambda: platform.assert_error(lambda: 1)):
         with pytest.raises(AssertionError):
             bad()
+
+
+def test_parameters(spark):
+    t = spark.createDataFrame([(1, "a", dt.date(2024, 1, 1)), (2, "b'", dt.date(2024, 2, 1)), (3, None, None)], "id int, k string, d date")
+    m = Model(Database(spark, {"t": t}))
+    ids = lambda text, **p: sorted(r.id for r in platform.execute(m, text, **p).collect())
+    assert ids("#>{db.t}#->filter(x|$x.id >= $low)->select(~id)", low=2) == [2, 3]
+    assert ids("#>{db.t}#->filter(x|$x.k == $k)->select(~id)", k="b'") == [2]
+    assert ids("#>{db.t}#->filter(x|$x.k == $k)->select(~id)", k=None) == [3]
+    assert ids("#>{db.t}#->filter(x|$x.d > $d)->select(~id)", d=dt.date(2024, 1, 15)) == [2]
+    assert ids("#>{db.t}#->filter(x|$x.id->in($ids))->select(~id)", ids=[1, 3, 9]) == [1, 3]
+    assert ids("#>{db.t}#->filter(x|$x.k->in($ks))->select(~id)", ks=["a", "b"]) == [1]
+    assert platform.execute(m, "#>{db.t}#->aggregate(~[s: x|$x.k : y|$y->joinStrings($sep)])", sep="|").collect()[0].s == "a|b'"
+    assert ids("#>{db.t}#->limit($n)->select(~id)", n=0) == []
+    assert ids("$r->filter(x|$x.id < 3)->select(~id)", r=Rel(t)) == [1, 2]
+    with pytest.raises(KeyError):
+        platform.execute(m, "#>{db.t}#->filter(x|$x.id >= $low)", high=2)
+
+
+def test_scanned_columns(spark, tmp_path):
+    spark.range(5).selectExpr("id a", "id * 2 b", "id c").write.parquet(str(tmp_path / "x"))
+    spark.range(5).selectExpr("id k", "id v", "id w").write.parquet(str(tmp_path / "y"))
+    x, y = (Rel(spark.read.parquet(str(tmp_path / n))) for n in "xy")
+    query = x.filter(lambda r: r.c > 1).join(y, "INNER", lambda a, b: a.a == b.k).select("b", "v")
+    got = platform.scan_columns(query)
+    assert {p.rpartition("/")[2]: c for p, c in got.items()} == {"x": ["a", "b", "c"], "y": ["k", "v"]}
+    assert platform.scan_relations(query) == sorted(got)
+    assert platform.scan_columns(spark.range(3)) == {"Range": ["id"]}
