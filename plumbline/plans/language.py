@@ -478,13 +478,13 @@ class Engine:
             return f(p.over, numbers[0])
         return _RowAt(lambda c: f(p.over, c, *numbers))
 
-    def _reduced(self, row: Any, spec: tuple) -> Column:
+    def _reduced(self, row: Any, spec: tuple, env) -> Column:
         """name: map : reduce"""
-        mapped = self.apply(spec[1], row)
+        mapped = self.apply(spec[1], row, env=env)
         whole = isinstance(mapped, (Row, _Start))
         body = spec[1][2]
         name = body[2] if body[0] == "get" and body[1] == ("var", spec[1][1][0]) and isinstance(row, Row) else None
-        return self.column(self.apply(spec[2], _Group(None if whole else self.column(mapped), whole, name)))
+        return self.column(self.apply(spec[2], _Group(None if whole else self.column(mapped), whole, name), env=env))
 
     def _names(self, e: tuple, env) -> list[str]:
         v = self.value(e, env)
@@ -519,15 +519,15 @@ class Engine:
         if name == "concatenate":
             return r.concatenate(value(0))
         if name == "extend":
-            return self.extend(r, [value(i) for i in range(len(rest))])
+            return self.extend(r, [value(i) for i in range(len(rest))], env)
         if name in ("groupBy", "aggregate"):
             keys = self._names(rest[0], env) if name == "groupBy" else []
-            made = {c[0]: self._reduced(r.row, c) for c in value(len(rest) - 1)[1]}
+            made = {c[0]: self._reduced(r.row, c, env) for c in value(len(rest) - 1)[1]}
             return r.group_by(keys, **made) if name == "groupBy" else r.aggregate(**made)
         if name == "pivot":
             specs = value(len(rest) - 1)[1]
             used = sorted({n for c in specs for n in r.df.columns if f"'{n}'" in repr(c[1])})
-            return r.pivot(self._names(rest[0], env), value(1) if len(rest) == 3 else None, using=used, **{c[0]: self._reduced(r.row, c) for c in specs})
+            return r.pivot(self._names(rest[0], env), value(1) if len(rest) == 3 else None, using=used, **{c[0]: self._reduced(r.row, c, env) for c in specs})
         if name == "join":
             kind = value(1).replace("_OUTER", "")
             return r.join(value(0), kind, lambda t, v: self.column(self.apply(value(2), t, v, env=env)), prefix=value(3) if len(rest) > 3 else None)
@@ -539,21 +539,21 @@ class Engine:
             return r.write()
         raise NameError(f"no relation function {name!r}")
 
-    def extend(self, r: Rel, args: list) -> Rel:
+    def extend(self, r: Rel, args: list, env) -> Rel:
         over = args[0] if isinstance(args[0], windows.Over) else None
         specs = args[-1][1]
         made = {}
         for c in specs:
             if over is not None and len(c) == 3:
-                row = self.apply(c[1], _Partition(over), over, r.row)
+                row = self.apply(c[1], _Partition(over), over, r.row, env=env)
                 whole = isinstance(row, Row)
-                made[c[0]] = windows.reduce(over, self.column(self.apply(c[2], _Group(None if whole else self.column(row), whole))))
+                made[c[0]] = windows.reduce(over, self.column(self.apply(c[2], _Group(None if whole else self.column(row), whole), env=env)))
             elif over is not None:
-                made[c[0]] = self.column(self.apply(c[1], _Partition(over), over, r.row))
+                made[c[0]] = self.column(self.apply(c[1], _Partition(over), over, r.row, env=env))
             elif len(c) == 3:
-                return r.extend_total(**{c[0]: self._reduced(r.row, c) for c in specs})
+                return r.extend_total(**{c[0]: self._reduced(r.row, c, env) for c in specs})
             else:
-                made[c[0]] = self.column(self.apply(c[1], r.row))
+                made[c[0]] = self.column(self.apply(c[1], r.row, env=env))
         return Rel(r.df.withColumns(made))
 
     def as_of(self, left: Rel, right: Rel, match: tuple, keys: tuple | None, prefix: str | None) -> Rel:
@@ -596,7 +596,7 @@ class Engine:
         if name == "groupBy":
             start = _Start(x)
             keys = [self.column(self.apply(c[1], start, env=env)).alias(c[0]) for c in value(0)[1]]
-            made = [self._reduced(start, c).alias(c[0]) for c in value(1)[1]]
+            made = [self._reduced(start, c, env).alias(c[0]) for c in value(1)[1]]
             return Rel(start.extent.df.groupBy(*keys).agg(*made))
         if name in ("limit", "take"):
             return x.limit(value(0))

@@ -40,6 +40,8 @@ def test_parameters(spark):
     assert ids("#>{db.t}#->filter(x|$x.id->in($ids))->select(~id)", ids=[1, 3, 9]) == [1, 3]
     assert ids("#>{db.t}#->filter(x|$x.k->in($ks))->select(~id)", ks=["a", "b"]) == [1]
     assert platform.execute(m, "#>{db.t}#->aggregate(~[s: x|$x.k : y|$y->joinStrings($sep)])", sep="|").collect()[0].s == "a|b'"
+    later = platform.execute(m, "let n = 10; #>{db.t}#->extend(~far: x|$x.id + $n)->extend(over(~id->ascending()), ~run: {p,w,r|$r.id * $n} : y|$y->sum())->select(~[far, run]);")
+    assert sorted(map(tuple, later.collect())) == [(11, 10), (12, 30), (13, 60)]
     assert ids("#>{db.t}#->limit($n)->select(~id)", n=0) == []
     assert ids("$r->filter(x|$x.id < 3)->select(~id)", r=Rel(t)) == [1, 2]
     with pytest.raises(KeyError):
