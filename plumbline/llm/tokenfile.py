@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm._common import map_arrow, materialize, slices
+from plumbline.llm._common import HELD, map_arrow, materialize, slices
 
 BLOCK = 128
 _HEADER = struct.Struct("<4sIQII")
@@ -295,7 +295,7 @@ class WordEncoder:
         return np.split(ids, ends[:-1]) if len(column) else []
 
 
-_ENCODERS: dict[int, WordEncoder] = {}
+_ENCODERS: dict[int, WordEncoder] = HELD.setdefault("encoders", {})
 
 
 def encoder(spec: str) -> WordEncoder:
@@ -348,7 +348,7 @@ def write_token_files(
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # rows that share an id, or have none, are split by how their text begins
     ranges = source.repartitionByRange("doc_id", F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
-    files = map_arrow(ranges.withColumn("part", F.spark_partition_id()), work, "part int, first long, n_ids long, file binary")
+    files = map_arrow(ranges.withColumn("part", F.spark_partition_id()), work, "part int, first long, n_ids long, file binary", keep="encoders")
     return materialize(files)
 
 

@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from plumbline.llm import tokenfile
+from plumbline.llm import _common, tokenfile
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 SPEC = open(PATH, encoding="utf-8").read()
@@ -64,3 +64,18 @@ def test_query_matches_brute_force(spark):
     assert sorted(got, key=lambda r: r[1]) == want
     empty = tokenfile.write_token_files(df.limit(0), SPEC)
     assert tokenfile.read_token_files(empty).collect() == []
+
+
+def test_other_stages_drop_the_encoder(spark):
+    class Here:  # runs a stage in this process, as a worker does
+        sparkSession = spark  # noqa: N815
+
+        def mapInArrow(self, work, schema):  # noqa: N802
+            return list(work(iter(())))
+
+    def left(**keep):
+        tokenfile.encoder(SPEC)
+        _common.map_arrow(Here(), lambda batches: batches, "x long", **keep)
+        return len(tokenfile._ENCODERS)
+
+    assert left() == 0 and left(keep="encoders") == 1
