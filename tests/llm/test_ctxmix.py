@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from plumbline.llm import ctxmix
@@ -131,6 +132,50 @@ def test_gates_are_fitted_on_all_decisions(spark):
     assert len(set(gates)) > 50 and not np.allclose(mixer.weights, start)
 
 
+def test_tokens_of_a_column_are_those_of_normal_texts():
+    rng = random.Random(6)
+    odd = ["", None, " ", "A", "\tÀB  c\r\n", "x\x0b\x0cY\x08z\x0e ", "@[`{ AZaz"]
+    odd += ["".join(rng.choices("aBZé日 \t\n\x00", k=rng.randrange(30))) for _ in range(500)]
+    column = pa.array(["cut off", *odd])[1:]
+    plain = [ctxmix.normalise((x or "").encode()) for x in odd]
+    got, want = ctxmix.Tokens(column), ctxmix.Tokens(plain)
+    for name in ("n", "ends", "words", "text", "place", "key", "pair"):
+        assert getattr(got, name).tolist() == getattr(want, name).tolist()
+    assert [bytes(got.raw[a:b]) for a, b in zip(got.starts, got.stops)] == [w for t in plain for w in t.split()]
+    counted = [r for b in ctxmix._count_words(iter([pa.RecordBatch.from_arrays([column], names=["text"])])) for r in b.to_pylist()]
+    assert {r["key"]: r["n"] for r in counted if r["kind"] == 2} == Counter(b"".join(plain))
+
+
+def test_a_task_tallies_each_key_once(spark, monkeypatch):
+    train = texts(60, 7)
+    mixer, batch = learned(spark, train), pa.RecordBatch.from_arrays([pa.array(train)], names=["text"])
+    want = Counter()
+    for t in train:
+        for k, s, slots, _ in plain_symbols(mixer, ctxmix.normalise(t.encode())):
+            code = mixer.layout.codes[k]
+            for d in range(int(code.length[s])):
+                node, turn = int(code.node[s, d]), int(code.turn[s, d])
+                q = [int(mixer.tables[1 + turn, o + slot * 64 + node]) for o, slot in zip(mixer.layout.offsets[3 * k :], slots)]
+                key = ctxmix.GATES * k + 16 * min(d, 5) + 4 * (q[1] & 3) + (q[2] & 3)
+                for v in q:
+                    key = key << 5 | (v & 255) >> 3
+                want[key << 1 | turn] += 1
+    monkeypatch.setattr(ctxmix, "SLICE_BYTES", 4_000)  # several slices
+    got = [(r["key"], r["n"]) for b in ctxmix._tally(iter([batch, batch]), mixer) for r in b.to_pylist()]
+    assert got == sorted((k, 2 * n) for k, n in want.items())
+
+
+def test_base_of_frequent_and_of_rare_words(spark, monkeypatch):
+    rows = [*enumerate(texts(40)), (50, "rare " * 7 + "odd"), (51, "odd odd rare"), (20, "unheard unheard")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    known = lambda: sorted((r.doc_id, r.n_known, r.base_score) for r in ctxmix.score(df).collect())
+    want = known()
+    monkeypatch.setattr(ctxmix, "TERMS", 3)  # most counts are beyond the table
+    monkeypatch.setattr(ctxmix, "HEAD", 4)  # and most words are joined
+    for a, b in zip(known(), want, strict=True):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2])
+
+
 def test_passages_depend_on_their_words_only():
     rng = random.Random(5)
     words = [f"w{rng.randrange(500)}" for _ in range(600)]
