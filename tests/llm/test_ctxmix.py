@@ -96,6 +96,25 @@ def test_mixing_is_the_stated_rule(spark, monkeypatch, own):
     assert alone == pytest.approx(got.tolist(), rel=1e-4, abs=1e-4)
 
 
+def test_words_that_share_a_place_are_found_without_a_search(monkeypatch):
+    rng = np.random.default_rng(5)
+    near = np.array([(7 << 44) + k for k in range(1, 6)] + [-(3 << 44) + k for k in range(4)], np.int64)
+    keys = np.unique(np.concatenate([near, rng.integers(-(2**63), 2**63 - 1, 30_000)]))
+    counts = np.arange(1, len(keys) + 1)
+    want = dict(zip(keys.tolist(), counts.tolist()))
+    asked = np.concatenate([keys, near + 9, rng.integers(-(2**63), 2**63 - 1, 30_000), [0, 7 << 44]])
+
+    def search(*_):
+        raise AssertionError("a binary search a word")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(np, "searchsorted", search)
+        mixed = rng.permutation(len(keys))
+        got = ctxmix.Words(keys[mixed], counts[mixed]).find(asked)
+        none = ctxmix.Words(keys[:0], counts[:0]).find(asked)
+    assert got.tolist() == [want.get(k, 0) for k in asked.tolist()] and not none.any()
+
+
 def test_tables_count_all_training_text(spark):
     train = [*texts(60, 7), "rare " + "words beyond a prefix " * 120]
     mixer = learned(spark, train)
