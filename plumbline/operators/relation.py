@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.classic.column import Column as ClassicColumn
 
 from plumbline.operators.windows import Over
 
@@ -47,6 +48,68 @@ def order(keys: Sequence[str | tuple[str, bool]]) -> list[Column]:
     return [F.col(f"`{c}`").asc_nulls_last() if up else F.col(f"`{c}`").desc_nulls_first() for c, up in pairs]
 
 
+#: Comparisons by the expression's name, and whether the second operand is the larger one; the sides that a join may cut
+#: (0 left, 1 right), as it gives no row of theirs without a match: fixed values.
+_LARGER = {"LessThan": True, "LessThanOrEqual": True, "GreaterThan": False, "GreaterThanOrEqual": False}
+_CUT = {"inner": (0, 1), "left": (1,), "right": (0,), "full": (), "left_semi": (0, 1), "left_anti": (1,)}
+
+
+def _repeatable(plan) -> bool:
+    """Whether a plan gives the same rows when it is run again: no random values, no limit that may take other rows."""
+    nodes = [plan]
+    for node in nodes:
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    return plan.deterministic() and not any(re.search("Limit|Offset|Tail|Sample", node.nodeName()) for node in nodes)
+
+
+def _join(left: DataFrame, right: DataFrame, condition: Column, how: str) -> DataFrame:
+    """The join of the frames "l" and "r"; for a condition without an equality, of the rows whose ranges of values meet.
+
+    For want of a key Spark compares all pairs. Of `l.a < r.b` only rows with a below the largest b, and with b above the
+    smallest a, can have a match: the others are left out before, by one row of bounds a side.
+    """
+    joined = left.join(right, condition, how)
+    plan, jvm = joined._jdf.queryExecution().analyzed(), joined.sparkSession._jvm
+    if plan.condition().isEmpty():
+        return joined
+    if not plan.right().outputSet().subsetOf(right._jdf.queryExecution().analyzed().outputSet()):  # one frame on both sides
+        if len(set(right.columns)) < len(right.columns):
+            return joined
+        return _join(left, right.select(*(F.col(f"`{c}`").alias(c) for c in right.columns)).alias("r"), condition, how)
+    outputs = plan.left().outputSet(), plan.right().outputSet()
+
+    def side(e) -> int | None:
+        return next((i for i in (0, 1) if not e.references().isEmpty() and e.references().subsetOf(outputs[i])), None)
+
+    def column(e) -> Column:
+        return ClassicColumn(jvm.org.apache.spark.sql.classic.ExpressionUtils.column(e))
+
+    matching, compared, todo = [left, right], [], [plan.condition().get()]
+    while todo:
+        e = todo.pop()
+        name, at = e.nodeName(), side(e)
+        if name == "And":
+            todo += [e.left(), e.right()]
+        elif at is not None:
+            matching[at] = matching[at].where(column(e))
+        elif name in ("EqualTo", "EqualNullSafe", *_LARGER) and None not in (side(e.left()), side(e.right())):
+            if name not in _LARGER:
+                return joined
+            small, large = (e.left(), e.right()) if _LARGER[name] else (e.right(), e.left())
+            compared.append((side(small), small, large, name.endswith("Equal")))
+    if not compared or not _repeatable(plan):
+        return joined
+    sides = [left, right]
+    for i in _CUT[how]:
+        sides[i] = matching[i]
+        for at, small, large, equal in compared:
+            own, other = (small, large) if at == i else (large, small)
+            bound = matching[1 - i].select((F.max if at == i else F.min)(column(other))).scalar()
+            a, b = (column(own), bound) if at == i else (bound, column(own))
+            sides[i] = sides[i].where(a <= b if equal else a < b)
+    return sides[0].join(sides[1], condition, how)
+
+
 class Rel:
     def __init__(self, df: DataFrame):
         self.df = df
@@ -198,7 +261,7 @@ class Rel:
         """kind: INNER, LEFT, RIGHT, FULL. The condition sees the right side under its prefixed names."""
         left, right = self._sides(other, prefix)
         how = {"INNER": "inner", "LEFT": "left", "RIGHT": "right", "FULL": "full"}[kind]
-        return Rel(left.join(right, condition(Row(self.df, "l"), Row(right, "r")), how))
+        return Rel(_join(left, right, condition(Row(self.df, "l"), Row(right, "r")), how))
 
     def join_using(self, other: Rel, kind: str, *keys: str) -> Rel:
         return Rel(self.df.join(other.df, list(keys), kind.lower()))
@@ -210,11 +273,11 @@ class Rel:
 
     def semi(self, other: Rel, condition: Callable[[Row, Row], Column]) -> Rel:
         """Rows for which the other side has a match (exists, isNotEmpty)."""
-        return Rel(self.df.alias("l").join(other.df.alias("r"), condition(Row(self.df, "l"), Row(other.df, "r")), "left_semi"))
+        return Rel(_join(self.df.alias("l"), other.df.alias("r"), condition(Row(self.df, "l"), Row(other.df, "r")), "left_semi"))
 
     def anti(self, other: Rel, condition: Callable[[Row, Row], Column]) -> Rel:
         """Rows for which the other side has no match (isEmpty)."""
-        return Rel(self.df.alias("l").join(other.df.alias("r"), condition(Row(self.df, "l"), Row(other.df, "r")), "left_anti"))
+        return Rel(_join(self.df.alias("l"), other.df.alias("r"), condition(Row(self.df, "l"), Row(other.df, "r")), "left_anti"))
 
     def tds_contains(self, other: Rel, *names: str) -> Rel:
         return Rel(self.df.join(other.df.select(*names).distinct(), list(names), "left_semi"))

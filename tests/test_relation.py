@@ -37,6 +37,38 @@ def test_slices(spark):
     assert rows(r.slice(2, 4)) == [(2,), (3,)] and rows(r.drop(8)) == [(8,), (9,)] and rows(r.head()) == [(0,)] and rows(r.slice(0, 0)) == []
 
 
+@pytest.mark.parametrize("kind", ["INNER", "LEFT", "RIGHT", "FULL", "semi", "anti"])
+def test_joins_without_an_equality(spark, kind):
+    """Only rows whose ranges of values meet are compared; the result is that of all pairs."""
+    left = [(i, float("nan") if i == 7 else None if i % 5 == 0 else i / 2) for i in range(40)]
+    right = [(i, None if i % 7 == 0 else i % 9, -i) for i in range(30)]
+    a, b = rel(spark, left, "a int, x double"), rel(spark, right, "b int, y int, z int")
+    low = lambda p, q: p is not None and q is not None and p <= q and p == p
+    for condition, holds in (
+        (lambda t, v: (t.x <= v.y) & (v.b >= t.a - 3) & (v.z < -4) & (t.a > 1), lambda t, v: low(t[1], v[1]) and v[0] >= t[0] - 3 and v[2] < -4 and t[0] > 1),
+        (lambda t, v: (t.a > v.b + 25) | (v.y > t.a), lambda t, v: t[0] > v[0] + 25 or v[1] is not None and v[1] > t[0]),
+        (lambda t, v: t.a < v.z, lambda t, v: False),
+    ):
+        pairs = [(t, v) for t in left for v in right if holds(t, v)]
+        lone = [t for t in left if t not in [p for p, _ in pairs]], [v for v in right if v not in [q for _, q in pairs]]
+        if kind in ("semi", "anti"):
+            got, want = getattr(a, kind)(b, condition), [t for t in left if (t in lone[0]) == (kind == "anti")]
+        else:
+            got, want = a.join(b, kind, condition), [p + q for p, q in pairs]
+            want += [t + (None,) * 3 for t in lone[0] if kind in ("LEFT", "FULL")] + [(None,) * 2 + v for v in lone[1] if kind in ("RIGHT", "FULL")]
+        assert sorted(map(str, rows(got))) == sorted(map(str, want))
+    same = getattr(a, kind)(a, lambda t, v: t.a < v.x) if kind in ("semi", "anti") else a.join(a, kind, lambda t, v: t.a < v.o_x, prefix="o_")
+    larger = lambda t: sum(v[1] is not None and (t[0] < v[1] or v[1] != v[1]) for v in left)
+    matched = sum(v[1] is not None and (v[1] > 0 or v[1] != v[1]) for v in left)
+    pairs, lone = sum(map(larger, left)), sum(not larger(t) for t in left)
+    assert same.df.count() == {"INNER": pairs, "LEFT": pairs + lone, "RIGHT": pairs + 40 - matched, "FULL": pairs + lone + 40 - matched, "semi": 40 - lone, "anti": lone}[kind]
+    bounds = {"INNER": 2, "LEFT": 1, "RIGHT": 1, "FULL": 0, "semi": 2, "anti": 1}[kind]
+    theta = lambda t, v: t.a < v.b
+    plan = (getattr(a, kind)(b, theta) if kind in ("semi", "anti") else a.join(b, kind, theta)).df._jdf.queryExecution().analyzed().toString()
+    assert plan.count("scalar-subquery#") == bounds
+    assert "scalar-subquery" not in a.join(b.limit(3), "INNER", theta).df._jdf.queryExecution().analyzed().toString()
+
+
 def test_name_clashes_are_errors(spark):
     r = rel(spark, [(1,)], "a int")
     with pytest.raises(ValueError, match="prefix"):
