@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.classic.column import Column as ClassicColumn
 
+from plumbline.operators import ranks
 from plumbline.operators.windows import Over
 
 #: Between the values of several pivot columns, and before the aggregate's name: fixed value.
@@ -54,14 +55,6 @@ _LARGER = {"LessThan": True, "LessThanOrEqual": True, "GreaterThan": False, "Gre
 _CUT = {"inner": (0, 1), "left": (1,), "right": (0,), "full": (), "left_semi": (0, 1), "left_anti": (1,)}
 
 
-def _repeatable(plan) -> bool:
-    """Whether a plan gives the same rows when it is run again: no random values, no limit that may take other rows."""
-    nodes = [plan]
-    for node in nodes:
-        nodes += [node.children().apply(i) for i in range(node.children().size())]
-    return plan.deterministic() and not any(re.search("Limit|Offset|Tail|Sample", node.nodeName()) for node in nodes)
-
-
 def _join(left: DataFrame, right: DataFrame, condition: Column, how: str) -> DataFrame:
     """The join of the frames "l" and "r"; for a condition without an equality, of the rows whose ranges of values meet.
 
@@ -97,7 +90,7 @@ def _join(left: DataFrame, right: DataFrame, condition: Column, how: str) -> Dat
                 return joined
             small, large = (e.left(), e.right()) if _LARGER[name] else (e.right(), e.left())
             compared.append((side(small), small, large, name.endswith("Equal")))
-    if not compared or not _repeatable(plan):
+    if not compared or not ranks.repeatable(plan):
         return joined
     sides = [left, right]
     for i in _CUT[how]:
@@ -144,7 +137,7 @@ class Rel:
 
     def extend_total(self, **aggregates: Column) -> Rel:
         """Aggregates of the whole relation beside each row: one small row, joined by broadcast instead of one task."""
-        return Rel(self.df.crossJoin(F.broadcast(self.df.agg(*(a.alias(n) for n, a in aggregates.items())))))
+        return Rel(self.df.crossJoin(F.broadcast(ranks.aggregate(self.df, [], aggregates))))
 
     def rename(self, **names: str) -> Rel:
         """rename(old="new"): renamed columns move to the end."""
@@ -214,13 +207,13 @@ class Rel:
     # groups
 
     def group_by(self, keys: Sequence[str], **aggregates: Column) -> Rel:
-        return Rel(self.df.groupBy(*(f"`{k}`" for k in keys)).agg(*(a.alias(n) for n, a in aggregates.items())))
+        return Rel(ranks.aggregate(self.df, [F.col(f"`{k}`") for k in keys], aggregates))
 
     def group_by_functions(self, keys: dict[str, Callable[[Row], Column]], **aggregates: Column) -> Rel:
-        return Rel(self.df.groupBy(*(f(self.row).alias(n) for n, f in keys.items())).agg(*(a.alias(n) for n, a in aggregates.items())))
+        return Rel(ranks.aggregate(self.df, [f(self.row).alias(n) for n, f in keys.items()], aggregates))
 
     def aggregate(self, **aggregates: Column) -> Rel:
-        return Rel(self.df.agg(*(a.alias(n) for n, a in aggregates.items())))
+        return Rel(ranks.aggregate(self.df, [], aggregates))
 
     def pivot(self, on: Sequence[str], values: Sequence | None = None, using: Sequence[str] = (), **aggregates: Column) -> Rel:
         """Columns `value__|__name`; the other columns, but those that aggregates use, are the groups.

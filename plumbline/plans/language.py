@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import lookup, nulls, python_name
 from plumbline.functions.dates import DateLiteral
 from plumbline.functions.nulls import col
-from plumbline.operators import aggs, windows
+from plumbline.operators import aggs, ranks, windows
 from plumbline.operators.relation import Rel, Row
 from plumbline.plans import graph
 from plumbline.plans.model import Extent, Model
@@ -596,8 +596,8 @@ class Engine:
         if name == "groupBy":
             start = _Start(x)
             keys = [self.column(self.apply(c[1], start, env=env)).alias(c[0]) for c in value(0)[1]]
-            made = [self._reduced(start, c, env).alias(c[0]) for c in value(1)[1]]
-            return Rel(start.extent.df.groupBy(*keys).agg(*made))
+            made = {c[0]: self._reduced(start, c, env) for c in value(1)[1]}
+            return Rel(ranks.aggregate(start.extent.df, keys, made))
         if name in ("limit", "take"):
             return x.limit(value(0))
         if name in ("drop", "slice"):

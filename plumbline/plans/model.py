@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators import ranks
 from plumbline.operators.relation import Rel, Row, order
 from plumbline.sources.readers import Database
 
@@ -322,8 +323,7 @@ class Extent:
     def group_by(self, keys: dict[str, str], **aggregates: tuple[str, Callable[[Column], Column]]) -> Rel:
         """group_by({"nation": "nation.name"}, total=("orders.price", aggs.sum_))."""
         out = self._demand([*keys.values(), *(p for p, _ in aggregates.values())])
-        grouped = out.df.groupBy(*(out.at(p).alias(n) for n, p in keys.items()))
-        return Rel(grouped.agg(*(f(out.at(p)).alias(n) for n, (p, f) in aggregates.items())))
+        return Rel(ranks.aggregate(out.df, [out.at(p).alias(n) for n, p in keys.items()], {n: f(out.at(p)) for n, (p, f) in aggregates.items()}))
 
     def sub_type(self, name: str) -> Extent:
         return self._with(self.df.where(F.col("`$class`") == name), cls=name)
