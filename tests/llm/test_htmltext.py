@@ -71,6 +71,17 @@ def test_differencing_decides_among_articles():
     assert text(nested.format("a"), nested.format("b")) == "a Read this next, on all pages"
 
 
+def test_a_story_in_main_is_not_left_out_for_longer_text():
+    page = "<main>story {}<article>part of both</article></main>" + TEASER
+    assert text(page.format("one"), page.format("other")) == "story one part of both"
+    page = TEASER + "<main><p>story {0}</p></main><div>buy {0}, which is far longer than the story on this page</div>"
+    assert text(page.format("one"), page.format("other")) == "story one"
+    page = "<main><article><p>a story that two pages hold</p></article><p>read {} times</p></main>"
+    assert text(page.format(1), page.format(2)) == "a story that two pages hold read 1 times"
+    page = "<main>a {}<article>b<main>c</main></article><main>d</main>e</main><div>f</div>"
+    assert text(page.format(1), page.format(2)) == "a 1 b c d e"
+
+
 @pytest.mark.parametrize("partitions", [1, 7])
 def test_articles_of_the_template_go(spark, partitions):
     rng = random.Random(partitions)
